@@ -36,6 +36,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def hash48(key: Column, text: Column) -> Column:
+    """The first 48 bits of the MD5 sum of `key:text`, nulls as empty strings."""
+    joined = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(joined), 1, BITS * LEVELS // 4), 16, 10).cast("long")
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: float = MAX_REPEATS) -> DataFrame:
     """sizes: src, source_size, a row a source. Adds `target`: weighted shares of the whole, no more than
     max_repeats times the source, the excess shared again by weight until none is above.
@@ -87,10 +93,8 @@ def thresholds(keys: DataFrame, budgets: DataFrame) -> DataFrame:
             "src",
             F.when(F.col("edge").isNull(), (F.col("prefix") + 1) * (1 << BITS)).otherwise(F.col("prefix") * (1 << BITS) + F.col("edge.digit")).alias("prefix"),
             F.when(F.col("edge").isNull(), F.lit(0.0)).otherwise(F.col("left") - (F.col("edge.upto") - F.col("edge.size"))).alias("left"),
-            F.col("edge.size").alias("edge_size"),
+            *([F.col("edge.size").alias("edge_size")] if level == LEVELS - 1 else []),
         )
-        if level < LEVELS - 1:
-            state = state.drop("edge_size") if level else state.drop("edge_size")
     # at the last level the bucket is one hash: take it if that comes nearer
     return state.select("src", (F.col("prefix") + F.when(F.col("edge_size") - F.col("left") < F.col("left"), 1).otherwise(0)).alias("threshold"))
 
@@ -100,7 +104,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     keys = common.staged(
         docs.select(
             docs[id_col].alias("doc_id"), docs[source_col].alias("src"), word_count(docs[text_col]).alias("size"),
-            F.shiftrightunsigned(F.xxhash64(docs[id_col], docs[text_col]), 64 - BITS * LEVELS).alias("h"),
+            hash48(docs[id_col], docs[text_col]).alias("h"),
         ),
         "mix-keys",
     )
@@ -127,5 +131,23 @@ def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
+#: DuckDB: the same targets; the threshold is the hash whose running sum comes nearest to the budget.
+ORACLE_SQL = rf"""
+WITH k AS (SELECT doc_id, source AS src, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 12))::BIGINT AS h FROM documents),
+s AS (SELECT src, sum(size)::BIGINT AS source_size, 1.0::DOUBLE + (row_number() OVER (ORDER BY src NULLS LAST) - 1) % 3 AS weight FROM k GROUP BY src),
+b AS (SELECT *, {MAX_REPEATS} * source_size::DOUBLE AS cap,
+  coalesce(sum({MAX_REPEATS} * source_size::DOUBLE) OVER e, 0) AS cap_before, coalesce(sum(weight) OVER e, 0) AS weight_before,
+  (sum(source_size) OVER ())::DOUBLE AS all_size, sum(weight) OVER () AS all_weight
+  FROM s WINDOW e AS (ORDER BY {MAX_REPEATS} * source_size::DOUBLE / weight, src NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT *, (all_size - cap_before) / (all_weight - weight_before) AS lv FROM b),
+g AS (SELECT *, CASE WHEN lv * weight >= cap THEN cap ELSE weight * min(lv) FILTER (lv * weight < cap) OVER () END AS target FROM v),
+t AS (SELECT src, source_size, target, CASE WHEN source_size > 0 THEN least({MAX_REPEATS}, floor(target / source_size))::BIGINT ELSE 0 END AS whole FROM g),
+r AS (SELECT src, h, sum(sum(size)) OVER (PARTITION BY src ORDER BY h) AS upto, sum(size) AS own FROM k GROUP BY src, h),
+c AS (SELECT r.src, r.h, r.upto - r.own AS before_, r.own, greatest(0, t.target - t.whole * t.source_size) AS budget FROM r JOIN t ON r.src IS NOT DISTINCT FROM t.src WHERE t.whole < {MAX_REPEATS}),
+x AS (SELECT src, h FROM c WHERE budget > 0 AND (before_ + own <= budget OR (before_ <= budget AND before_ + own - budget < budget - before_)))
+SELECT k.doc_id, k.size, t.source_size, t.target, (k.size * (t.whole + CASE WHEN x.h IS NULL THEN 0 ELSE 1 END))::BIGINT AS taken
+FROM k JOIN t ON k.src IS NOT DISTINCT FROM t.src LEFT JOIN x ON k.src IS NOT DISTINCT FROM x.src AND k.h = x.h"""
+
 QUERIES = {"op10_hash_threshold_mix": op10_hash_threshold_mix}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_hash_threshold_mix": ORACLE_SQL}
