@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.llm import license_scan, quality_rules, sharding, source_mix
+from lodestone.llm import license_scan, quality_rules, sharding, source_mix, url_rules
 
-MODULES = (sharding, quality_rules, license_scan, source_mix)
+MODULES = (sharding, quality_rules, url_rules, license_scan, source_mix)
 
 
 def queries() -> dict:
