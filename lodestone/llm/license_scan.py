@@ -120,8 +120,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             out = out | F.contains(text, F.lit(w))
         return out
 
-    no_blocks = F.array().cast("array<string>")
-    lines = F.when(holds(F.col("low"), prefix_words), F.filter(F.split("low", "\n"), lambda x: holds(x, prefix_words))).otherwise(no_blocks)
+    # substrings are only a quick first look; a block stays if a whole word of it is a prefix token
+    prefixes = F.array(*(F.lit(w) for w in prefix_words))
+    lines = F.filter(F.split("low", "\n"), lambda x: holds(x, prefix_words))
+    held = F.filter(F.transform(lines, lambda x: F.array_distinct(words(x))), lambda x: F.arrays_overlap(x, prefixes))
+    held = F.when(F.arrays_overlap("ws", prefixes), held).otherwise(F.array().cast("array<array<string>>"))
     base = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("doc_id"), lowered(docs[text_col]).alias("low"))
     base = base.withColumn("ws", words(F.col("low")))
     for k, (phrase, _) in enumerate(phrases):
@@ -129,7 +132,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         maybe = holds(F.col("low"), [max(parts, key=len)]) & (F.size("ws") >= len(parts))
         base = base.withColumn(f"starts_{k}", F.when(maybe, _phrase_starts(F.col("ws"), phrase)).otherwise(F.array().cast("array<int>")))
     base = common.staged(
-        base.select("row", "doc_id", F.size("ws").cast("long").alias("n_words"), *(f"starts_{k}" for k in range(len(phrases))), F.transform(lines, lambda x: F.array_distinct(words(x))).alias("blocks")),
+        base.select("row", "doc_id", F.size("ws").cast("long").alias("n_words"), *(f"starts_{k}" for k in range(len(phrases))), held.alias("blocks")),
         "license-blocks",
     )
     index = spark.createDataFrame(rows, "token string, template int, position int, template_size int, need int")
