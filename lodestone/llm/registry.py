@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontamination, license_scan, near_dedup, quality_rules, sharding, source_mix, substring_dedup, url_rules
+from lodestone.llm import decontamination, html_extract, license_scan, near_dedup, quality_rules, sharding, source_mix, substring_dedup, url_rules
 
-MODULES = (sharding, quality_rules, decontamination, near_dedup, url_rules, substring_dedup, license_scan, source_mix)
+MODULES = (sharding, quality_rules, decontamination, html_extract, near_dedup, url_rules, substring_dedup, license_scan, source_mix)
 
 
 def queries() -> dict:
