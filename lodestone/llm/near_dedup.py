@@ -9,9 +9,9 @@
    The packed words give the similarity, corrected for the 2-bit values that agree by chance, from a count of
    differing bits; pairs far below the threshold go.
 4. The rest is confirmed on full sets, block by block, and confirmed links give components.
-5. Buckets that then still hold several components are searched completely: each member outside the
-   bucket's main component is compared with all members of other components, first by packed
-   words inside the join, then on full sets. So no candidate link between components is left out.
+5. Buckets that then still hold several components are searched completely: the members outside the
+   bucket's main component are a query set against all members of other components, in blocks, first by packed
+   words, then on full sets. So no candidate link between components is left out, and no pairs are emitted.
 
 Bands of 4 of 128 minima miss a pair at similarity 0.8 with probability (1 - 0.8^4)^32 < 1e-7; the
 estimate is cut 5 standard deviations below the threshold.
@@ -168,6 +168,60 @@ def confirmed(pairs: DataFrame, where: DataFrame, docs: DataFrame, id_col: str,
     return dealt.groupBy("block").cogroup(texts.groupBy("of_block")).applyInPandas(check, "a long, b long")
 
 
+def searched(mixed: DataFrame, own: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float) -> DataFrame:
+    """mixed: band, c, root, main of every bucket with several roots. Links between classes of different roots.
+
+    The classes outside their bucket's main component are a query set against all members, in blocks:
+    members are dealt once, those around one main component together but BLOCK_IDS at a time, and a query
+    goes once to each block that holds a partner of it. Pairs are never rows: a block compares packed words,
+    then full sets, and gives the links it finds, one for each query and root."""
+    members = mixed.groupBy("c", "root").agg(F.min("main").alias("near"))
+    sizes = members.groupBy("near").agg(F.ceil(F.count("*") / BLOCK_IDS).alias("parts"))
+    n_blocks = max(1, -(-members.count() // BLOCK_IDS))
+    dealt = members.join(sizes, "near").select("c", "root", F.pmod(F.xxhash64("near") % n_blocks + F.pmod(F.xxhash64("c"), F.col("parts")), F.lit(n_blocks)).cast("int").alias("block"))
+    dealt = common.staged(dealt, "dealt")
+    there = mixed.join(dealt.select("c", "block"), "c").groupBy("band", "block").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
+    asks = mixed.where("root <> main").select("band", "c", "root").join(there, "band").where((F.col("r0") != F.col("root")) | (F.col("r1") != F.col("root"))).select("c", "root", "block").distinct()
+    roles = asks.withColumn("asks", F.lit(1)).union(dealt.select("c", "root", "block").withColumn("asks", F.lit(0)))
+    roles = roles.groupBy("c", "root", "block").agg(F.max("asks").alias("asks"), F.min("asks").alias("only"))
+    roles = roles.join(own.select("c", F.col("doc_id").alias("id_"), F.col("t").alias("t_"), "n", *PACKED), "c")
+    texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("t"))
+    full = roles.join(texts, (F.col("t_") == F.col("t")) & F.col("id_").eqNullSafe(F.col("doc_id"))).drop("doc_id", "t", "id_", "t_")
+    pct, of, low, chance = round(threshold * 10_000), 10_000, least_estimate(threshold), 2.0**-BITS
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.drop_duplicates("c").reset_index(drop=True)
+        sets = shingle_sets([x.encode() for x in block["text"]], k)
+        n = block["n"].to_numpy()
+        packed = block[PACKED].to_numpy().view(np.uint64)
+        # which components are joined so far, in this block
+        names, part = np.unique(block["root"].to_numpy(), return_inverse=True)
+        members = np.flatnonzero(block["only"].to_numpy() == 0)
+        queries = np.flatnonzero(block["asks"].to_numpy() == 1)
+        ids, keep = block["c"].to_numpy(), []
+        for q in queries.tolist():
+            x = packed[members] ^ packed[q]
+            differ = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1)
+            near = ((1 - differ / MINIMA) - chance) / (1 - chance) >= low
+            near &= (part[members] != part[q]) & (np.minimum(n[members], n[q]) * of >= pct * np.maximum(n[members], n[q]))
+            cand = members[near]
+            if not len(cand):
+                continue
+            size = n[cand]
+            flat = np.concatenate([sets[m] for m in cand])
+            at = np.searchsorted(sets[q], flat)
+            at[at == len(sets[q])] = 0
+            both = np.bincount(np.repeat(np.arange(len(cand)), size)[sets[q][at] == flat], minlength=len(cand))
+            hit = cand[both * of >= pct * (size + n[q] - both)]
+            for m in hit.tolist():
+                if part[m] != part[q]:
+                    keep.append((ids[q], ids[m]))
+                    part[part == part[m]] = part[q]
+        return pd.DataFrame(keep, columns=["a", "b"], dtype="int64")
+
+    return full.groupBy("block").applyInPandas(compare, "a long, b long")
+
+
 def classes_and_roots(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Per document its digest and size; per class (c) its digest, first document, and root class."""
     spark = docs.sparkSession
@@ -192,16 +246,10 @@ def classes_and_roots(docs: DataFrame, id_col: str, text_col: str, k: int, thres
     # buckets that hold several components: everything outside the main one against all the others
     named = shared.select("band", "c").join(roots.withColumnRenamed("id", "c"), "c", "left").select("band", "c", F.coalesce("root", "c").alias("root"))
     counts = named.groupBy("band", "root").count()
-    main = counts.groupBy("band").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = common.staged(named.join(main, "band").select("band", "c", "root", "main"), "mixed-buckets")
-    # within a bucket a member needs its packed words once
-    every = mixed.join(words, "c")
-    side = lambda x: every.select("band", *(F.col(w).alias(x + w) for w in ("c", "root", "main", "n", *PACKED)))
-    rest = side("a_").join(side("b_").where("b_root <> b_main"), "band").where((F.col("a_root") != F.col("b_root")) & close)
-    rest = rest.select(F.when(F.col("a_root") == F.col("a_main"), F.col("a_c")).otherwise(F.greatest("a_c", "b_c")).alias("a"), F.when(F.col("a_root") == F.col("a_main"), F.col("b_c")).otherwise(F.least("a_c", "b_c")).alias("b")).distinct()
-    rest = common.staged(rest.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "more-pairs")
-    if not rest.isEmpty():
-        more = confirmed(rest, where, docs, id_col, text_col, k, threshold)
+    main = counts.groupBy("band").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    mixed = common.staged(named.join(main, "band"), "mixed-buckets")
+    if not mixed.isEmpty():
+        more = searched(mixed, own, docs, id_col, text_col, k, threshold)
         links = common.staged(links.union(more), "links")
         roots = common.staged(components(links), "roots")
     out = classes.join(roots.withColumnRenamed("id", "c"), "c", "left").select("d0", "d1", "c", "first_doc", F.coalesce("root", "c").alias("root"))
