@@ -78,8 +78,9 @@ def thresholds(keys: DataFrame, budgets: DataFrame) -> DataFrame:
     state = budgets.select("src", F.lit(0).cast("long").alias("prefix"), F.col("budget").cast("double").alias("left"))
     rows = keys
     for level in range(LEVELS):
-        bound = state.select(F.col("src").alias("src_"), F.col("prefix").alias("prefix_"))
-        rows = rows.join(bound, F.col("src").eqNullSafe(F.col("src_")) & (F.shiftright("h", BITS * (LEVELS - level)) == F.col("prefix_"))).drop("src_", "prefix_")
+        if level:  # of the first level all rows count; from then on, those of the boundary buckets
+            bound = state.select(F.col("src").alias("src_"), F.col("prefix").alias("prefix_"))
+            rows = rows.join(bound, F.col("src").eqNullSafe(F.col("src_")) & (F.shiftright("h", BITS * (LEVELS - level)) == F.col("prefix_"))).drop("src_", "prefix_")
         sums = rows.groupBy("src", _digit(level).alias("digit")).agg(F.sum("size").alias("size"))
         run = Window.partitionBy("src").orderBy("digit")
         state_ = state.select(F.col("src").alias("src_"), "prefix", "left")
@@ -99,32 +100,44 @@ def thresholds(keys: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("src", (F.col("prefix") + F.when(F.col("edge_size") - F.col("left") < F.col("left"), 1).otherwise(0)).alias("threshold"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """One row per document: doc_id, src, size, source_size, target (of its source), times (0 to max_repeats)."""
-    keys = common.staged(
-        docs.select(
-            docs[id_col].alias("doc_id"), docs[source_col].alias("src"), word_count(docs[text_col]).alias("size"),
-            hash48(docs[id_col], docs[text_col]).alias("h"),
-        ),
+def _keys(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return common.staged(
+        docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("src"), word_count(docs[text_col]).alias("size"), hash48(docs[id_col], docs[text_col]).alias("h")),
         "mix-keys",
     )
-    return decide(keys, weights, max_repeats)
 
 
-def decide(keys: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """keys: src, size, h and any others. Adds source_size, target and times."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """One row per document: doc_id, src, size, h, source_size, target (of its source), times (0 to max_repeats)."""
+    keys = _keys(docs, id_col, text_col, source_col)
+    return decide(keys, cuts(keys, weights, max_repeats), F.col("src"), F.col("h"))
+
+
+def cuts(keys: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """keys: src, size, h. Per source (src_): source_size, target, whole (times that every document is taken) and
+    threshold (documents below it are taken once more; null: none)."""
     goal = targets(keys.groupBy("src").agg(F.sum("size").alias("source_size")), weights, max_repeats)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.lit(max_repeats), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long"))
     goal = common.staged(goal.withColumn("budget", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))), "mix-goals")
     # no row needs more than max_repeats times its size, so a source at its cap has no remainder
-    cut = thresholds(keys.select("src", "size", "h"), goal.where("budget > 0 and whole < %d" % max_repeats))
-    cut = goal.join(cut.withColumnRenamed("src", "src_"), F.col("src").eqNullSafe(F.col("src_")), "left").drop("src_")
-    cut = cut.select(F.col("src").alias("src_"), "source_size", "target", "whole", "threshold")
-    return (
-        keys.join(cut, F.col("src").eqNullSafe(F.col("src_")), "left")
-        .withColumn("times", F.col("whole") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0))
-        .drop("src_", "whole", "threshold")
-    )
+    cut = thresholds(keys.select("src", "size", "h"), goal.where(f"budget > 0 and whole < {max_repeats}"))
+    cut = goal.withColumnRenamed("src", "src_").join(cut, F.col("src_").eqNullSafe(F.col("src")), "left")
+    return cut.select("src_", "source_size", "target", "whole", "threshold")
+
+
+def decide(rows: DataFrame, cut: DataFrame, src: Column, h: Column) -> DataFrame:
+    """Rows with source_size, target and times (0 to max_repeats)."""
+    times = F.col("whole") + F.when(h < F.col("threshold"), 1).otherwise(0)
+    return rows.join(cut, src.eqNullSafe(F.col("src_")), "left").withColumn("times", times).drop("src_", "whole", "threshold")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The rows of the mix with the columns of `docs`; a document that is taken n times is there n times."""
+    cut = common.staged(cuts(_keys(docs, id_col, text_col, source_col), weights, max_repeats), "mix-cuts")
+    cut = cut.select("src_", F.col("whole").alias("__ls_whole"), F.col("threshold").alias("__ls_threshold"))
+    times = F.col("__ls_whole") + F.when(hash48(docs[id_col], docs[text_col]) < F.col("__ls_threshold"), 1).otherwise(0)
+    rows = docs.join(cut, docs[source_col].eqNullSafe(F.col("src_")), "left").withColumn("__ls_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
+    return rows.drop("src_", "__ls_whole", "__ls_threshold", "__ls_copy")
 
 
 def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
