@@ -47,8 +47,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats:
     max_repeats times the source, the excess shared again by weight until none is above.
 
     With sources in order of cap / weight, those that are capped come first. A source is capped when
-    its share of what the capped ones before it leave, by weight, reaches its cap. One row a source is
-    all that the two windows see."""
+    its share of what the capped ones before it leave, by weight, reaches its cap. From the first
+    that is not, these shares fall, so the largest of them is the level of all that are not capped. One
+    row a source is all that the two windows see."""
     n = len(weights)
     rank = F.row_number().over(Window.orderBy(F.col("src").isNull(), F.col("src"))) - 1
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (rank % n + 1).cast("int"))
@@ -63,7 +64,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats:
         .withColumn("weight_before", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         .withColumn("level", (F.col("all_size") - F.col("cap_before")) / (F.col("all_weight") - F.col("weight_before")))
         .withColumn("capped", F.col("level") * F.col("weight") >= F.col("cap"))
-        .withColumn("level", F.min(F.when(~F.col("capped"), F.col("level"))).over(total))
+        .withColumn("level", F.max(F.when(~F.col("capped"), F.col("level"))).over(total))
     )
     return ranked.select("src", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
@@ -154,7 +155,7 @@ b AS (SELECT *, {MAX_REPEATS} * source_size::DOUBLE AS cap,
   (sum(source_size) OVER ())::DOUBLE AS all_size, sum(weight) OVER () AS all_weight
   FROM s WINDOW e AS (ORDER BY {MAX_REPEATS} * source_size::DOUBLE / weight, src NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT *, (all_size - cap_before) / (all_weight - weight_before) AS lv FROM b),
-g AS (SELECT *, CASE WHEN lv * weight >= cap THEN cap ELSE weight * min(lv) FILTER (lv * weight < cap) OVER () END AS target FROM v),
+g AS (SELECT *, CASE WHEN lv * weight >= cap THEN cap ELSE weight * max(lv) FILTER (lv * weight < cap) OVER () END AS target FROM v),
 t AS (SELECT src, source_size, target, CASE WHEN source_size > 0 THEN least({MAX_REPEATS}, floor(target / source_size))::BIGINT ELSE 0 END AS whole FROM g),
 r AS (SELECT src, h, sum(sum(size)) OVER (PARTITION BY src ORDER BY h) AS upto, sum(size) AS own FROM k GROUP BY src, h),
 c AS (SELECT r.src, r.h, r.upto - r.own AS before_, r.own, greatest(0, t.target - t.whole * t.source_size) AS budget FROM r JOIN t ON r.src IS NOT DISTINCT FROM t.src WHERE t.whole < {MAX_REPEATS}),
