@@ -115,11 +115,12 @@ def build(counts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[
         t = tables[k]
         n = {i: F.count(F.when(F.col("n") == i, 1)).cast("double") for i in (1, 2, 3, 4)}
         of = t.groupBy("lang").agg(*(n[i].alias(f"n{i}") for i in n), F.count("*").alias("types"))
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        y = F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0.0))
 
         def discount(i: int, y: Column = y) -> Column:
-            d = F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0.0)))
-            return F.coalesce(F.least(F.lit(float(i)), F.greatest(F.lit(0.05 * i), d)), F.lit(0.5 * i))
+            d = F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0.0))
+            d = F.least(F.lit(float(i)), F.greatest(F.lit(0.05 * i), d))
+            return F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), d).otherwise(F.lit(0.5 * i))
 
         of = of.select(F.col("lang").alias("lang_"), *(discount(i).alias(f"d{i}") for i in (1, 2, 3)), "types")
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))

@@ -5,12 +5,11 @@ A window is `length` bytes at a start position. Suffixes are sorted only where t
 1. Sampling. Each window is named by the least hash of its k-byte strings; runs of neighbouring windows with
    the same name form one entry (about 1 in 90 bytes). Equal windows have equal names, so names that
    occur once are dropped by a partial count and a join. Texts are joined with what is left of their entries.
-2. Exchange. An entry carries its bytes (its windows side by side) and is range-partitioned by Spark's
-   sampled splitters on the leading token (the name). Equal entries collapse to one
-   class with a count before the exchange, so copies and shared passages do not fill a task. The range
-   partitioner puts equal leading tokens into one bucket, so no tie crosses a boundary, except for names
-   with more than MOST classes: those are dealt by (name, place of the window in its text's run) and compared
-   across tasks by a distributed count of window digests.
+2. Exchange. An entry carries its bytes (its windows side by side). Splitters sampled from the names, the
+   leading tokens, range-partition the entries. Equal entries of a task collapse to one class with
+   a count first, so copies and shared passages do not fill a bucket. All classes of a name meet in one
+   bucket, so no tie crosses a boundary, except for names with more than MOST entries: their windows are
+   compared across tasks by a distributed count of 128-bit digests.
 3. Local sort. In a bucket the suffixes (one for each window) are sorted by a multikey quicksort on wide
    characters: first the name, then blocks of 8, 64 and 128 bytes (the wide ones by their 64-bit
    fingerprints); only suffixes that still tie go on. Neighbours that tie to the end are compared byte by byte.
@@ -32,16 +31,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import common
 
 LENGTH, GRAM = 200, 32
-#: Bytes of text that one NumPy block holds (a longer text is a block of its own), bytes of a bucket.
-BLOCK_BYTES, BUCKET_BYTES = 1 << 21, 8 << 20
-#: Most classes of one name that one task sorts.
+#: Bytes of entries that a bucket and a local sort aim at.
+BUCKET_BYTES, SORT_BYTES = 8 << 20, 2 << 20
+#: Names with more entries than this are compared across tasks.
 MOST = 20_000
+#: Names sampled for each bucket; classes that a task holds before it passes them on.
+SAMPLE, HELD = 100, 100_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -123,8 +125,8 @@ def repeated(contexts: list[bytes], names: np.ndarray, counts: np.ndarray, lengt
     alive = np.arange(len(at))
     group = names[owner]
     done = 0
-    for width in (8, 64, length - 72):
-        if not len(alive):
+    for width in (min(8, length), min(64, length - 8), length - 72):
+        if width <= 0 or not len(alive):
             break
         char = fingerprints(sums, at[alive] + done, width)
         order = np.lexsort((char, group))
@@ -176,8 +178,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 
     bits = 8 if length <= 256 else 16
     found = rows.mapInArrow(sample, "name long, k0 long, k1 int, run long")
-    twice = found.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    runs = found.join(twice, "name").groupBy("k0", "k1").agg(F.collect_set(F.struct("name", "run")).alias("runs"))
+    twice = found.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name", (F.col("n") > MOST).alias("hot"))
+    runs = found.join(twice, "name").groupBy("k0", "k1").agg(F.collect_set(F.struct("name", "run", "hot")).alias("runs"))
     runs = runs.join(rows.groupBy("k0", "k1").agg(F.count("*").alias("copies")), ["k0", "k1"])
     runs = common.staged(runs, "runs")
     texts = rows.join(runs.drop("copies"), ["k0", "k1"], "left_semi")
@@ -186,114 +188,107 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     candidates = common.staged(texts.join(runs, ["k0", "k1"]), "candidates")
     common.free_shuffles(spark)
 
-    def carried(batches: Iterator[pa.RecordBatch], classes: bool) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    n_entries, size = runs.agg(F.sum(F.size("runs")), F.sum(F.size("runs") * (length + 90))).first()
+    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size or 0) // BUCKET_BYTES))
+    splitters = _splitters(runs, n_entries or 0, n_buckets)
+
+    def entries_of(part: pa.RecordBatch) -> Iterator[tuple]:
+        k0, k1, copies = (part.column(c).to_pylist() for c in ("k0", "k1", "copies"))
+        for i, (text, run) in enumerate(zip(common.utf8_column(part.column("text")), part.column("runs").to_pylist(), strict=True)):
+            for x in run:
+                first, n = x["run"] >> bits, (x["run"] & ((1 << bits) - 1)) + 1
+                yield x, text[first : first + n - 1 + length], copies[i], k0[i], k1[i], first
+
+    def batch_of(held: dict[tuple[int, bytes], int]) -> pa.RecordBatch:
+        names = np.array([k[0] for k in held], np.int64)
+        digests = [_digest(k[1]) for k in held]
+        return pa.RecordBatch.from_pydict({
+            "bucket": pa.array(np.searchsorted(splitters, names, side="right").astype(np.int32)), "name": pa.array(names),
+            "c0": pa.array([d[0] for d in digests], pa.int64()), "c1": pa.array([d[1] for d in digests], pa.int64()),
+            "n": pa.array(list(held.values()), pa.int64()), "context": pa.array([k[1] for k in held], pa.binary()),
+        })
+
+    def classes(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[pa.RecordBatch]:
+        """Entries as classes: equal ones of a task are added up before they are exchanged."""
+        held: dict[tuple[int, bytes], int] = {}
+        for part in _chunks(batches, 200):
+            for x, context, copies, *_ in entries_of(part):
+                if x["hot"] == hot:
+                    key = (x["name"], context)
+                    held[key] = held.get(key, 0) + copies
+            if len(held) > HELD:
+                yield batch_of(held)
+                held = {}
+        if held:
+            yield batch_of(held)
 
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _chunks(batches, 200):
-            held: dict[tuple[int, bytes], int] = {}
-            out: list[tuple] = []
-            k0, k1, copies = (part.column(c).to_pylist() for c in ("k0", "k1", "copies"))
-            for i, (text, run) in enumerate(zip(common.utf8_column(part.column("text")), part.column("runs").to_pylist(), strict=True)):
-                for x in run:
-                    first, n = x["run"] >> bits, (x["run"] & ((1 << bits) - 1)) + 1
-                    context = text[first : first + n - 1 + length]
-                    if classes:
-                        key = (x["name"], context)
-                        held[key] = held.get(key, 0) + copies[i]
-                    else:
-                        out.append((*_digest(xxhash, context), k0[i], k1[i], first))
-            if classes:
-                out = [(name, *_digest(xxhash, context), n, context) for (name, context), n in held.items()]
-            kinds = [("name", pa.int64()), ("c0", pa.int64()), ("c1", pa.int64()), ("n", pa.int64()), ("context", pa.binary())] if classes else [("c0", pa.int64()), ("c1", pa.int64()), ("k0", pa.int64()), ("k1", pa.int32()), ("first", pa.int64())]
-            columns = zip(*out, strict=True) if out else [[]] * len(kinds)
-            yield pa.RecordBatch.from_pydict({name: pa.array(c, kind) for (name, kind), c in zip(kinds, columns, strict=True)})
-
-    # a class: entries with the same bytes; equal ones are added up in the task, then in partial sums
-    classes = candidates.mapInArrow(lambda b: carried(b, True), "name long, c0 long, c1 long, n long, context binary")
-    classes = classes.groupBy("name", "c0", "c1").agg(F.sum("n").alias("n"), F.first("context").alias("context"))
-    members = candidates.mapInArrow(lambda b: carried(b, False), "c0 long, c1 long, k0 long, k1 int, first long")
-    return candidates, _marks(classes, members, length)
-
-
-def _digest(xxhash, value: bytes) -> tuple[int, int]:
+            out = [(*_digest(context), k0, k1, first) for _, context, _, k0, k1, first in entries_of(part)]
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["c0", "c1", "k0", "k1", "first"])
+
+    kinds = "bucket int, name long, c0 long, c1 long, n long, context binary"
+    marks = candidates.mapInArrow(lambda b: classes(b, False), kinds).repartitionById(n_buckets, "bucket").mapInArrow(lambda b: _sorted_marks(b, length), "c0 long, c1 long, lo long, hi long")
+    if not runs.where(F.exists("runs", lambda x: x["hot"])).isEmpty():
+        marks = marks.union(_hot_marks(candidates.mapInArrow(lambda b: classes(b, True), kinds), length))
+    there = candidates.mapInArrow(members, "c0 long, c1 long, k0 long, k1 int, first long")
+    return candidates, there.join(marks, ["c0", "c1"]).select("k0", "k1", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
+
+
+def _splitters(runs: DataFrame, n_entries: int, n_buckets: int) -> np.ndarray:
+    """Bounds of the buckets' names from a sample of about SAMPLE names a bucket."""
+    names = runs.select(F.explode("runs.name").alias("name"))
+    fraction = min(1.0, SAMPLE * n_buckets / max(n_entries, 1))
+    found = np.sort(np.array([r["name"] for r in names.sample(fraction=fraction, seed=1).collect()], np.int64))
+    return found[[len(found) * i // n_buckets for i in range(1, n_buckets)]] if len(found) else found
+
+
+def _digest(value: bytes) -> tuple[int, int]:
     d = xxhash.xxh3_128_intdigest(value)
     return (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)
 
 
-def _marks(classes: DataFrame, members: DataFrame, length: int) -> DataFrame:
-    """Runs of repeated windows of each class, sent back to the members."""
-    spark = classes.sparkSession
-    classes = common.staged(classes, "classes")
-    hot = common.staged(classes.groupBy("name").agg(F.count("*").alias("m")).where(F.col("m") > MOST).select("name"), "hot-names")
-    total = classes.agg(F.sum(F.octet_length("context"))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // BUCKET_BYTES))
-    plain, many = classes, None
-    if not hot.isEmpty():
-        plain, many = classes.join(hot, "name", "left_anti"), classes.join(hot, "name", "left_semi")
-    # a name with one class that occurs once ties with nothing
-    bucketed = plain.repartitionByRange(n, "name").sortWithinPartitions("name")
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            # flush at a change of name only: a name never spans two local sorts
-            names = batch.column("name").to_numpy()
-            if held and size > BUCKET_BYTES:
-                last = held[-1].column("name")[-1].as_py()
-                cut = int(np.searchsorted(names != last, True)) if (names != last).any() else len(names)
-                if cut < len(names):
-                    held.append(batch.slice(0, cut))
-                    yield from flush(held)
-                    held, size, batch = [], 0, batch.slice(cut)
-            held.append(batch)
-            size += batch.column("context").nbytes
-        if held:
-            yield from flush(held)
-
-    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(held).combine_chunks()
-        names, counts = whole["name"].to_numpy(), whole["n"].to_numpy()
-        change = np.r_[True, names[1:] != names[:-1]]
-        edges = np.r_[np.flatnonzero(change), len(names)]
-        # local sorts of about BUCKET_BYTES / 4, cut at changes of name
-        sizes = np.array([len(x) for x in whole["context"].to_pylist()], np.int64)
-        per = np.add.reduceat(sizes, edges[:-1]) if len(names) else []
-        for lo, hi in common.blocks(per, BUCKET_BYTES // 4):
-            a, b = edges[lo], edges[hi]
-            part = whole.slice(a, b - a)
-            masks = repeated(part["context"].to_pylist(), names[a:b], counts[a:b], length)
-            out: dict[str, list] = {"at": [], "lo": [], "hi": []}
-            for i, mask in enumerate(masks):
-                s, e = _spans(mask)
-                out["at"].append(np.full(len(s), i))
-                out["lo"].append(s)
-                out["hi"].append(e)
-            at = np.concatenate(out["at"]).astype(np.int64)
-            got = part.take(pa.array(at))
-            yield pa.RecordBatch.from_pydict({"c0": got["c0"].combine_chunks(), "c1": got["c1"].combine_chunks(), "lo": pa.array(np.concatenate(out["lo"]).astype(np.int64)), "hi": pa.array(np.concatenate(out["hi"]).astype(np.int64))})
-
-    marks = bucketed.mapInArrow(sort, "c0 long, c1 long, lo long, hi long")
-    if many is not None:
-        marks = marks.union(_hot_marks(many, length))
-    return members.join(marks, ["c0", "c1"]).select("k0", "k1", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
+def _sorted_marks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Runs of repeated windows of the classes in one bucket, which holds all classes of its names."""
+    held = list(batches)
+    if not held:
+        return
+    whole = pa.Table.from_batches(held).combine_chunks()
+    whole = whole.take(pa.array(np.argsort(whole["name"].to_numpy(), kind="stable")))
+    names = whole["name"].to_numpy()
+    edges = np.r_[np.flatnonzero(np.r_[True, names[1:] != names[:-1]]), len(names)]
+    sizes = np.add.reduceat(np.array([len(x) for x in whole["context"].to_pylist()], np.int64), edges[:-1])
+    for lo, hi in common.blocks(sizes, SORT_BYTES):
+        part = whole.slice(edges[lo], edges[hi] - edges[lo])
+        # the same class from several tasks becomes one
+        table = part.group_by(["name", "c0", "c1", "context"]).aggregate([("n", "sum")])
+        masks = repeated(table["context"].to_pylist(), table["name"].to_numpy(), table["n_sum"].to_numpy(), length)
+        at, first, last = [], [], []
+        for i, mask in enumerate(masks):
+            s, e = _spans(mask)
+            at.append(np.full(len(s), i))
+            first.append(s)
+            last.append(e)
+        got = table.take(pa.array(np.concatenate(at).astype(np.int64)))
+        yield pa.RecordBatch.from_pydict({"c0": got["c0"].combine_chunks(), "c1": got["c1"].combine_chunks(), "lo": pa.array(np.concatenate(first).astype(np.int64)), "hi": pa.array(np.concatenate(last).astype(np.int64))})
 
 
 def _hot_marks(classes: DataFrame, length: int) -> DataFrame:
     """The same for names with many classes: windows as rows, counted by a 128-bit digest across tasks."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for part in _chunks(batches, 200):
             c0, c1, n = (part.column(c).to_pylist() for c in ("c0", "c1", "n"))
             rows: list[tuple] = []
             for i, text in enumerate(part.column("context").to_pylist()):
                 for j in range(len(text) - length + 1):
-                    rows.append((c0[i], c1[i], j, n[i], *_digest(xxhash, text[j : j + length])))
+                    rows.append((c0[i], c1[i], j, n[i], *_digest(text[j : j + length])))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in zip(("c0", "c1", "j", "n", "d0", "d1"), cols, strict=True)})
 
+    classes = classes.groupBy("c0", "c1").agg(F.sum("n").alias("n"), F.first("context").alias("context"))
     rows = classes.mapInArrow(windows, "c0 long, c1 long, j long, n long, d0 long, d1 long")
     twice = rows.groupBy("d0", "d1").agg(F.sum("n").alias("n")).where("n > 1").select("d0", "d1")
     return rows.join(twice, ["d0", "d1"]).select("c0", "c1", F.col("j").alias("lo"), (F.col("j") + 1).alias("hi"))
