@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: With this, the shuffle files of a write go when it has ended; its table takes their place.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
@@ -38,18 +42,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     table that several passes read is computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    kept = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, kept)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished rounds (it waits for the driver's GC)."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def blocks(sizes: np.ndarray, most: int):
     """Slices (start, end) of consecutive items with at most `most` in total, one item at least."""
     start, held = 0, 0

@@ -224,7 +224,6 @@ def searched(mixed: DataFrame, own: DataFrame, docs: DataFrame, id_col: str, tex
 
 def classes_and_roots(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Per document its digest and size; per class (c) its digest, first document, and root class."""
-    spark = docs.sparkSession
     sigs = common.staged(_signatures(docs, id_col, text_col, k), "minhash")
     full = sigs.where("n > 0")
     classes = common.staged(full.groupBy("d0", "d1").agg(F.min("u").alias("c"), F.min("doc_id").alias("first_doc")), "classes")
@@ -241,7 +240,6 @@ def classes_and_roots(docs: DataFrame, id_col: str, text_col: str, k: int, thres
     pairs = common.staged(stars, "star-pairs")
     where = own.select("c", "doc_id", "t")
     links = common.staged(confirmed(pairs, where, docs, id_col, text_col, k, threshold), "links")
-    common.free_shuffles(spark)
     roots = common.staged(components(links), "roots")
     # buckets that hold several components: everything outside the main one against all the others
     named = shared.select("band", "c").join(roots.withColumnRenamed("id", "c"), "c", "left").select("band", "c", F.coalesce("root", "c").alias("root"))

@@ -186,7 +186,6 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     # copies of a text stand side by side after the exchange: keep the first of each
     texts = texts.groupBy("k0", "k1").agg(F.first("text").alias("text"))
     candidates = common.staged(texts.join(runs, ["k0", "k1"]), "candidates")
-    common.free_shuffles(spark)
 
     n_entries, size = runs.agg(F.sum(F.size("runs")), F.sum(F.size("runs") * (length + 90))).first()
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size or 0) // BUCKET_BYTES))
