@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone import queries_search
+from lodestone import queries_search, queries_semantic
 
-MODULES = (queries_search,)
+MODULES = (queries_search, queries_semantic)
 
 
 def queries() -> dict:
