@@ -39,6 +39,8 @@ MAX_ENTRIES = 6_000_000
 #: Code points in one NumPy block, distinct n-grams that a counting task holds before it passes them on.
 BLOCK_CHARS, HELD_GRAMS = 1_000_000, 1_000_000
 START = "\x02"
+#: 64-bit words of the table that looks for trusted ids.
+BIT_WORDS = 1 << 19
 _COMBINE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -234,10 +236,10 @@ def _scored_by_broadcast(docs: DataFrame, scorer: Scorer) -> DataFrame:
                     i = [j for j, x in enumerate(langs) if x == lang and texts[j]]
                     for j, s in zip(i, model.sums(lang, [texts[j] for j in i]).tolist(), strict=True):
                         total[j] = s
-                cols = [part.column(n) for n in ("doc_id", "lang", "part")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([len(t) if t else 0 for t in texts], pa.int64()), pa.array(total, pa.float64())], names=["doc_id", "lang", "part", "n_chars", "logp"])
+                cols = [part.column(n) for n in ("doc_id", "lang")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([len(t) if t else 0 for t in texts], pa.int64()), pa.array(total, pa.float64())], names=["doc_id", "lang", "n_chars", "logp"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, lang string, part int, n_chars long, logp double")
+    return docs.mapInArrow(run, f"doc_id {kind}, lang string, n_chars long, logp double")
 
 
 def _scored_by_joins(docs: DataFrame, probabilities: list[DataFrame], weights: list[DataFrame]) -> DataFrame:
@@ -269,26 +271,45 @@ def _scored_by_joins(docs: DataFrame, probabilities: list[DataFrame], weights: l
     unknown = probabilities[0].where("gram = ''").select(F.col("lang").alias("l4"), F.log("p").alias("u4"))
     rows = rows.join(unknown, _same("lang", "l4")).withColumn("v", F.when(F.col("open"), F.col("v") + F.col("u4")).otherwise(F.col("v")))
     sums = rows.groupBy("row").agg(F.sum(F.col("n") * F.col("v")).alias("logp"))
-    out = docs.select("row", "doc_id", "lang", "part", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    out = docs.select("row", "doc_id", "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
     return out.join(sums, "row", "left").drop("row")
 
 
+def _trusted(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is in ids. A bit table of fixed size, made from the ids' hashes, drops most others
+    where they are, so that little more than the trusted texts is exchanged for the exact join."""
+    h = F.xxhash64("trusted_id")
+    bits = ids.select(F.pmod(h, F.lit(BIT_WORDS)).cast("int").alias("word"), F.shiftrightunsigned(h, 58).cast("int").alias("bit"))
+    bits = bits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    table = np.zeros(BIT_WORDS, np.uint64)
+    table[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
+    held = rows.sparkSession.sparkContext.broadcast(table)
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("h").to_numpy()
+            found = held.value[np.mod(x, BIT_WORDS)] >> (x.view(np.uint64) >> np.uint64(58)) & np.uint64(1)
+            yield batch.filter(pa.array(found.astype(bool)))
+
+    marked = rows.withColumn("h", F.xxhash64("doc_id"))
+    some = marked.mapInArrow(maybe, marked.schema).drop("h")
+    return some.join(ids.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left_semi")
+
+
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """trusted_ids: doc_id of trusted documents. One row per document: doc_id, lang, n_chars, perplexity, threshold, kept."""
     ids = trusted_ids.select(trusted_ids.columns[0]).distinct().toDF("trusted_id")
     rows = docs.select(docs[id_col].alias("doc_id"), docs[lang_col].alias("lang"), docs[text_col].alias("text"))
-    # 0: not trusted, 1: trained on, 2: trusted and held out
-    marked = rows.join(ids, rows["doc_id"] == F.col("trusted_id"), "left")
-    part = F.when(F.col("trusted_id").isNull(), 0).when(F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0, 2).otherwise(1)
-    marked = marked.select("doc_id", "lang", "text", part.cast("int").alias("part"))
-    probabilities, weights = build(count_grams(marked.where("part = 1"), order), order)
+    held_out = F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0
+    probabilities, weights = build(count_grams(_trusted(rows.where(~held_out), ids), order), order)
     entries = sum(t.count() for t in (*probabilities, *weights))
     if entries <= max_entries:
-        scored = _scored_by_broadcast(marked, Scorer.gathered(probabilities, weights))
+        scored = _scored_by_broadcast(rows, Scorer.gathered(probabilities, weights))
     else:
-        scored = _scored_by_joins(marked, probabilities, weights)
-    scored = common.staged(scored.select("doc_id", "lang", "part", "n_chars", F.exp(-F.col("logp") / F.nullif(F.col("n_chars"), F.lit(0))).alias("perplexity")), "perplexities")
-    limits = scored.where("part = 2 and perplexity is not null").groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * (1 + 1 / F.sqrt(F.count("*")))).alias("threshold"))
+        scored = _scored_by_joins(rows, probabilities, weights)
+    scored = common.staged(scored.select("doc_id", "lang", "n_chars", F.exp(-F.col("logp") / F.nullif(F.col("n_chars"), F.lit(0))).alias("perplexity")), "perplexities")
+    apart = scored.where(held_out & F.col("perplexity").isNotNull()).join(ids, F.col("doc_id") == F.col("trusted_id"), "left_semi")
+    limits = apart.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * (1 + 1 / F.sqrt(F.count("*")))).alias("threshold"))
     limits = limits.withColumnRenamed("lang", "lang_")
     out = scored.join(limits, _same("lang", "lang_"), "left")
     kept = F.when(F.col("n_chars") == 0, False).otherwise(F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
