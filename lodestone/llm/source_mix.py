@@ -111,7 +111,7 @@ def _keys(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """One row per document: doc_id, src, size, h, source_size, target (of its source), times (0 to max_repeats)."""
     keys = _keys(docs, id_col, text_col, source_col)
-    return decide(keys, cuts(keys, weights, max_repeats), F.col("src"), F.col("h"))
+    return decide(keys, common.staged(cuts(keys, weights, max_repeats), "mix-cuts"), F.col("src"), F.col("h"))
 
 
 def cuts(keys: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
