@@ -178,7 +178,9 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 
     bits = 8 if length <= 256 else 16
     found = rows.mapInArrow(sample, "name long, k0 long, k1 int, run long")
+    # written, so that the join reads plain exchanges and a name with very many entries can be split
     twice = found.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name", (F.col("n") > MOST).alias("hot"))
+    twice = common.staged(twice, "names")
     runs = found.join(twice, "name").groupBy("k0", "k1").agg(F.collect_set(F.struct("name", "run", "hot")).alias("runs"))
     runs = runs.join(rows.groupBy("k0", "k1").agg(F.count("*").alias("copies")), ["k0", "k1"])
     runs = common.staged(runs, "runs")
