@@ -10,14 +10,17 @@ TOP = 5
 
 def results(benchmark: DataFrame, artifacts: DataFrame, labels: DataFrame) -> DataFrame:
     """Stand-in judgements: a query is a benchmark item, its hits are the first TOP documents by id that hold the
-    item's first 20 characters; hits with a good label are right. One row per query and hit, hits null if none.
+    item's first four words in a row; hits with a good label are right. One row per query and hit, hits null if none.
 
-    Items and documents meet on the 20 characters: documents are cut into their 20-character pieces at the
-    items' first two characters, so this is an equi-join."""
-    q = benchmark.select("item_id", F.substring("text", 1, 20).alias("key"), F.when(F.length("text") % 2 == 0, "long_form").otherwise("short_form").alias("source_type"))
+    Items and documents meet on four words: an equi-join, with the distinct keys of the items on one side."""
+    first = F.array_join(F.slice(F.split("text", "[ \n]+"), 1, 4), " ")
+    q = benchmark.select("item_id", first.alias("key"), F.when(F.length("text") % 2 == 0, "long_form").otherwise("short_form").alias("source_type"))
     keys = q.select("key").distinct()
-    lines = artifacts.select("artifact_id", F.explode(F.split("text", "\n")).alias("line")).select("artifact_id", F.substring("line", 1, 20).alias("key")).distinct()
-    hits = lines.join(keys, "key").join(labels.select(F.col("doc_id").alias("artifact_id"), "quality"), "artifact_id", "left")
+    # the words are exploded with their place and the next three come from the array, which is split once a document
+    words = artifacts.select("artifact_id", F.split("text", "[ \n]+").alias("w"))
+    each = words.select("artifact_id", F.explode(F.arrays_zip("w", F.slice("w", F.lit(2), F.size("w")).alias("x"), F.slice("w", F.lit(3), F.size("w")).alias("y"), F.slice("w", F.lit(4), F.size("w")).alias("z"))).alias("g"))
+    found = each.where("g.z is not null").select("artifact_id", F.concat_ws(" ", "g.w", "g.x", "g.y", "g.z").alias("key")).join(keys, "key").distinct()
+    hits = found.join(labels.select(F.col("doc_id").alias("artifact_id"), "quality"), "artifact_id", "left")
     w = Window.partitionBy("key").orderBy("artifact_id")
     hits = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TOP)
     return q.join(hits, "key", "left").select("item_id", "source_type", "rank", (F.coalesce("quality", F.lit(0)) == 1).alias("right"), F.col("artifact_id"))
@@ -65,8 +68,9 @@ def nearest_rank(rows: DataFrame, by: str, value: str, quantile: float) -> DataF
 
 def sql(artifacts: str) -> dict[str, str]:
     base = f"""WITH {artifacts},
-q AS (SELECT item_id, substr(text, 1, 20) AS key, CASE WHEN length(text) % 2 = 0 THEN 'long_form' ELSE 'short_form' END AS source_type FROM benchmark),
-ln AS (SELECT DISTINCT artifact_id, substr(line, 1, 20) AS key FROM (SELECT artifact_id, unnest(string_split(text, chr(10))) AS line FROM artifacts)),
+q AS (SELECT item_id, array_to_string(string_split_regex(text, '[ \\n]+')[1:4], ' ') AS key, CASE WHEN length(text) % 2 = 0 THEN 'long_form' ELSE 'short_form' END AS source_type FROM benchmark),
+ws AS (SELECT artifact_id, string_split_regex(text, '[ \\n]+') AS w FROM artifacts),
+ln AS (SELECT DISTINCT artifact_id, array_to_string(w[i:i + 3], ' ') AS key FROM ws, unnest(range(1, len(w) - 2)) AS t(i)),
 h AS (SELECT ln.key, ln.artifact_id, coalesce(quality, 0) = 1 AS good, row_number() OVER (PARTITION BY ln.key ORDER BY ln.artifact_id) AS rank FROM ln LEFT JOIN labels ON doc_id = ln.artifact_id WHERE ln.key IN (SELECT key FROM q)),
 o AS (SELECT item_id, source_type, count(rank) AS returned, count(*) FILTER (rank IS NOT NULL AND NOT good) AS fp, min(rank) FILTER (good) AS fr FROM q LEFT JOIN (SELECT * FROM h WHERE rank <= {TOP}) h USING (key) GROUP BY ALL),
 f AS (SELECT *, CASE WHEN returned = 0 THEN 'no_results' WHEN fr IS NULL THEN 'wrong_source' WHEN fr > 1 THEN 'wrong_source_at_rank_1' END AS failure FROM o)"""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone import queries_records, queries_records_sql, queries_search, queries_semantic
+from lodestone import queries_more, queries_records, queries_records_sql, queries_search, queries_semantic
 
-MODULES = (queries_search, queries_semantic, queries_records)
+MODULES = (queries_search, queries_semantic, queries_records, queries_more)
 
 
 def queries() -> dict:
@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in (queries_search, queries_semantic, queries_records_sql) for k, v in m.ORACLES.items()}
+    return {k: v for m in (queries_search, queries_semantic, queries_records_sql, queries_more) for k, v in m.ORACLES.items()}
