@@ -13,11 +13,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     small: the node and its smaller neighbours are tied to the smallest."""
     if large:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = common.staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         out = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = common.staged(down.groupBy("u").agg(F.min("v").alias("m")), "least")
         out = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return out.where("a <> b").distinct()
 
@@ -25,8 +25,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """edges: a, b (long). One row per node that has an edge: id, root (the smallest id it reaches).
 
-    Both steps join on the node and aggregate with partial sums, so a hub is split by adaptive skew
-    handling; rounds grow with the logarithm of the longest chain. Nothing reaches the driver but
+    Both steps aggregate with partial sums and write what they join with, so the join reads plain exchanges
+    and a hub is split by adaptive skew handling; rounds grow with the logarithm of the longest chain. Nothing reaches the driver but
     a count and a checksum a round. No edges: an empty table."""
     edges = common.staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None

@@ -231,6 +231,7 @@ def classes_and_roots(docs: DataFrame, id_col: str, text_col: str, k: int, thres
     rows = own.select("c", F.explode("bands").alias("band"))
     # the bucket's centre: the member whose number, masked by the bucket's key, is least
     buckets = rows.groupBy("band").agg(F.min(F.col("c").bitwiseXOR(F.col("band"))).alias("x"), F.count("*").alias("m")).where("m > 1")
+    buckets = common.staged(buckets, "bucket-centres")
     shared = common.staged(rows.join(buckets, "band").select("band", "c", F.col("x").bitwiseXOR(F.col("band")).alias("p")), "buckets")
     words = own.select("c", "n", *PACKED)
     side = lambda x: words.select(*(F.col(w).alias(x + w) for w in words.columns))
@@ -251,13 +252,13 @@ def classes_and_roots(docs: DataFrame, id_col: str, text_col: str, k: int, thres
         links = common.staged(links.union(more), "links")
         roots = common.staged(components(links), "roots")
     out = classes.join(roots.withColumnRenamed("id", "c"), "c", "left").select("d0", "d1", "c", "first_doc", F.coalesce("root", "c").alias("root"))
-    return sigs, out
+    return sigs, common.staged(out, "classes-with-roots")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per document: u (row number), doc_id, t (hash of the text), n_shingles, component_id (smallest id reachable), kept."""
     sigs, classes = classes_and_roots(docs, id_col, text_col, shingle, threshold)
-    first = classes.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    first = common.staged(classes.groupBy("root").agg(F.min("first_doc").alias("component_id")), "first-documents")
     named = classes.join(first, "root").select("d0", "d1", "component_id")
     out = sigs.select("u", "doc_id", "t", "n", "d0", "d1").join(named, ["d0", "d1"], "left")
     own = F.coalesce("component_id", "doc_id")
