@@ -20,14 +20,18 @@ MAX_LIMIT = 100
 
 
 def starts(tokens: Column, terms: list[str]) -> Column:
-    """0-based token positions at which the terms stand in a row."""
-    if len(terms) == 1:
-        hit = lambda i: F.get(tokens, i) == terms[0]
-    else:
-        hit = lambda i: reduce(lambda a, b: a & b, [F.get(tokens, i + k) == t for k, t in enumerate(terms)])
-    held = reduce(lambda a, b: a & b, [F.array_contains(tokens, t) for t in dict.fromkeys(terms)])
-    none = F.array().cast("array<int>")
-    return F.when(held & (F.size(tokens) >= len(terms)), F.filter(F.sequence(F.lit(0), F.size(tokens) - len(terms)), hit)).otherwise(none)
+    """0-based token positions at which the terms stand in a row.
+
+    The tokens are bound once: a predicate that the optimizer pushes down carries their expression along, and
+    would else build them again at every position."""
+
+    def found(t: Column) -> Column:
+        hit = lambda i: reduce(lambda a, b: a & b, [F.get(t, i + k) == w for k, w in enumerate(terms)])
+        held = reduce(lambda a, b: a & b, [F.array_contains(t, w) for w in dict.fromkeys(terms)])
+        none = F.array().cast("array<int>")
+        return F.when(held & (F.size(t) >= len(terms)), F.filter(F.sequence(F.lit(0), F.size(t) - len(terms)), hit)).otherwise(none)
+
+    return F.element_at(F.transform(F.array(tokens), found), 1)
 
 
 def filter_conditions(f: QueryFilters) -> list[Column]:
