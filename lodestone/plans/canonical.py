@@ -20,9 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than cores (a small file) dealt over all cores; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """artifact_id, title, media_type, source_uri, root, enabled, mtime_ns, content_hash, byte_size, text."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     markdown = F.col("lang") == "en"
     title = F.concat(F.lit("doc-"), F.col("doc_id"), F.when(markdown, ".md").otherwise(".txt"))
     text = T.normalized_lines(F.col("text"))
