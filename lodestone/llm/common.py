@@ -8,13 +8,18 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables whose rows are texts.
+SPREAD = ("documents", "pages")
 #: Words per NumPy block inside a Python task; one document longer than this is a block of its own.
 BLOCK_WORDS = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the input tables. A small file that gives fewer partitions than there are cores is dealt over all
+    cores; larger tables stay as they are read."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in SPREAD and df.rdd.getNumPartitions() < cores else df
 
 
 #: With this, the shuffle files of a write go when it has ended; its table takes their place.
