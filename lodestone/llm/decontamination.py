@@ -4,7 +4,12 @@ Words (lower-cased, ASCII punctuation as space) of test items and of documents a
 that ignore some positions, so a few substituted words do not hide a copied passage. Document hashes are
 joined with the test hashes (a bit table first, then binary search); around every hit the document
 is laid along the item, and the best-scoring overlap (match +1, substitution -2) is verified: at least
-MIN_MATCHED equal words (all words of a shorter item) and MIN_IDENTITY of the overlap.
+MIN_MATCHED equal words (all words of a shorter item) and MIN_IDENTITY of the overlap. A whole copy is also
+one where the equal words of the untrimmed overlap reach MIN_IDENTITY of the item, and MIN_WORDS.
+
+Spaced seeds may miss a whole copy, so items are also hashed in runs of the length that stays intact
+however the allowed substitutions are placed: 3 words, or 2 for items of 5 and 8. These hits are
+counted in arrays and need the whole-copy rule.
 
 Test items are the small side. They are dealt into blocks of at most BLOCK_BYTES, and each block is
 matched in a pass of its own over all documents, so what a task holds is bounded however
@@ -68,12 +73,21 @@ class Seeds:
         self.words = [flat[e - n : e] for e, n in zip(ends, sizes, strict=True)]
         short = {int(n) for n in sizes if MIN_WORDS <= n < max(map(len, masks))}
         self.masks = (*masks, *("1" * n for n in sorted(short) if "1" * n not in masks))
+        self.flat, self.sizes, self.starts = flat, sizes, ends - sizes
+        self.least = np.maximum(np.ceil(MIN_IDENTITY * sizes).astype(np.int64), MIN_WORDS)
+        changed = np.maximum(sizes - self.least, 0)
+        intact = -(-(sizes - changed) // (changed + 1))
+        self.runs = tuple("1" * n for n in sorted({int(n) for n in intact[changed > 0]}))
+        self.n_seeds, self.masks = len(self.masks), (*self.masks, *self.runs)
         hashes, item, offset, which = [], [], [], []
         for i, w in enumerate(self.words):
             if len(w) < MIN_WORDS:
                 continue
             for m, mask in enumerate(self.masks):
-                if m >= len(masks) and len(mask) != len(w):
+                if m >= self.n_seeds:
+                    if not changed[i] or len(mask) != intact[i]:
+                        continue
+                elif m >= len(masks) and len(mask) != len(w):
                     continue
                 h = masked(w, mask)
                 hashes.append(h)
@@ -87,10 +101,12 @@ class Seeds:
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[(self.hash >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Item and diagonal (document position minus item position) of each hit, distinct."""
+    def hits(self, words: np.ndarray, runs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Item and diagonal (document position minus item position) of each hit of the seeds or of the runs, distinct."""
         found = []
         for m, mask in enumerate(self.masks):
+            if (m >= self.n_seeds) != runs:
+                continue
             h = masked(words, mask)
             at = np.flatnonzero(self.table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
             if not len(at):
@@ -106,11 +122,27 @@ class Seeds:
         both = np.unique(np.concatenate(found, axis=1), axis=1)
         return both[0], both[1]
 
+    def whole(self, words: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        """Whether the document's words along each diagonal are a whole copy of the item."""
+        out = np.zeros(len(item), bool)
+        for lo, hi in common.blocks(self.sizes[item], common.BLOCK_WORDS):
+            n = self.sizes[item[lo:hi]]
+            of = np.repeat(np.arange(hi - lo), n)
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = place + diagonal[lo:hi][of]
+            inside = (at >= 0) & (at < len(words))
+            same = inside & (words[np.where(inside, at, 0)] == self.flat[self.starts[item[lo:hi]][of] + place])
+            out[lo:hi] = np.bincount(of, same, hi - lo) >= self.least[item[lo:hi]]
+        return out
+
     def overlaps(self, words: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
         """Best verified overlap with each item: item id, equal words, overlap's words, first word in the
         document, first word in the item, item's words."""
         best: dict[int, tuple] = {}
-        for i, d in zip(*(x.tolist() for x in self.hits(words)), strict=True):
+        item, diagonal = self.hits(words, runs=True)
+        copies = self.whole(words, item, diagonal)
+        both = [np.concatenate(x) for x in zip(self.hits(words), (item[copies], diagonal[copies]), strict=True)]
+        for i, d in sorted(set(zip(*(x.tolist() for x in both), strict=True))):
             own = self.words[i]
             lo, hi = max(0, -d), min(len(own), len(words) - d)
             same = own[lo:hi] == words[lo + d : hi + d]
@@ -122,6 +154,8 @@ class Seeds:
             if matched >= min(MIN_MATCHED, len(own)) and matched >= MIN_IDENTITY * (end - start):
                 if i not in best or matched > best[i][1]:
                     best[i] = (self.ids[i], matched, end - start, start + lo + d, start + lo, len(own))
+            elif int(same.sum()) >= self.least[i] and (i not in best or int(same.sum()) > best[i][1]):
+                best[i] = (self.ids[i], int(same.sum()), hi - lo, lo + d, lo, len(own))
         return [best[i] for i in sorted(best)]
 
 

@@ -258,6 +258,19 @@ def test_decontamination_finds_copies_with_substitutions(spark, empty):
     assert decontamination.contaminated(rows, bench.where("false")).count() == 0
 
 
+def test_whole_copies_of_short_items_with_substitutions_at_every_place():
+    for n in range(5, 21):
+        item = [f"i{n}x{j}" for j in range(n)]
+        seeds = decontamination.Seeds([(7, " ".join(item))])
+        for changed in (1, 2, 3):
+            for at in itertools.combinations(range(n), changed):
+                copy = [f"other{j}" if j in at else w for j, w in enumerate(item)]
+                flat, _ = decontamination.word_hashes([" ".join(["a", "b", *copy, "c"])])
+                found = seeds.overlaps(flat)
+                enough = n - changed >= max(decontamination.MIN_WORDS, decontamination.MIN_IDENTITY * n)
+                assert bool(found) == enough or (found and found[0][1] >= decontamination.MIN_MATCHED), (n, at)
+
+
 # page extraction
 
 
