@@ -1,6 +1,6 @@
 """License scans: exact set-similarity join (DataFrame functions only).
 
-Every text block (a line) is compared with license templates by containment: the part of the
+Every text block (a line, or a window of words) is compared with license templates by containment: the part of the
 template's distinct words that the block holds. Tokens are ordered by their frequency over all
 blocks, rarest first. If a block holds at least `need` of a template's m tokens, it must hold one of
 the template's first m - need + 1 (prefix filter), it must have at least `need` distinct words
@@ -8,6 +8,10 @@ the template's first m - need + 1 (prefix filter), it must have at least `need`
 still be shared (positional filter). Candidates that pass are verified on the full word sets, so
 the join is exact: every block at or above the threshold is found.
 
+A notice may be wrapped, so runs of words across line ends are blocks too: windows with as many words as the
+template. A document that holds a prefix token and `need` tokens of a template has its windows verified
+where it is, from each template word on (no other start is better): only the best containment leaves the row.
+
 The texts are read twice: to count template tokens (one row a token), and to write, per document,
 its counts and the blocks that hold a prefix token. No text is shuffled: what is joined with the
 prefix index are the tokens of those blocks, and matches go back to the narrow document rows.
@@ -92,6 +96,21 @@ def prefix_index(templates, order: list[str], threshold: float) -> list[tuple]:
     return rows
 
 
+def _word_counts(templates) -> list[int]:
+    """The number of words, repeated ones too, of each template of `_template_sets`."""
+    low = [text.translate(str.maketrans(UPPER, LOWER)) for _, text in templates]
+    return [n for n in (len([w for w in re.split(NON_WORD, t) if w]) for t in low) if n]
+
+
+def _windows(ws: Column, distinct: Column, tokens: list[str], prefix: list[str], width: int, need: int) -> Column:
+    """Most tokens of a template that `width` words in a row hold; null if fewer than needed."""
+    own = F.array(*(F.lit(w) for w in tokens))
+    starts = F.filter(F.sequence(F.lit(1), F.size(ws)), lambda i: F.array_contains(own, F.element_at(ws, i)))
+    held = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice(ws, i, width), own))))
+    maybe = F.arrays_overlap(distinct, F.array(*(F.lit(w) for w in prefix))) & (F.size(F.array_intersect(distinct, own)) >= need)
+    return F.when(maybe, F.when(held >= need, held))
+
+
 def _phrase_starts(ws: Column, phrase: str) -> Column:
     parts = phrase.split(" ")
 
@@ -127,12 +146,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     held = F.when(F.arrays_overlap("ws", prefixes), held).otherwise(F.array().cast("array<array<string>>"))
     base = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("doc_id"), lowered(docs[text_col]).alias("low"))
     base = base.withColumn("ws", words(F.col("low")))
+    base = base.withColumn("distinct_ws", F.when(holds(F.col("low"), prefix_words), F.array_distinct("ws")).otherwise(F.array().cast("array<string>")))
+    wrapped = F.array(*(
+        F.struct(F.lit(label).alias("label"), (_windows(F.col("ws"), F.col("distinct_ws"), tokens, [w for w, k, *_ in rows if k == n], width, needed(len(tokens), threshold)) / F.lit(len(tokens))).alias("containment"))
+        for n, ((label, tokens), width) in enumerate(zip(sets, _word_counts(templates), strict=True))
+    ))
+    wrapped = F.filter(wrapped, lambda m: m["containment"].isNotNull())
     for k, (phrase, _) in enumerate(phrases):
         parts = phrase.split(" ")
         maybe = holds(F.col("low"), [max(parts, key=len)]) & (F.size("ws") >= len(parts))
         base = base.withColumn(f"starts_{k}", F.when(maybe, _phrase_starts(F.col("ws"), phrase)).otherwise(F.array().cast("array<int>")))
     base = common.staged(
-        base.select("row", "doc_id", F.size("ws").cast("long").alias("n_words"), *(f"starts_{k}" for k in range(len(phrases))), held.alias("blocks")),
+        base.select("row", "doc_id", F.size("ws").cast("long").alias("n_words"), *(f"starts_{k}" for k in range(len(phrases))), held.alias("blocks"), wrapped.alias("wrapped")),
         "license-blocks",
     )
     index = spark.createDataFrame(rows, "token string, template int, position int, template_size int, need int")
@@ -146,6 +171,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     pairs = pairs.select("row", "label", (F.col("shared") / F.col("template_size")).alias("containment"))
     found = pairs.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("label", "containment"))).alias("matches"))
     out = base.drop("blocks").join(found, "row", "left")
+    # a match of a line stays as it is; one of a window is listed beside it if it is another
+    both = F.sort_array(F.array_union(F.coalesce("matches", F.array().cast(found.schema["matches"].dataType)), "wrapped"))
+    out = out.withColumn("matches", F.when(F.size(both) > 0, both))
     starts = [F.col(f"starts_{k}") for k in range(len(phrases))]
     base_labels = F.filter(F.array(*(F.when(F.size(c) > 0, F.lit(label)) for c, (_, label) in zip(starts, phrases, strict=True))), lambda x: x.isNotNull())
     named = F.coalesce(F.transform("matches", lambda m: m["label"]), F.array().cast("array<string>"))

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import pytest
@@ -378,6 +379,22 @@ def test_licenses_against_brute_force(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_wrapped_license_notices(spark):
+    rows = []
+    for i, (label, template) in enumerate(license_scan.TEMPLATES):
+        for width in (30, 75):
+            lines = textwrap.wrap(template, width)
+            rows += [(f"{i} {width} {k}", f"Some words before.\n\n{mark}" + f"\n{mark}".join(lines) + "\n\nand after") for k, mark in enumerate(("", "# ", " * ", "// "))]
+    scattered = "\n".join(f"{w} filler words between them all" for w in license_scan.TEMPLATES[1][1].split())
+    rows += [("scattered", scattered), ("half", "\n".join(license_scan.TEMPLATES[1][1].split()[:11])), ("null", None)]
+    out = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert len(out) == len(rows)
+    for key, _ in rows[:-3]:
+        label = license_scan.TEMPLATES[int(key.split()[0])][0]
+        assert label in out[key]["labels"].split(",") and out[key]["score"] == 1.0, key
+    assert out["scattered"]["score"] == 0 and out["half"]["score"] == 0 and out["half"]["labels"] == "" and out["null"]["score"] == 0
+
+
 # mixing
 
 
