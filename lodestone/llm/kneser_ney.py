@@ -5,15 +5,15 @@ counted in every task and summed by key; lower orders count distinct left neighb
 counts of counts of a language and order; each order's probabilities are joined, sharded by n-gram,
 with the totals of their contexts and with the probabilities of the order below. A document's perplexity
 is that of its characters by the longest known n-gram, times the weights of the unknown contexts. A
-document is kept if its perplexity is not above its language's threshold: a quantile over trusted
-documents that training left out, widened by 1 / sqrt(their number).
+document is kept if its perplexity is not above its language's threshold: the quantile QUANTILE over
+the trusted documents of the language that training left out.
 
 Scoring: while the model has at most `max_entries` entries (16 bytes each, counted before), its shards
 are sent to the tasks as sorted arrays and texts are scored where they are, without a shuffle. Above
 that, documents' distinct n-grams with their counts are joined with the sharded model tables order by order.
 Both give the same perplexities.
 
-All trusted text is counted and every document is scored whole.
+All trusted text but the held-out documents' is counted and every document is scored whole.
 
 Defined results: null or empty texts have no perplexity and are not kept; a null language is a language of its
 own; a language without trusted text has no model: no perplexity, kept; repeated rows are scored
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from lodestone.llm import common
 
 ORDER = 5
-#: Quantile of the perplexities of held-out trusted documents; one document in HELD_OUT is held out.
-QUANTILE, HELD_OUT = 0.99, 5
+#: Quantile of the perplexities of held-out trusted documents, chosen by labels (README); one document in HELD_OUT is held out.
+QUANTILE, HELD_OUT = 0.96, 5
 #: Most model entries that are sent to the tasks.
 MAX_ENTRIES = 6_000_000
 #: Code points in one NumPy block, distinct n-grams that a counting task holds before it passes them on.
@@ -309,7 +309,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
         scored = _scored_by_joins(rows, probabilities, weights)
     scored = common.staged(scored.select("doc_id", "lang", "n_chars", F.exp(-F.col("logp") / F.nullif(F.col("n_chars"), F.lit(0))).alias("perplexity")), "perplexities")
     apart = scored.where(held_out & F.col("perplexity").isNotNull()).join(ids, F.col("doc_id") == F.col("trusted_id"), "left_semi")
-    limits = apart.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * (1 + 1 / F.sqrt(F.count("*")))).alias("threshold"))
+    limits = apart.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
     limits = limits.withColumnRenamed("lang", "lang_")
     out = scored.join(limits, _same("lang", "lang_"), "left")
     kept = F.when(F.col("n_chars") == 0, False).otherwise(F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))

@@ -496,3 +496,14 @@ def test_kneser_ney_against_brute_force(spark, empty):
                 assert perplexity is None and kept == bool(t)
         assert got[200][0][1] is False
     assert kneser_ney.classify(empty, trusted).count() == 0
+
+
+def test_the_threshold_is_the_quantile_of_held_out_trusted_documents(spark):
+    r = random.Random(6)
+    rows = [(i, "".join(r.choice("abcd e") for _ in range(r.randint(5, 60))), ("x", None)[i % 3 == 0]) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = {x["doc_id"] for x in docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(kneser_ney.HELD_OUT)) == 0).collect()}
+    out = kneser_ney.classify(docs, docs.select("doc_id").where("doc_id < 100"), order=3, quantile=0.9).collect()
+    for lang in ("x", None):
+        apart = sorted(x["perplexity"] for x in out if x["lang"] == lang and x["doc_id"] in held and x["doc_id"] < 100)
+        assert apart and {x["threshold"] for x in out if x["lang"] == lang} == {apart[math.ceil(0.9 * len(apart)) - 1]}
