@@ -21,7 +21,8 @@ aggregated with partial sums and joined with adaptive skew handling; a block hol
 
 Defined results: a null or empty text, or one without words, has 0 shingles and is linked with nothing; with
 fewer words than a shingle the whole sequence is one. Repeated rows are one class. Null ids keep their rows.
-Extra columns stay out (or, in `keep_one`, stay with their rows). An empty table gives an empty table.
+`keep_one`, unlike the column kept, leaves one row of a group also
+where ids are repeated or null. Extra columns stay out (or, in `keep_one`, stay with their rows). An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -113,8 +114,9 @@ def least_estimate(threshold: float) -> float:
     return threshold - SIGMAS * (agree * (1 - agree) / MINIMA) ** 0.5 / (1 - chance)
 
 
-def _signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    rows = docs.select(F.monotonically_increasing_id().alias("u"), docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("t"), docs[text_col].alias("text"))
+def _signatures(docs: DataFrame, id_col: str, text_col: str, k: int, row_col: str | None = None) -> DataFrame:
+    u = docs[row_col] if row_col else F.monotonically_increasing_id()
+    rows = docs.select(u.alias("u"), docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("t"), docs[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,9 +224,10 @@ def searched(mixed: DataFrame, own: DataFrame, docs: DataFrame, id_col: str, tex
     return full.groupBy("block").applyInPandas(compare, "a long, b long")
 
 
-def classes_and_roots(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Per document its digest and size; per class (c) its digest, first document, and root class."""
-    sigs = common.staged(_signatures(docs, id_col, text_col, k), "minhash")
+def classes_and_roots(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Per document its digest and size; per class (c) its digest, first document, and root class. row_col: numbers
+    of the rows, if `docs` has them."""
+    sigs = common.staged(_signatures(docs, id_col, text_col, k, row_col), "minhash")
     full = sigs.where("n > 0")
     classes = common.staged(full.groupBy("d0", "d1").agg(F.min("u").alias("c"), F.min("doc_id").alias("first_doc")), "classes")
     own = common.staged(full.join(classes.select(F.col("c").alias("u")), "u").select(F.col("u").alias("c"), "doc_id", "t", "n", "bands", *PACKED), "class-signatures")
@@ -266,12 +269,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of `docs` without all but one document of each group. Documents without shingles stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle, threshold)
-    gone = found.where("not kept").select(F.col("doc_id").alias("__ls_id"), F.col("t").alias("__ls_t")).distinct()
-    rows = docs.withColumn("__ls_hash", F.xxhash64(docs[text_col]))
-    rows = rows.join(gone, rows[id_col].eqNullSafe(F.col("__ls_id")) & (F.col("__ls_hash") == F.col("__ls_t")), "left_anti")
-    return rows.drop("__ls_hash")
+    """The rows of `docs` without all but one row of each group: that of the smallest id, nulls last, and among
+    equal ids the first row. Rows without shingles stay."""
+    rows = common.staged(docs.withColumn("__ls_row", F.monotonically_increasing_id()), "numbered")
+    sigs, classes = classes_and_roots(rows, id_col, text_col, shingle, threshold, "__ls_row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "u")
+    first = sigs.where("n > 0").groupBy("d0", "d1").agg(F.min(order).alias("first"))
+    first = first.join(classes.select("d0", "d1", "root"), ["d0", "d1"]).groupBy("root").agg(F.min("first")["u"].alias("u"))
+    keep = first.select("u").union(sigs.where("n = 0").select("u"))
+    return rows.join(keep.withColumnRenamed("u", "__ls_kept"), F.col("__ls_row") == F.col("__ls_kept"), "left_semi").drop("__ls_row")
 
 
 def op6_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

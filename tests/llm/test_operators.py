@@ -191,6 +191,17 @@ def test_keep_one_keeps_columns(spark, empty):
     assert near_dedup.keep_one(empty).count() == 0 and near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_keep_one_leaves_one_row_of_repeated_and_null_ids(spark):
+    text = lambda a, *changed: " ".join(changed[0] if changed and i == 9 else f"{a}{i}" for i in range(90))
+    rows = [(1, text("a"), 1)] * 3 + [(1, text("a", "near"), 1), (2, text("a"), 2)]  # repeated rows and near copies of one id
+    rows += [(None, text("b"), 3), (None, text("b", "near"), 3), (None, text("b"), 3), (None, text("c"), 4), (None, text("c"), 4)]
+    rows += [(1, text("d"), 5), (None, text("e"), 6), (7, text("e"), 6), (8, "", 7), (8, "", 7), (None, None, 8)]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, grp int").repartition(parts)
+        got = collections.Counter((r["grp"], r["doc_id"]) for r in near_dedup.keep_one(docs).collect())
+        assert got == {(1, 1): 1, (3, None): 1, (4, None): 1, (5, 1): 1, (6, 7): 1, (7, 8): 2, (8, None): 1}
+
+
 # substring dedup
 
 
