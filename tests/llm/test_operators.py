@@ -222,19 +222,69 @@ def brute_substrings(rows, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "most"), [(200, 20_000), (200, 2), (40, 20_000)])
-def test_substrings_against_brute_force(spark, monkeypatch, length, most):
-    monkeypatch.setattr(substring_dedup, "MOST", most)
-    rows = [r for r in documents(60) if r[1] is None or len(r[1]) < 20_000] + [(900, "ab" * 700, "en", "s", 0), (901, "é" * 150 + "x", "en", "s", 0), (902, "q" * 199, "en", "s", 0)]
+@pytest.mark.parametrize(("length", "hot"), [(200, 20_000), (200, 2), (40, 20_000), (40, 2)])
+def test_substrings_against_brute_force(spark, monkeypatch, length, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "SORT_BYTES", 4000)
+    rows = [r for r in documents(60) if r[1] is None or len(r[1]) < 20_000] + [(900, "ab" * 700, "en", "s", 0), (901, "é" * 150 + "x", "en", "s", 0), (902, "q" * 199, "en", "s", 0), (903, "\0" * 450 + "z", "en", "s", 0), (904, "y" + "\0" * 300, "en", "s", 0)]
     want = brute_substrings(rows, length)
-    out = substring_dedup.deduplicate(spark.createDataFrame(rows, DOCS), length=length, gram=min(32, length // 2)).collect()
+    docs = spark.createDataFrame([(*r, 1, b"x") for r in rows], f"{DOCS}, n_removed int, context binary")
+    out = substring_dedup.deduplicate(docs, length=length, gram=min(32, length // 2)).collect()
     assert len(out) == len(rows)
     for r in out:
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]], r["doc_id"]
 
 
-def test_substrings_of_nothing(empty):
+def test_anchors_are_the_leftmost_least_grams():
+    r = random.Random(9)
+    for length, gram in ((200, 32), (40, 20), (12, 4)):
+        for alphabet in (b"ab", bytes(range(256)), b"a"):
+            data = bytes(r.choice(alphabet) for _ in range(900))
+            x = substring_dedup.np.frombuffer(data, "u1")
+            names, first, place, n = substring_dedup.entries(x, length, gram)
+            at = [i for f, m in zip(first, n, strict=True) for i in range(f, f + m)]
+            assert at == list(range(len(data) - length + 1))
+            seen = {}
+            for name, f, p, m in zip(names.tolist(), first.tolist(), place.tolist(), n.tolist(), strict=True):
+                for i in range(f, f + m):
+                    offset = f + p - i
+                    assert 0 <= offset <= length - gram and seen.setdefault(data[i : i + length], (name, offset)) == (name, offset)
+                    own = data[f + p : f + p + gram]
+                    assert own not in [data[i + j : i + j + gram] for j in range(offset)]
+
+
+def test_multikey_quicksort_is_a_sort():
+    r = random.Random(2)
+    rows = [bytes(r.choice(b"\0ab") for _ in range(21)) for _ in range(300)] + [b"\0" * 21] * 5 + [b"a" * 21] * 9
+    order, prefix = substring_dedup.multikey_quicksort(substring_dedup.np.frombuffer(b"".join(rows), "u1").reshape(-1, 21))
+    got = [rows[i] for i in order]
+    assert got == sorted(rows) and sorted(order.tolist()) == list(range(len(rows)))
+    for (a, b), n in zip(itertools.pairwise(got), prefix[1:].tolist(), strict=True):
+        assert a[:n] == b[:n] and (n == 21 or a[n] != b[n])
+
+
+def test_a_passage_in_very_many_texts(spark, monkeypatch):
+    """Near copies with one hot passage: ties beyond a token's bound are found in all ways alike."""
+    passage = " ".join(f"shared{i}" for i in range(40))
+    rows = [(i, f"{hashlib.sha256(str(i).encode()).hexdigest()} {passage} {i} {hashlib.md5(str(i).encode()).hexdigest()}" * (1 + i % 2)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = []
+    for hot in (20_000, 500):
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
+        got.append(sorted(substring_dedup.deduplicate(docs).drop("spans").collect()))
+    assert got[0] == got[1]
+    want = brute_substrings(rows, 200)
+    assert all((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]] for r in got[0])
+
+
+def test_substrings_of_nothing_and_of_long_texts(spark, empty):
     assert substring_dedup.deduplicate(empty).count() == 0
+    r = random.Random(8)
+    words_ = [f"w{r.randint(0, 10**6)}" for _ in range(5000)]
+    text = " ".join(r.choice(words_) for _ in range(200_000))
+    rows = [(1, text + " " + text[1000:1500]), (2, None), (3, text[70_000:70_300])]
+    out = {r["doc_id"]: r for r in substring_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[3]["n_removed"] == 300 and out[2]["n_bytes"] == 0 and out[1]["n_spans"] == 3 and 1300 <= out[1]["n_removed"] <= 1310
 
 
 # decontamination
