@@ -1,5 +1,6 @@
 """Rules that tables do not show: query language, splitter, bookmarks, rate limits, lifecycle, streams, geometry."""
 
+import time
 import itertools
 import random
 from collections import deque
@@ -210,3 +211,23 @@ def test_streams(spark, tmp_path):
     q = E.coalesced_stream(events, 10, lambda paths, plans, epoch: seen.extend(map(tuple, paths.select("path", "state").collect()))).option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert seen == [("a", "removed")]
+
+
+def test_tag_reader_is_linear_and_keeps_offsets():
+    from lodestone.functions import markup
+
+    page = "İ" * 40 + '<a HREF="x>y" b=\'>\'>t</A><!-- <p> --><br/>1 < 2<p'
+    got = [(t.name, t.closing, t.closed, page[t.start : t.stop]) for t in markup.tags(page)]
+    assert got == [("a", False, False, '<a HREF="x>y" b=\'>\'>'), ("a", True, False, "</A>"), ("", False, False, "<!-- <p> -->"), ("br", False, True, "<br/>")]
+    assert markup.end_tag("İ</SCRIPT >", "script", 0) == (1, 11) and markup.end_tag("</scripts>", "script", 0) == (-1, -1)
+    began = time.monotonic()
+    for part in ("<a '", '<a "\'', "<a ", "<!", "<!--x", '<a x="', "<a x=\"'", "<a><!x", "</x"):
+        n = len(list(markup.tags(part * 200_000 + "\"'>\"")))
+        assert n <= 200_001
+    assert time.monotonic() - began < 30
+
+
+def test_bookmarks_after_letters_that_grow_in_lower_case():
+    rows = "".join(f'<DT><A HREF="http://x/{i}">{"İ" * 40 if i == 0 else "T"}{i}</A>' for i in range(3))
+    out = bookmarks.parse(f"<!DOCTYPE NETSCAPE-Bookmark-file-1><DL>{rows}</DL>")
+    assert [(r[3], r[4]) for r in out.records] == [("İ" * 40 + "0", "http://x/0"), ("T1", "http://x/1"), ("T2", "http://x/2")]
