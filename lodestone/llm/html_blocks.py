@@ -1,11 +1,16 @@
-"""Leaf blocks of an HTML page: text with the tags, classes and ids above it."""
+"""Leaf blocks of an HTML page: text with the tags, classes and ids above it.
+
+Time and memory grow with the page's length, whatever is unclosed or nested in it: tags are read by
+`functions.markup`, blocks share the nodes above them, and a node shares its parent's feature names where it adds none.
+"""
 
 from __future__ import annotations
 
 import re
 from html import unescape
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(/?)>|<[!?][^>]*>""", re.S)
+from lodestone.functions import markup
+
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Elements whose content is no text of the page.
 SKIPPED = frozenset("script style noscript template textarea title svg math iframe object select option canvas audio video head".split())
@@ -19,14 +24,45 @@ _STOPS = frozenset("ul ol table dl div section article aside nav main body html"
 _SPACE = re.compile(r"\s+")
 
 
+class Node:
+    """An open element: its tag, the words of its class, id and role, and what stands above it."""
+
+    __slots__ = ("above", "known", "tag", "words")
+
+    def __init__(self, tag: str, words: tuple[str, ...], above: Node | None):
+        self.tag, self.words, self.above = tag, words, above
+        self.known: tuple[object, frozenset[str]] | None = None
+
+
+_NO_NAMES: frozenset[str] = frozenset()
+
+
+def names_above(node: Node | None, vocabulary: dict | None) -> frozenset[str]:
+    """The feature names of a node and all above it; those in the vocabulary only, if there is one."""
+    todo = []
+    while node is not None and (node.known is None or node.known[0] is not vocabulary):
+        todo.append(node)
+        node = node.above
+    names = node.known[1] if node is not None else _NO_NAMES
+    for x in reversed(todo):
+        own = {n for n in (f"in {x.tag}", *(f"word {w}" for w in x.words)) if vocabulary is None or n in vocabulary}
+        if not own <= names:
+            names |= own
+        x.known = (vocabulary, names)
+    return names
+
+
 class Block:
-    """One leaf block: its text, the (tag, attribute words) pairs above it, characters inside links, and tag."""
+    """One leaf block: its text, the innermost node around it, and characters inside links."""
 
-    __slots__ = ("linked", "path", "tag", "text")
+    __slots__ = ("linked", "node", "text")
 
-    def __init__(self, text: str, path: tuple, linked: int):
-        self.text, self.path, self.linked = text, path, linked
-        self.tag = path[-1][0] if path else ""
+    def __init__(self, text: str, node: Node | None, linked: int):
+        self.text, self.node, self.linked = text, node, linked
+
+    @property
+    def tag(self) -> str:
+        return self.node.tag if self.node else ""
 
 
 def _words(attributes: str) -> tuple[str, ...]:
@@ -38,76 +74,108 @@ def _words(attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+class _Open:
+    """The open elements, with a count of each tag: in all, and since the last element that ends a search (`_STOPS`)."""
+
+    def __init__(self):
+        self.nodes: list[Node] = []
+        self.count: dict[str, int] = {}
+        self.scopes: list[dict[str, int]] = [{}]
+
+    @property
+    def top(self) -> Node | None:
+        return self.nodes[-1] if self.nodes else None
+
+    def push(self, tag: str, words: tuple[str, ...]) -> None:
+        self.nodes.append(Node(tag, words, self.top))
+        self.count[tag] = self.count.get(tag, 0) + 1
+        if tag in _STOPS:
+            self.scopes.append({})
+        self.scopes[-1][tag] = self.scopes[-1].get(tag, 0) + 1
+
+    def pop(self) -> str:
+        tag = self.nodes.pop().tag
+        self.count[tag] -= 1
+        self.scopes[-1][tag] -= 1
+        if tag in _STOPS:
+            self.scopes.pop()
+        return tag
+
+    def close(self, tag: str) -> None:
+        """End the innermost element of this tag, and what is open in it."""
+        if self.count.get(tag):
+            while self.pop() != tag:
+                pass
+
+    def close_any(self, tags: set[str]) -> None:
+        """The same for any of these tags, if one is open since the last stop."""
+        if any(self.scopes[-1].get(t) for t in tags):
+            while self.pop() not in tags:
+                pass
+
+
 def leaf_blocks(html: str) -> list[Block]:
     """The blocks with text in page order. White space becomes one space; character references are decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    opened = _Open()
     parts: list[str] = []
     links = linked = 0
-    lowered = None
+    endless: set[str] = set()  # elements without a further end tag
 
     def end() -> None:
         nonlocal linked
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append(Block(text, tuple(x for x in stack if x[0] not in INLINE), linked))
+                out.append(Block(text, opened.top, linked))
             parts.clear()
         linked = 0
 
+    def read(raw: str) -> None:
+        nonlocal linked
+        text = unescape(raw) if "&" in raw else raw
+        parts.append(text)
+        if links:
+            linked += len(text.strip())
+
     at, n = 0, len(html)
-    while at < n:
-        found = _TOKEN.search(html, at)
-        stop = found.start() if found else n
-        if stop > at:
-            raw = html[at:stop]
-            text = unescape(raw) if "&" in raw else raw
-            parts.append(text)
-            if links:
-                linked += len(text.strip())
-        if not found:
-            break
-        at = found.end()
-        if found[2] is None:
+    reader = markup.tags(html)
+    for tag in reader:
+        if tag.start > at:
+            read(html[at : tag.start])
+        at, name = tag.stop, tag.name
+        if not name:
+            continue
+        if tag.closing:
+            if name == "a":
+                links = 0
+            elif name not in INLINE and name not in VOID:
+                end()
+                opened.close(name)
+                links = 0
+            continue
+        if name in SKIPPED and name != "head":
+            if not tag.closed:
+                start, stop = markup.end_tag(html, name, at) if name not in endless else (-1, -1)
+                if start >= 0:
+                    at = n if stop < 0 else stop
+                else:
+                    endless.add(name)
+                    at = n if name in ("script", "style") else at
+                reader.send(at)
+            continue
+        if name in INLINE:
+            links += name == "a" and not links
+            continue
+        end()
+        if name in VOID or tag.closed:
             continue
-        tag = found[2].lower()
-        if not found[1]:
-            if tag in SKIPPED and tag != "head":
-                if not found[4]:
-                    if lowered is None:
-                        lowered = html.lower()
-                    close = lowered.find(f"</{tag}", at)
-                    if close < 0:
-                        at = n if tag in ("script", "style") else at
-                    else:
-                        gt = html.find(">", close)
-                        at = n if gt < 0 else gt + 1
-                continue
-            if tag in INLINE:
-                links += tag == "a" and not links
-                continue
-            end()
-            if tag in VOID or found[4]:
-                continue
-            if tag in _PARAGRAPH_ENDERS and stack and stack[-1][0] == "p":
-                stack.pop()
-            closes = _CLOSES.get(tag)
-            if closes:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in closes:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in _STOPS:
-                        break
-            stack.append((tag, _words(found[3])))
-        elif tag == "a":
-            links = 0
-        elif tag not in INLINE and tag not in VOID:
-            end()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-            links = 0
+        if name in _PARAGRAPH_ENDERS and opened.top and opened.top.tag == "p":
+            opened.pop()
+        if name in _CLOSES:
+            opened.close_any(_CLOSES[name])
+        opened.push(name, _words(tag.attributes))
+    if at < n:
+        read(html[at:])
     end()
     return out

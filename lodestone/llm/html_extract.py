@@ -24,20 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import common
-from lodestone.llm.html_blocks import Block, leaf_blocks
+from lodestone.llm.html_blocks import Block, leaf_blocks, names_above
 from lodestone.llm.page_grammar import LABEL, labelled_pages
 
 TRAINING_PAGES, PASSES, RATE, PENALTY = 1500, 120, 0.5, 1e-4
 
 
-def features(blocks: list[Block]) -> list[set[str]]:
-    """Names of the features of each block."""
+def features(blocks: list[Block], vocabulary: dict | None = None) -> list[set[str]]:
+    """Names of the features of each block; of those above it only such as are in the vocabulary, if there is one."""
     out = []
     for i, b in enumerate(blocks):
-        f = {"bias", f"tag {b.tag}"}
-        for tag, words in b.path:
-            f.add(f"in {tag}")
-            f.update(f"word {w}" for w in words)
+        f = {"bias", f"tag {b.tag}", *names_above(b.node, vocabulary)}
         n = len(b.text)
         f.add(f"length {min(n.bit_length(), 10)}")
         share = b.linked / max(n, 1)
@@ -64,7 +61,7 @@ class Model:
         """Viterbi: which blocks are main."""
         (m00, m01), (m10, m11) = self.moves
         back, s0, s1, known = [], 0.0, 0.0, self.weights
-        for i, found in enumerate(features(blocks)):
+        for i, found in enumerate(features(blocks, known)):
             e0 = e1 = 0.0
             for name in found:
                 w = known.get(name)

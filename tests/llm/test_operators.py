@@ -7,6 +7,7 @@ import math
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import pytest
@@ -370,6 +371,73 @@ def test_extraction_of_odd_pages(spark):
     assert html_extract.extract(rows.where("false")).count() == 0
 
 
+#: Hand-written pages in shapes that the training grammar has not; blocks that begin with + are main text.
+PAGES = (
+    """<body><table><tr><td width=150><a href=/>Home</a><br><a href=/a>About us</a></td><td><h1>+A day at the sea</h1><p>+We left the town at six in the morning, when the streets were still empty.<p>+The road follows the river for an hour and then climbs into the hills.<p>+At noon we saw the water, and nobody spoke for a while.</td></tr></table><p align=center><small>Copyright 1999 Ann. <a href=/m>Write me</a></small>""",
+    """<div class="l-wrap"><div class="topbar"><a href=/>News</a> <a href=/s>Sport</a> <a href=/w>Weather</a></div><div class="l-col"><h1 class="headline">+Council votes for new bridge</h1><div class="byline">+By a reporter</div><div class="body"><p>+The council voted on Tuesday for a new bridge over the river, after a debate of four hours.</p><p>+Work will begin in spring, the mayor said, and take two years.</p><h3>+What it costs</h3><p>+The plan puts the price at nine million, a third of it from the state.</p></div></div><div class="sidebar-right"><h4>Most read</h4><ul><li><a href=/1>Storm hits coast</a></li><li><a href=/2>Team wins cup</a></li></ul></div><footer><p>&copy; The paper. All rights reserved.</p></footer></div>""",
+    """<header id="top"><img alt=logo><nav><a href=/>Start</a><a href=/docs>Docs</a></nav></header><main class="docs"><h1>+Install</h1><p>+Download the archive and unpack it anywhere you like.</p><pre>+tar xf tool.tar.gz</pre><h2>+First steps</h2><ol><li>+Open a terminal in the folder.</li><li>+Run the program once, so that it writes its settings.</li></ol><blockquote><p>+Settings are kept in your home folder.</p></blockquote></main><div class="pagination"><a href=/p>Previous</a> <a href=/n>Next</a></div><footer>&copy; the project</footer>""",
+    """<div id="page"><div id="cookie-notice"><p>This site uses cookies. <a href=/c>More</a> <button>OK</button></p></div><section class="post"><h2>+On bread</h2><p>+Good bread needs four things, and the fourth is time. +I bake on Sundays.</p><div class="advertisement"><p>Buy a better oven today!</p></div><p>+Mix the flour and the water first and leave them alone for an hour.</p><p>+Then add salt and the leaven, and fold the dough every half hour until evening.</p></section><section id="comments"><h3>2 comments</h3><div class="comment"><p>Lovely, I will try this.</p></div><div class="comment"><p>Mine came out flat, what did I do wrong?</p></div></section></div>""",
+)
+
+
+def test_crf_on_hand_labelled_pages_of_other_shapes():
+    from lodestone.llm.html_blocks import leaf_blocks
+
+    crf, right, n = html_extract.model(), 0, 0
+    for page in PAGES:
+        blocks = leaf_blocks(page)
+        gold = [b.text.startswith("+") for b in blocks]
+        for b in blocks:
+            b.text = b.text.removeprefix("+")
+        right += sum(a == b for a, b in zip(gold, crf.decode(blocks), strict=True))
+        n += len(gold)
+    assert n == 38 and right / n >= 0.85, (right, n)
+
+
+def test_training_climbs_the_likelihood():
+    """The gradient that training follows is that of the likelihood, summed over all paths by brute force."""
+    from lodestone.llm.html_blocks import leaf_blocks
+    from lodestone.llm.page_grammar import LABEL
+
+    pages = [f"<nav>Menu</nav><article><p>{LABEL}One two.</p></article>", f"<p>{LABEL}Three.</p><footer>Four</footer>", f"<article><p>{LABEL}Five six seven.</p><p>{LABEL}Eight.</p></article>"]
+
+    def loss(crf):
+        total = 0.0
+        for page in pages:
+            blocks = leaf_blocks(page)
+            gold = tuple(int(b.text.startswith(LABEL)) for b in blocks)
+            for b in blocks:
+                b.text = b.text.removeprefix(LABEL)
+            found = html_extract.features(blocks)
+            score = lambda y: crf.starts[y[0]] + sum(crf.weights.get(f, (0, 0))[s] for fs, s in zip(found, y, strict=True) for f in fs) + sum(crf.moves[a][b] for a, b in itertools.pairwise(y))  # noqa: B023, E731
+            total += math.log(sum(math.exp(score(y)) for y in itertools.product((0, 1), repeat=len(blocks)))) - score(gold)
+        return total
+
+    flat = html_extract.train(pages, passes=0)
+    stepped = html_extract.train(pages, passes=1, rate=1e-4, penalty=0.0)
+    # AdaGrad's first step is rate * sign(gradient): every weight that moved must lower the loss by itself
+    for name, (w0, w1) in stepped.weights.items():
+        for s, w in enumerate((w0, w1)):
+            if abs(w) > 1e-5:
+                one = html_extract.Model(flat.weights | {name: (w, 0.0) if s == 0 else (0.0, w)}, flat.moves, flat.starts)
+                assert loss(one) < loss(flat), name
+    assert loss(html_extract.train(pages, passes=60)) < 0.2 * loss(flat)
+
+
+def test_extraction_keeps_what_follows_letters_that_grow_in_lower_case(spark):
+    page = "<article><p>" + "İ" * 40 + " one.</p><SCRIPT>var x</Script><p>Two three.</p></article>"
+    rows = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert html_extract.extract(rows).first()["text"] == "İ" * 40 + " one.\nTwo three."
+
+
+def test_pages_that_are_long_unclosed_or_deep_take_linear_time():
+    crf = html_extract.model()
+    began = time.monotonic()
+    for page in ("<a '" * 250_000, "<div>x" * 100_000, "".join(f"<div class=c{i % 5000}>" for i in range(50_000)) + "x", "<p><div>" + "<center>" * 50_000 + "<p></p>" * 50_000, "<title>" * 100_000, "<x></y>" * 100_000, "<li>x" * 100_000, "<!--" * 200_000, "word " * 1_000_000):
+        html_extract.main_text(page, crf)
+    assert time.monotonic() - began < 120
+
+
 # URL rules
 
 
