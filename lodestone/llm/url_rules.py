@@ -1,22 +1,25 @@
 """URL filters: association rules (DataFrame functions and Spark's FP-growth only).
 
-A URL becomes a small set of tokens (top-level domain, registered domain, full host, its first
-label, first path segments, extension, query keys, with digits as #). FP-growth mines
-combinations of tokens with the label; rules `tokens -> block` below the confidence or support
-limits are dropped. Rules are matched by an inverted index: each rule is filed under its
+A URL becomes a set of tokens: top-level domain, registered domain, full host, every label of the host, every path
+segment with its place, the extension and every query key, with digits as #. FP-growth mines combinations of
+tokens with each label, and with `clean` for URLs without one; rules `tokens -> label` stay if their support is enough, if their confidence is above the label's base
+rate by MIN_GAIN of what the base rate leaves, and if chance at the base rate would give that many rows only with
+a normal score of MIN_SCORE or more. Rules are matched by an inverted index: each rule is filed under its
 rarest token, a URL's tokens look rules up there, and the rest of the rule is verified on the set.
 
-The hand-written rules (host and path) come first: the longest that fits decides; the mined rules
-decide the rest.
+The hand-written rules (host and path) come first: the longest that fits decides; of the mined rules the one with the
+highest confidence decides the rest (then the highest support, then a label to block), and what no rule fits is allowed.
 
-Scale: mining sees distinct labelled URLs, so a URL that holds a third of the rows counts once, and a
-URL has at most 13 tokens by construction, which bounds the itemsets that one shape can give. The
-index is looked up once for each distinct token set, and the answers are joined back by set with
-Spark's choice of join (adaptive skew handling splits hot sets).
+Scale: mining sees distinct labelled URLs, so a URL that holds a third of the rows counts once. Before it, tokens under
+the support limit go (no itemset with them is frequent), and tokens that stand in the same URLs become one item (no count
+changes), so a long fixed path is one item and not all its subsets. What is left to grow with the length of URLs are frequent
+combinations of tokens that occur independently; the support limit bounds them. The index is looked up once for each distinct
+token set; the answers are written, so that their size is known and the join back by set can be split where a set is hot.
 
 Defined results: a null URL, or one without ://, has an empty host and path, no tokens, no rule and
-the verdict allow; repeated rows and ties are judged alike (longest rule, then the smaller string);
-without labels nothing is mined and all that no rule blocks is allowed; extra columns stay out.
+the verdict allow; repeated rows and ties are judged alike (longest rule, then the smaller string); very long URLs are
+read whole; a null label counts as not given; without labels nothing is mined and all that no rule blocks is allowed;
+extra columns stay out; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -30,10 +33,10 @@ from lodestone.llm import common
 #: verdict, host and path prefix
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BLOCK = "label=block"
-#: Mined rules need this confidence, this share of labelled URLs, this many of them, and a lift over the base rate.
-MIN_CONFIDENCE, MIN_SUPPORT, MIN_ROWS, MIN_LIFT = 0.6, 0.001, 5, 1.5
-
+LABEL, CLEAN = "label=", "clean"
+#: Mined rules need this share of labelled URLs and this many of them (rows with the label), this part of the way from the
+#: label's base rate to 1 as confidence, and this normal score of their count against the base rate (1.64: 5 % by chance).
+MIN_SUPPORT, MIN_ROWS, MIN_GAIN, MIN_SCORE = 0.001, 5, 0.15, 1.64
 
 def _rest(url: Column) -> Column:
     at = F.instr(url, "://")
@@ -50,48 +53,73 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
 def tokens(url: Column) -> Column:
-    """The distinct tokens of a URL, 13 at most."""
+    """The distinct tokens of a URL."""
     h, p = host(url), path(url)
-    labels = F.split(h, r"\.")
+    labels = F.filter(F.split(h, r"\."), lambda x: x != "")
     plain = lambda c: F.regexp_replace(F.translate(c, UPPER, LOWER), "[0-9]+", "#")
     segments = F.filter(F.split(p, "/"), lambda x: x != "")
-    stem = F.transform(F.slice(segments, 1, 4), lambda x: plain(F.regexp_replace(x, r"\.[A-Za-z0-9]{1,5}$", "")))
+    stem = F.transform(segments, lambda x: plain(F.regexp_replace(x, r"\.[A-Za-z0-9]{1,5}$", "")))
     extension = F.regexp_extract(p, r"\.([A-Za-z0-9]{1,5})$", 1)
-    keys = F.slice(F.array_distinct(F.regexp_extract_all(_rest(url), F.lit(r"[?&]([^=&#]+)"), 1)), 1, 4)
+    keys = F.array_distinct(F.regexp_extract_all(_rest(url), F.lit(r"[?&]([^=&#]+)"), 1))
     found = F.concat(
-        F.array(F.concat(F.lit("tld="), F.element_at(labels, -1)), F.concat(F.lit("domain="), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")), F.concat(F.lit("host="), h), F.concat(F.lit("first="), F.element_at(labels, 1))),
+        F.array(F.concat(F.lit("tld="), F.element_at(labels, -1)), F.concat(F.lit("domain="), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")), F.concat(F.lit("host="), h)),
+        F.transform(labels, lambda x: F.concat(F.lit("part="), x)),
         F.transform(stem, lambda x, i: F.concat(F.lit("path"), i, F.lit("="), x)),
-        F.when(extension != "", F.array(F.concat(F.lit("ext="), extension))).otherwise(F.array().cast("array<string>")),
+        F.when(extension != "", F.array(F.concat(F.lit("ext="), extension))).otherwise(_none()),
         F.transform(keys, lambda x: F.concat(F.lit("key="), plain(x))),
     )
-    return F.when(h == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(found)))
-
-
-def mine(labelled: DataFrame, url_col: str = "url", block_col: str = "block", min_confidence: float = MIN_CONFIDENCE, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_lift: float = MIN_LIFT) -> DataFrame:
-    """labelled: a URL and a boolean. Rules as rule_tokens (array), confidence, support (rows) and key, the
-    rarest token. A URL with both labels counts as to block."""
-    rows = labelled.where(labelled[url_col].isNotNull() & labelled[block_col].isNotNull()).groupBy(labelled[url_col].alias("u")).agg(F.max(block_col).alias("b"))
-    sets = rows.select(F.concat(tokens(F.col("u")), F.when(F.col("b"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items")).where(F.size("items") > 0)
+    return F.when(F.size(labels) == 0, _none()).otherwise(F.array_sort(F.array_distinct(found)))
+
+
+def mine(labelled: DataFrame, url_col: str = "url", label_cols: tuple[str, ...] = ("block",), min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_gain: float = MIN_GAIN, min_score: float = MIN_SCORE) -> DataFrame:
+    """labelled: a URL and a boolean for each label. Rules as rule_tokens (array), label, confidence, support (rows with
+    the label) and key, the rarest token. A URL has the labels of all its rows."""
+    spark = labelled.sparkSession
+    known = F.coalesce(*(F.col(c) for c in label_cols)).isNotNull()
+    rows = labelled.where(labelled[url_col].isNotNull() & known).groupBy(labelled[url_col].alias("u")).agg(*(F.max(F.coalesce(F.col(c), F.lit(False))).alias(c) for c in label_cols))
+    given = F.filter(F.array(*(F.when(F.col(c), F.lit(LABEL + c)) for c in label_cols)), lambda x: x.isNotNull())
+    given = F.when(F.size(given) == 0, F.array(F.lit(LABEL + CLEAN))).otherwise(given)
+    sets = rows.select(F.xxhash64("u").alias("id"), F.xxhash64(F.lit(1), "u").alias("id2"), tokens(F.col("u")).alias("tokens"), given.alias("given")).where(F.size("tokens") > 0)
     sets = common.staged(sets, "url-sets")
     n = sets.count()
-    empty = "rule_tokens array<string>, confidence double, support long, key string"
     if not n:
-        return labelled.sparkSession.createDataFrame([], empty)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / n)), minConfidence=min_confidence).fit(sets)
-    singles = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK) & (F.col("lift") >= min_lift))
-    rules = rules.select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", F.round(F.col("support") * n).cast("long").alias("support"))
-    each = rules.select("rule_tokens", "confidence", "support", F.explode("rule_tokens").alias("token")).join(singles, "token")
-    rules = each.groupBy("rule_tokens", "confidence", "support").agg(F.min(F.struct("freq", "token"))["token"].alias("key"))
-    return common.staged(rules.select("rule_tokens", "confidence", "support", "key"), "url-rules")
+        return spark.createDataFrame([], "rule_tokens array<string>, label string, confidence double, support long, key string")
+    least = max(min_support, min_rows / n)
+    # frequent tokens; those of the same URLs become one item, named by the first of them
+    each = sets.select("id", "id2", F.explode("tokens").alias("token"))
+    frequent = each.groupBy("token").agg(F.count("*").alias("freq"), F.bit_xor("id").alias("x"), F.bit_xor("id2").alias("y")).where(F.col("freq") >= min_rows)
+    items = frequent.groupBy("freq", "x", "y").agg(F.min("token").alias("item"), F.sort_array(F.collect_set("token")).alias("members"))
+    items = common.staged(items.select("item", "freq", "members"), "url-items")
+    held = each.join(items.select(F.col("item").alias("token")), "token").groupBy("id", "id2").agg(F.collect_set("token").alias("held"))
+    sets = sets.join(held, ["id", "id2"], "left").select(F.concat(F.coalesce("held", _none()), "given").alias("items"))
+    sets = common.staged(sets.where(F.size("items") > 0), "url-items-of-sets")
+    labels = sets.select(F.explode("items").alias("label")).where(F.startswith("label", F.lit(LABEL))).groupBy("label").count()
+    base = {r["label"]: r["count"] / n for r in labels.collect()}  # one row for each label column
+    rules = FPGrowth(itemsCol="items", minSupport=min(1.0, least * n / max(sets.count(), 1)), minConfidence=0.0).fit(sets).associationRules
+    rules = rules.where((F.size("consequent") == 1) & F.startswith(F.col("consequent")[0], F.lit(LABEL)) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit(LABEL))))
+    rate = F.lit(None).cast("double")
+    for label, share in base.items():
+        rate = F.when(F.col("consequent")[0] == label, F.lit(share)).otherwise(rate)
+    rules = rules.select("antecedent", F.col("consequent")[0].alias("label"), "confidence", F.round(F.col("support") * sets.count()).cast("long").alias("support"), rate.alias("rate"))
+    of = F.col("support") / F.col("confidence")
+    enough = (F.col("support") >= F.greatest(F.lit(min_rows), F.lit(min_support * n))) & (F.col("confidence") >= F.col("rate") + min_gain * (1 - F.col("rate")))
+    rules = rules.where(enough & (F.col("support") - of * F.col("rate") >= min_score * F.sqrt(of * F.col("rate") * (1 - F.col("rate")))))
+    each = rules.select("*", F.explode("antecedent").alias("item")).join(items, "item")
+    rules = each.groupBy("antecedent", "label", "confidence", "support").agg(F.sort_array(F.flatten(F.collect_list("members"))).alias("rule_tokens"), F.min(F.struct("freq", "item"))["item"].alias("key"))
+    return common.staged(rules.select("rule_tokens", F.expr(f"substring(label, {len(LABEL) + 1})").alias("label"), "confidence", "support", "key"), "url-rules")
 
 
 def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """sets: distinct arrays `tokens`. Those that hold all tokens of a rule, with the best confidence and the number of rules."""
+    """sets: distinct arrays `tokens`. Those that hold all tokens of a rule, with the best rule's label and confidence and the number of rules."""
     hits = sets.select("tokens", F.explode("tokens").alias("key")).join(rules, "key")
     hits = hits.where(F.size(F.array_intersect("rule_tokens", "tokens")) == F.size("rule_tokens"))
-    return hits.groupBy("tokens").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n_rules"))
+    best = F.max(F.struct("confidence", "support", (F.col("label") != CLEAN).alias("block"), "label"))
+    return hits.groupBy("tokens").agg(best.alias("best"), F.count("*").alias("n_rules")).select("tokens", F.col("best.label").alias("label"), F.col("best.confidence").alias("confidence"), "n_rules")
 
 
 def _fits(h: Column, p: Column, rule: tuple[str, str, str]) -> Column:
@@ -99,30 +127,29 @@ def _fits(h: Column, p: Column, rule: tuple[str, str, str]) -> Column:
 
 
 def judge(pages: DataFrame, mined: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, and confidence and n_rules of the mined rules."""
+    """One row per page: page_id, host, path, rule, verdict, and label and confidence of the best mined rule and n_rules, the mined rules that fit."""
     out = pages.select(pages[id_col].alias("page_id"), host(pages[url_col]).alias("host"), path(pages[url_col]).alias("path"), tokens(pages[url_col]).alias("tokens"))
-    found = match(out.select("tokens").distinct(), mined)
+    found = common.staged(match(out.select("tokens").distinct(), mined), "url-matches")
     rule, said = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2])):  # later ones, the longer, come out on top
         fits = _fits(F.col("host"), F.col("path"), r)
         rule, said = F.when(fits, r[1] + r[2]).otherwise(rule), F.when(fits, r[0]).otherwise(said)
     out = out.join(found, "tokens", "left")
-    mined_verdict = F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")
-    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(said, mined_verdict).alias("verdict"), "confidence", F.coalesce("n_rules", F.lit(0)).alias("n_rules"))
+    mined_verdict = F.when(F.col("label") != CLEAN, "block").otherwise("allow")
+    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(said, mined_verdict).alias("verdict"), "label", "confidence", F.coalesce("n_rules", F.lit(0)).alias("n_rules"))
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """Page URLs with the label of the document that a page shows (the number that ends its path):
-    to block if it is of bad quality or toxic."""
+    """Page URLs with the labels of the document that a page shows (the number that ends its path): low quality, toxic."""
     number = F.regexp_extract(path(pages["url"]), r"/([0-9]{1,18})(?:\.[A-Za-z0-9]+)?/?$", 1)
     shown = pages.select("url", number.alias("n")).select("url", F.expr("try_cast(n as bigint)").alias("doc_id"))
-    bad = labels.select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
-    return shown.join(bad, "doc_id").select("url", "block")
+    said = labels.select("doc_id", (F.col("quality") == 0).alias("low"), (F.col("toxic") == 1).alias("toxic"))
+    return shown.join(said, "doc_id").select("url", "low", "toxic")
 
 
 def op7_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages").select("page_id", "url")
-    mined = mine(labelled_pages(pages, common.table(spark, sf_dir, "labels")))
+    mined = mine(labelled_pages(pages, common.table(spark, sf_dir, "labels")), label_cols=("low", "toxic"))
     return judge(pages, mined)
 
 

@@ -452,28 +452,55 @@ def test_url_parts_and_hand_rules(spark):
     ]
 
 
+def brute_rules(sets, label, n):
+    """All closed combinations of frequent tokens that pass the limits: tokens, confidence, support."""
+    base = sum(label in held for _, held in sets) / n
+    where = {t: frozenset(i for i, (own, _) in enumerate(sets) if t in own) for own, _ in sets for t in own}
+    where = {t: w for t, w in where.items() if len(w) >= url_rules.MIN_ROWS}
+    same = collections.defaultdict(list)
+    for t, w in where.items():
+        same[w].append(t)
+    out = {}
+    for own, _ in sets:
+        groups = sorted({min(same[where[t]]) for t in own if t in where})
+        for k in range(1, len(groups) + 1):
+            for combo in itertools.combinations(groups, k):
+                at = frozenset.intersection(*(where[t] for t in combo))
+                hits = sum(label in sets[i][1] for i in at)
+                share = hits / len(at)
+                enough = hits >= max(url_rules.MIN_ROWS, url_rules.MIN_SUPPORT * n) and share >= base + url_rules.MIN_GAIN * (1 - base)
+                if enough and hits - len(at) * base >= url_rules.MIN_SCORE * (len(at) * base * (1 - base)) ** 0.5:
+                    out[tuple(sorted(x for t in combo for x in same[where[t]]))] = (share, hits)
+    return out
+
+
 def test_mined_rules_against_brute_force(spark):
     r = random.Random(2)
     rows = []
     for i in range(300):
-        host, part = r.choice(("good.net", "spam.net", "mixed.net")), r.choice(("buy", "read"))
-        rows.append((f"http://{host}/{part}/{i}", host == "spam.net" or (host == "mixed.net" and part == "buy")))
-    labelled = spark.createDataFrame(rows + rows[:50], "url string, block boolean")
-    rules = url_rules.mine(labelled)
-    sets = [(set(t), b) for t, b in labelled.dropDuplicates(["url"]).select(url_rules.tokens(F.col("url")), "block").collect()]
-    base = sum(b for _, b in sets) / len(sets)
-    want = {}
-    for s in {frozenset(t) for t, _ in sets}:
-        for n in range(1, len(s) + 1):
-            for combo in itertools.combinations(sorted(s), n):
-                all_ = [b for t, b in sets if t >= set(combo)]
-                if sum(all_) >= max(url_rules.MIN_ROWS, url_rules.MIN_SUPPORT * len(sets)) and sum(all_) / len(all_) >= max(url_rules.MIN_CONFIDENCE, url_rules.MIN_LIFT * base):
-                    want[combo] = (sum(all_) / len(all_), sum(all_))
-    got = {tuple(x["rule_tokens"]): (x["confidence"], x["support"]) for x in rules.collect()}
-    assert got.keys() == want.keys() and want
-    assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
-    pages = spark.createDataFrame([(1, "http://spam.net/read/9"), (2, "http://good.net/buy/9"), (3, "http://mixed.net/buy/7"), (4, "http://mixed.net/read/7")], "page_id long, url string")
-    assert {x["page_id"]: x["verdict"] for x in url_rules.judge(pages, rules).collect()} == {1: "block", 2: "allow", 3: "block", 4: "allow"}
+        site, part = r.choice(("good", "spam", "mixed")), r.choice(("buy", "read"))
+        host = r.choice(("", "m.", "www.")) + site + ".net"
+        rows.append((f"http://{host}/a/b/c/d/{part}/{i}?q=1&w=2&e=3&r=4&t={i}", site == "spam" or (site == "mixed" and part == "buy"), None if i % 7 else i % 14 == 0, "x"))
+    labelled = spark.createDataFrame([*rows, *rows[:50], ("http://x.net/" + "s/" * 3000, False, None, "x"), (None, True, True, "x"), ("no url", True, None, "x")], "url string, block boolean, odd boolean, token string")
+    rules = url_rules.mine(labelled, label_cols=("block", "odd"))
+    sets = [(set(t), {k for k, v in (("block", b), ("odd", o)) if v} or {"clean"}) for t, b, o in labelled.where("url like '%://%'").dropDuplicates(["url"]).select(url_rules.tokens(F.col("url")), "block", "odd").collect()]
+    for label in ("block", "odd", "clean"):
+        want = brute_rules(sets, label, len(sets))
+        got = {tuple(x["rule_tokens"]): (x["confidence"], x["support"]) for x in rules.where(F.col("label") == label).collect()}
+        assert got.keys() == want.keys() and (want or label == "odd")
+        assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
+    assert any("part=spam" in x["rule_tokens"] for x in rules.collect())
+    tail = "?q=1&w=2&e=3&r=4&t=5"
+    pages = spark.createDataFrame([(1, "http://m.spam.net/a/b/c/d/read/9" + tail), (2, "http://good.net/a/b/c/d/buy/9" + tail), (3, "http://mixed.net/a/b/c/d/buy/7" + tail), (4, "http://mixed.net/a/b/c/d/read/7" + tail), (4, "http://mixed.net/a/b/c/d/read/7" + tail)], "page_id long, url string")
+    assert sorted((x["page_id"], x["verdict"]) for x in url_rules.judge(pages, rules).collect()) == [(1, "block"), (2, "allow"), (3, "block"), (4, "allow"), (4, "allow")]
+    assert url_rules.judge(pages.where("false"), rules).count() == 0 and url_rules.mine(labelled.where("false")).count() == 0
+
+
+def test_rules_are_mined_from_the_given_tables(spark):
+    at = "/root/testdata/sf0.01"
+    read = lambda t: spark.read.parquet(f"{at}/{t}.parquet")
+    rules = url_rules.mine(url_rules.labelled_pages(read("pages"), read("labels")), label_cols=("low", "toxic"))
+    assert rules.count() > 0
 
 
 # licenses
