@@ -2,11 +2,11 @@
 
 Every text block (a line, or a window of words) is compared with license templates by containment: the part of the
 template's distinct words that the block holds. Tokens are ordered by their frequency over all
-blocks, rarest first. If a block holds at least `need` of a template's m tokens, it must hold one of
-the template's first m - need + 1 (prefix filter), it must have at least `need` distinct words
-(length filter), and for its first shared token at template position p at most m - p tokens can
-still be shared (positional filter). Candidates that pass are verified on the full word sets, so
-the join is exact: every block at or above the threshold is found.
+blocks, rarest first; words of no template stand before all others, as no template can share them. If a block holds at
+least `need` of a template's m tokens, it must hold one of the template's first m - need + 1 (prefix filter), it must have at
+least `need` distinct words (length filter), and with its first shared token at place p of the template and q of the block, at
+most 1 + min(m - p - 1, tokens of the block after q) tokens are shared (positional filter). Candidates that pass are verified
+on the full word sets, so the join is exact: every block at or above the threshold is found.
 
 A notice may be wrapped, so runs of words across line ends are blocks too: windows with as many words as the
 template. A document that holds a prefix token and `need` tokens of a template has its windows verified
@@ -47,6 +47,27 @@ TEMPLATES = (
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished "
+        "to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    (
+        "bsd",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "apache",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
 )
 #: Least containment of a template in a block.
 THRESHOLD = 0.9
@@ -86,16 +107,26 @@ def frequency_order(docs: DataFrame, text_col: str, vocabulary: list[str]) -> li
 
 
 def prefix_index(templates, order: list[str], threshold: float) -> list[tuple]:
-    """token, template number, position in the ordered template, its size and the tokens needed; prefixes only."""
+    """token, template number, place in the ordered template, its size, the tokens needed and the token's rank; prefixes only."""
     rank = {w: i for i, w in enumerate(order)}
     rows = []
     for number, (_, tokens) in enumerate(_template_sets(templates)):
         tokens = sorted(tokens, key=rank.__getitem__)
         need = needed(len(tokens), threshold)
-        rows += [(w, number, p, len(tokens), need) for p, w in enumerate(tokens[: len(tokens) - need + 1])]
+        rows += [(w, number, p, len(tokens), need, rank[w]) for p, w in enumerate(tokens[: len(tokens) - need + 1])]
     return rows
 
 
+def candidates(blocks: DataFrame, index: DataFrame) -> DataFrame:
+    """blocks: row, block, held (distinct words), ranks (of its template words). index: rows of `prefix_index`.
+    Pairs of a block and a template that share a prefix token and pass the length filter, and whether they pass the
+    positional one."""
+    hits = blocks.select("row", "block", "held", "ranks", F.explode("held").alias("token")).join(index, "token").where(F.size("held") >= F.col("need"))
+    pairs = hits.groupBy("row", "block", "template", "template_size", "need").agg(F.min(F.struct("position", "rank")).alias("first"), F.first("held").alias("held"), F.first("ranks").alias("ranks"))
+    left = F.least(F.col("template_size") - F.col("first.position") - 1, F.size(F.filter("ranks", lambda r: r > F.col("first.rank"))))
+    return pairs.withColumn("passes", 1 + left >= F.col("need"))
+
+
 def _word_counts(templates) -> list[int]:
     """The number of words, repeated ones too, of each template of `_template_sets`."""
     low = [text.translate(str.maketrans(UPPER, LOWER)) for _, text in templates]
@@ -160,13 +191,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         base.select("row", "doc_id", F.size("ws").cast("long").alias("n_words"), *(f"starts_{k}" for k in range(len(phrases))), held.alias("blocks"), wrapped.alias("wrapped")),
         "license-blocks",
     )
-    index = spark.createDataFrame(rows, "token string, template int, position int, template_size int, need int")
+    index = spark.createDataFrame(rows, "token string, template int, position int, template_size int, need int, rank int")
     full = spark.createDataFrame([(n, label, tokens) for n, (label, tokens) in enumerate(sets)], "template int, label string, template_tokens array<string>")
     blocks = base.where(F.size("blocks") > 0).select("row", F.posexplode("blocks").alias("block", "held"))
-    # prefix filter by the join, length filter on the block, positional filter on the first shared token
-    hits = blocks.select("row", "block", "held", F.explode("held").alias("token")).join(index, "token")
-    hits = hits.where((F.size("held") >= F.col("need")) & (F.col("template_size") - F.col("position") >= F.col("need")))
-    pairs = hits.select("row", "block", "held", "template", "template_size", "need").distinct().join(full, "template")
+    vocabulary = F.create_map(*(F.lit(x) for pair in zip(order, range(len(order)), strict=True) for x in pair))
+    blocks = blocks.withColumn("ranks", F.filter(F.transform("held", lambda w: F.try_element_at(vocabulary, w)), lambda r: r.isNotNull()))
+    pairs = candidates(blocks, index).where("passes").select("row", "block", "held", "template", "template_size", "need").join(full, "template")
     pairs = pairs.withColumn("shared", F.size(F.array_intersect("held", "template_tokens"))).where("shared >= need")
     pairs = pairs.select("row", "label", (F.col("shared") / F.col("template_size")).alias("containment"))
     found = pairs.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("label", "containment"))).alias("matches"))
@@ -193,18 +223,22 @@ def op9_set_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """DuckDB: every line against every template by full word sets; phrases by position."""
+    """DuckDB: every line and every window of words against every template by full word sets; phrases by position."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    templates = ", ".join(f"({quoted(label)}, [{', '.join(map(quoted, tokens))}], {needed(len(tokens), THRESHOLD)})" for label, tokens in _template_sets(TEMPLATES))
+    sets = zip(_template_sets(TEMPLATES), _word_counts(TEMPLATES), strict=True)
+    templates = ", ".join(f"({quoted(label)}, [{', '.join(map(quoted, tokens))}], {needed(len(tokens), THRESHOLD)}, {width})" for (label, tokens), width in sets)
     phrases = ", ".join(f"({quoted(label)}, {quoted(phrase)}, {len(phrase.split())})" for phrase, label in PHRASES)
     split = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     return rf"""
-WITH t(label, tokens, need) AS (VALUES {templates}), p(label, phrase, len) AS (VALUES {phrases}),
+WITH t(label, tokens, need, width) AS (VALUES {templates}), p(label, phrase, len) AS (VALUES {phrases}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
 w AS (SELECT rid, doc_id, low, {split.format("low")} AS ws FROM d),
 s AS (SELECT rid, p.label, i FROM w, p, unnest(range(1, len(ws) - p.len + 2)) AS u(i) WHERE contains(low, split_part(phrase, ' ', 1)) AND array_to_string(list_slice(ws, i, i + p.len - 1), ' ') = phrase),
 b AS (SELECT rid, list_distinct({split.format("line")}) AS held FROM (SELECT rid, unnest(string_split(low, chr(10))) AS line FROM d)),
-m AS (SELECT rid, label, len(list_intersect(held, tokens)) / len(tokens) AS containment FROM b, t WHERE len(list_intersect(held, tokens)) >= need),
+c AS (SELECT rid, ws, label, tokens, need, width FROM w, t WHERE len(list_intersect(list_distinct(ws), tokens)) >= need),
+x AS (SELECT rid, label, tokens, need, list_distinct(list_slice(ws, i, i + width - 1)) AS held FROM c, unnest(range(1, len(ws) + 1)) AS u(i) WHERE list_contains(tokens, ws[i])),
+m AS (SELECT rid, label, len(list_intersect(held, tokens)) / len(tokens) AS containment FROM b, t WHERE len(list_intersect(held, tokens)) >= need
+  UNION ALL SELECT rid, label, len(list_intersect(held, tokens)) / len(tokens) FROM x WHERE len(list_intersect(held, tokens)) >= need),
 l AS (SELECT rid, label FROM s UNION SELECT rid, label FROM m)
 SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, coalesce(sp.n, 0)::BIGINT AS n_base, sp.a::BIGINT AS first_word, sp.z::BIGINT AS last_word,
   coalesce(sp.labels, '') AS base_labels, coalesce(la.labels, '') AS labels, coalesce(mm.score, 0)::DOUBLE AS score

@@ -551,6 +551,37 @@ def test_wrapped_license_notices(spark):
     assert out["scattered"]["score"] == 0 and out["half"]["score"] == 0 and out["half"]["labels"] == "" and out["null"]["score"] == 0
 
 
+def test_the_positional_filter_cuts_pairs_and_loses_none(spark):
+    r = random.Random(3)
+    templates = [("x", " ".join(f"t{i}" for i in range(20))), ("y", " ".join(f"t{i}" for i in range(10, 26)))]
+    rows = []
+    for i in range(400):
+        own = r.sample(range(26), r.randint(2, 26))
+        rows.append((i, " ".join([f"t{j}" for j in own] + [f"other{r.randint(0, 99)}" for _ in range(r.randint(0, 20))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = license_scan._template_sets(templates)
+    order = license_scan.frequency_order(docs, "text", sorted({w for _, ws in sets for w in ws}))
+    index = license_scan.prefix_index(templates, order, 0.8)
+    blocks = [(i, 0, sorted(set(t.split())), [order.index(w) for w in set(t.split()) if w in order]) for i, t in rows]
+    got = license_scan.candidates(spark.createDataFrame(blocks, "row long, block int, held array<string>, ranks array<int>"), spark.createDataFrame(index, "token string, template int, position int, template_size int, need int, rank int")).collect()
+    cut = {(x["row"], x["template"]) for x in got if not x["passes"]}
+    passed = {(x["row"], x["template"]) for x in got if x["passes"]}
+    want = {(i, n) for i, t in rows for n, (_, ws) in enumerate(sets) if len(set(t.split()) & set(ws)) >= license_scan.needed(len(ws), 0.8)}
+    assert want <= passed and len(cut) > 20 and not cut & want
+
+
+def test_the_sql_of_licenses_knows_wrapped_notices(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, "x y z\n" + "\n".join(textwrap.wrap(t, 50)) + "\nand more") for i, (_, t) in enumerate(license_scan.TEMPLATES)] + [(90, None), (91, ""), (91, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(db.sql(license_scan.ORACLES["op9_set_similarity_join"]).fetchall())
+    got = sorted(tuple(x) for x in license_scan.op9_set_similarity_join(spark, str(tmp_path)).collect())
+    assert got == want and all(x[-1] == 1.0 for x in got if x[0] < 90)
+
+
 # mixing
 
 
