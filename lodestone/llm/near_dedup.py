@@ -9,15 +9,21 @@
    The packed words give the similarity, corrected for the 2-bit values that agree by chance, from a count of
    differing bits; pairs far below the threshold go.
 4. The rest is confirmed on full sets, block by block, and confirmed links give components.
-5. Buckets that then still hold several components are searched completely: the members outside the
-   bucket's main component are a query set against all members of other components, in blocks, first by packed
-   words, then on full sets. So no candidate link between components is left out, and no pairs are emitted.
+5. Buckets that then still hold several components are searched completely, but not by their bands: documents with
+   common boilerplate share bands and are not alike. Their members' shingles are ordered by frequency, rarest first; two sets at or
+   above the threshold share one of their first shingles (prefix filter: the larger set within its first
+   n - ceil(t n) + 1, the smaller within its first n - ceil(2 t n / (1 + t)) + 1), which boilerplate never is. Members outside the
+   main component of such a shingle are a query set against the others, in two-dimensional blocks (so many members, so
+   many queries): first by packed words, then on full sets. So no candidate link between components is left out,
+   and no pairs are emitted.
 
 Bands of 4 of 128 minima miss a pair at similarity 0.8 with probability (1 - 0.8^4)^32 < 1e-7; the
 estimate is cut 5 standard deviations below the threshold.
 
 Scale: texts are shuffled once for the candidates of step 4 and once for those of step 5 if there are any; buckets are
-aggregated with partial sums and joined with adaptive skew handling; a block holds BLOCK_IDS documents.
+aggregated with partial sums and joined with adaptive skew handling; a block holds BLOCK_IDS documents and as many queries, or
+fewer where they are long (BLOCK_SHINGLES). Frequencies are sums in SLOTS counters by hash, so what is broadcast is 8 MB
+however much text there is; two shingles in one counter only change the order.
 
 Defined results: a null or empty text, or one without words, has 0 shingles and is linked with nothing; with
 fewer words than a shingle the whole sequence is one. Repeated rows are one class. Null ids keep their rows.
@@ -43,7 +49,9 @@ MINIMA, BAND, BITS = 128, 4, 2
 #: Standard deviations below the threshold at which the estimate drops a candidate.
 SIGMAS = 5.0
 #: Documents whose sets one task holds at a time when it confirms links.
-BLOCK_IDS = 400
+BLOCK_IDS, BLOCK_SHINGLES = 400, 4_000_000
+#: Counters of shingle frequencies.
+SLOTS = 1 << 20
 _RANDOM = np.random.default_rng(20240607)
 FACTORS = (_RANDOM.integers(0, 1 << 63, MINIMA, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 OFFSETS = _RANDOM.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
@@ -138,10 +146,11 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, k: int, row_col: st
 
 
 def confirmed(pairs: DataFrame, where: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float) -> DataFrame:
-    """pairs: a, b (class numbers). where: c, doc_id, t of each class. The pairs whose full sets reach the threshold.
+    """pairs: a, b (class numbers), size (shingles of both). where: c, doc_id, t of each class. The pairs whose full sets reach the threshold.
 
     Pairs are dealt into blocks by a; a block gets each text that it needs once."""
-    n_blocks = max(1, -(-pairs.select("a").distinct().count() // BLOCK_IDS))
+    n, shingles = pairs.agg(F.approx_count_distinct("a"), F.sum("size")).first()
+    n_blocks = max(1, -(-n // BLOCK_IDS), -(-(shingles or 0) // BLOCK_SHINGLES))
     dealt = pairs.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(n_blocks)).cast("int"))
     needs = dealt.select("block", F.col("a").alias("c")).union(dealt.select("block", F.col("b").alias("c"))).distinct()
     needs = needs.join(where, "c").select("block", "c", F.col("doc_id").alias("id_"), F.col("t").alias("t_"))
@@ -170,25 +179,78 @@ def confirmed(pairs: DataFrame, where: DataFrame, docs: DataFrame, id_col: str,
     return dealt.groupBy("block").cogroup(texts.groupBy("of_block")).applyInPandas(check, "a long, b long")
 
 
+def prefixes(shingles: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, rarest first, within which a set of at most its size must meet it, and how many of them
+    a set of its size or more must meet."""
+    order = np.lexsort((shingles, counts[shingles % np.uint64(len(counts))]))
+    n = len(shingles)
+    larger = n - int(np.ceil(threshold * n - 1e-9)) + 1
+    smaller = n - int(np.ceil(2 * threshold / (1 + threshold) * n - 1e-9)) + 1
+    return shingles[order[:larger]], smaller
+
+
+def _first_shingles(texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """texts: c, root, n, text. token, c, root, n and whether the token is in the shorter prefix, of every class."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                yield part, shingle_sets(common.utf8_column(part.column("text")), k)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for _, found in sets(batches):
+            total += np.bincount((np.concatenate(found) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"slot": at, "count": total[at]})
+
+    table = texts.select("text").mapInArrow(count, "slot long, count long").groupBy("slot").agg(F.sum("count").alias("count")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[table["slot"].to_numpy()] = table["count"].to_numpy()
+    held = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in sets(batches):
+            own = [prefixes(s, held.value, threshold) for s in found]
+            sizes = [len(x) for x, _ in own]
+            at = pa.array(np.repeat(np.arange(len(own)), sizes))
+            short = np.concatenate([np.arange(len(x)) < m for x, m in own])
+            yield pa.RecordBatch.from_pydict({"token": pa.array(np.concatenate([x for x, _ in own]).view(np.int64))} | {c: part.column(c).take(at) for c in ("c", "root", "n")} | {"short": pa.array(short)})
+
+    return texts.select("c", "root", "n", "text").mapInArrow(first, "token long, c long, root long, n long, short boolean")
+
+
 def searched(mixed: DataFrame, own: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float) -> DataFrame:
     """mixed: band, c, root, main of every bucket with several roots. Links between classes of different roots.
 
-    The classes outside their bucket's main component are a query set against all members, in blocks:
-    members are dealt once, those around one main component together but BLOCK_IDS at a time, and a query
-    goes once to each block that holds a partner of it. Pairs are never rows: a block compares packed words,
-    then full sets, and gives the links it finds, one for each query and root."""
+    Members are dealt once, those around one main component together but BLOCK_IDS at a time; a query goes once to each
+    block that holds a partner of it by a first shingle, and a block with more than BLOCK_IDS queries is held once for each
+    so many. Pairs are never rows: a block compares packed words, then full sets, and gives the links it finds, one for
+    each query and root."""
     members = mixed.groupBy("c", "root").agg(F.min("main").alias("near"))
-    sizes = members.groupBy("near").agg(F.ceil(F.count("*") / BLOCK_IDS).alias("parts"))
-    n_blocks = max(1, -(-members.count() // BLOCK_IDS))
-    dealt = members.join(sizes, "near").select("c", "root", F.pmod(F.xxhash64("near") % n_blocks + F.pmod(F.xxhash64("c"), F.col("parts")), F.lit(n_blocks)).cast("int").alias("block"))
-    dealt = common.staged(dealt, "dealt")
-    there = mixed.join(dealt.select("c", "block"), "c").groupBy("band", "block").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
-    asks = mixed.where("root <> main").select("band", "c", "root").join(there, "band").where((F.col("r0") != F.col("root")) | (F.col("r1") != F.col("root"))).select("c", "root", "block").distinct()
-    roles = asks.withColumn("asks", F.lit(1)).union(dealt.select("c", "root", "block").withColumn("asks", F.lit(0)))
-    roles = roles.groupBy("c", "root", "block").agg(F.max("asks").alias("asks"), F.min("asks").alias("only"))
-    roles = roles.join(own.select("c", F.col("doc_id").alias("id_"), F.col("t").alias("t_"), "n", *PACKED), "c")
+    members = members.join(own.select("c", F.col("doc_id").alias("id_"), F.col("t").alias("t_"), "n", *PACKED), "c")
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("t"))
-    full = roles.join(texts, (F.col("t_") == F.col("t")) & F.col("id_").eqNullSafe(F.col("doc_id"))).drop("doc_id", "t", "id_", "t_")
+    found = members.join(texts, (F.col("t_") == F.col("t")) & F.col("id_").eqNullSafe(F.col("doc_id"))).drop("doc_id", "t", "id_", "t_")
+    found = common.staged(found.dropDuplicates(["c"]), "searched-texts")
+    tokens = _first_shingles(found, k, threshold)
+    counts = tokens.groupBy("token", "root").agg(F.count("*").alias("count"), F.max("short").alias("short"))
+    main = counts.groupBy("token").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("parts"), F.max("short").alias("any"))
+    main = common.staged(main.where("parts > 1 and any").select("token", "main"), "first-shingles")
+    near = common.staged(tokens.join(main, "token"), "searched-buckets")
+    sizes = found.groupBy("near").agg(F.greatest(F.ceil(F.count("*") / BLOCK_IDS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    n, shingles = found.agg(F.count("*"), F.sum("n")).first()
+    n_blocks = max(1, -(-n // BLOCK_IDS), -(-(shingles or 0) // BLOCK_SHINGLES))
+    dealt = found.select("c", "root", "near").join(sizes, "near").select("c", "root", F.pmod(F.xxhash64("near") % n_blocks + F.pmod(F.xxhash64("c"), F.col("parts")), F.lit(n_blocks)).cast("int").alias("block"))
+    dealt = common.staged(dealt, "dealt")
+    there = near.join(dealt.select("c", "block"), "c").groupBy("token", "block").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(F.when(F.col("short"), F.col("n"))).alias("least"), F.max("n").alias("most"))
+    meets = ((F.col("r0") != F.col("root")) | (F.col("r1") != F.col("root"))) & ((F.coalesce("least", F.col("n") + 1) <= F.col("n")) | (F.col("short") & (F.col("most") >= F.col("n"))))
+    asks = common.staged(near.where("root <> main").join(there, "token").where(meets).select("c", "root", "block").distinct(), "asks")
+    chunks = asks.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_IDS).cast("int").alias("chunks"))
+    asks = asks.join(chunks, "block").select("c", "root", "block", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("asks"))
+    held = dealt.join(chunks, "block").select("c", "root", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("asks"))
+    roles = asks.union(held).groupBy("c", "block", "chunk").agg(F.max("asks").alias("asks"), F.min("asks").alias("only"))
+    full = roles.join(found.drop("near"), "c")
     pct, of, low, chance = round(threshold * 10_000), 10_000, least_estimate(threshold), 2.0**-BITS
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
@@ -221,7 +283,7 @@ def searched(mixed: DataFrame, own: DataFrame, docs: DataFrame, id_col: str, tex
                     part[part == part[m]] = part[q]
         return pd.DataFrame(keep, columns=["a", "b"], dtype="int64")
 
-    return full.groupBy("block").applyInPandas(compare, "a long, b long")
+    return full.groupBy("block", "chunk").applyInPandas(compare, "a long, b long")
 
 
 def classes_and_roots(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -240,7 +302,7 @@ def classes_and_roots(docs: DataFrame, id_col: str, text_col: str, k: int, thres
     side = lambda x: words.select(*(F.col(w).alias(x + w) for w in words.columns))
     close = (estimate("a_", "b_") >= least_estimate(threshold)) & (F.least("a_n", "b_n") >= F.floor(threshold * F.greatest("a_n", "b_n")))
     stars = shared.where("c <> p").select(F.col("c").alias("a_c"), F.col("p").alias("b_c")).distinct()
-    stars = stars.join(side("a_"), "a_c").join(side("b_"), "b_c").where(close).select(F.col("a_c").alias("a"), F.col("b_c").alias("b"))
+    stars = stars.join(side("a_"), "a_c").join(side("b_"), "b_c").where(close).select(F.col("a_c").alias("a"), F.col("b_c").alias("b"), (F.col("a_n") + F.col("b_n")).alias("size"))
     pairs = common.staged(stars, "star-pairs")
     where = own.select("c", "doc_id", "t")
     links = common.staged(confirmed(pairs, where, docs, id_col, text_col, k, threshold), "links")

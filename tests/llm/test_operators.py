@@ -184,6 +184,55 @@ def test_a_chain_of_near_copies_is_one_component(spark):
     assert {r["doc_id"]: r["component_id"] for r in out} == {i: c for i, (_, c) in want.items()}
 
 
+def boilerplate(n, shared=160, own=50):
+    common_ = [f"c{i}" for i in range(shared)]
+    return [(i, " ".join([*common_, *(f"o{i}x{j}" for j in range(own))])) for i in range(n)]
+
+
+def test_documents_with_common_boilerplate_ask_few_blocks(spark, monkeypatch):
+    """What the complete search compares grows with the documents, and no block holds more than its bound."""
+    asked, kept = {}, near_dedup.common.staged
+
+    def seen(df, name):
+        out = kept(df, name)
+        if name == "asks":
+            asked[len(asked)] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup.common, "staged", seen)
+    for n in (300, 900):
+        rows = [*boilerplate(n), (9000, boilerplate(1)[0][1] + " more")]
+        out = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()}
+        assert out == {i: i if i < 9000 else 0 for i, _ in rows}
+    assert all(n <= 100 for n in asked.values())
+
+
+def test_first_shingles_meet_where_sets_are_alike():
+    r = random.Random(4)
+    np = near_dedup.np
+    counts = np.array([r.randint(0, 50) for _ in range(64)])
+    met = 0
+    for _ in range(3000):
+        a = {r.randrange(200) for _ in range(r.randint(1, 60))}
+        b = {x for x in a if r.random() < 0.9} | {r.randrange(200) for _ in range(r.randint(0, 5))}
+        if len(a) < len(b):
+            a, b = b, a
+        if b and 5 * len(a & b) >= 4 * len(a | b):
+            of = lambda x: near_dedup.prefixes(np.array(sorted(x), np.uint64), counts, 0.8)
+            (large, _), (small, m) = of(a), of(b)
+            assert set(large.tolist()) & set(small[:m].tolist())
+            met += 1
+    assert met > 300
+
+
+def test_near_duplicates_with_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (7, text + " x"), (None, "alone here"), (3, None), (None, text)]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out)
+    assert got == {(None, 59, 7, False): 2, (7, 60, 7, True): 1, (None, 1, None, True): 1, (3, 0, 3, True): 1}
+
+
 def test_keep_one_keeps_columns(spark, empty):
     text = " ".join(f"w{i}" for i in range(30))
     rows = spark.createDataFrame([(3, text, 1), (1, text, 2), (2, None, 3), (4, "", 4), (5, "other words in this one here", 5)], "doc_id long, text string, root int")
