@@ -221,8 +221,9 @@ def _first_shingles(texts: DataFrame, k: int, threshold: float) -> DataFrame:
     return texts.select("c", "root", "n", "text").mapInArrow(first, "token long, c long, root long, n long, short boolean")
 
 
-def searched(mixed: DataFrame, own: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float) -> DataFrame:
-    """mixed: band, c, root, main of every bucket with several roots. Links between classes of different roots.
+def searched(mixed: DataFrame, own: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float) -> tuple[DataFrame, list[DataFrame]]:
+    """mixed: band, c, root, main of every bucket with several roots. Links between classes of different roots, and the
+    written tables that they are read from.
 
     Members are dealt once, those around one main component together but BLOCK_IDS at a time; a query goes once to each
     block that holds a partner of it by a first shingle, and a block with more than BLOCK_IDS queries is held once for each
@@ -283,7 +284,7 @@ def searched(mixed: DataFrame, own: DataFrame, docs: DataFrame, id_col: str, tex
                     part[part == part[m]] = part[q]
         return pd.DataFrame(keep, columns=["a", "b"], dtype="int64")
 
-    return full.groupBy("block", "chunk").applyInPandas(compare, "a long, b long")
+    return full.groupBy("block", "chunk").applyInPandas(compare, "a long, b long"), [found, main, near, dealt, asks]
 
 
 def classes_and_roots(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -305,6 +306,7 @@ def classes_and_roots(docs: DataFrame, id_col: str, text_col: str, k: int, thres
     stars = stars.join(side("a_"), "a_c").join(side("b_"), "b_c").where(close).select(F.col("a_c").alias("a"), F.col("b_c").alias("b"), (F.col("a_n") + F.col("b_n")).alias("size"))
     pairs = common.staged(stars, "star-pairs")
     where = own.select("c", "doc_id", "t")
+    used = [own, buckets, shared, pairs]
     links = common.staged(confirmed(pairs, where, docs, id_col, text_col, k, threshold), "links")
     roots = common.staged(components(links), "roots")
     # buckets that hold several components: everything outside the main one against all the others
@@ -313,11 +315,14 @@ def classes_and_roots(docs: DataFrame, id_col: str, text_col: str, k: int, thres
     main = counts.groupBy("band").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     mixed = common.staged(named.join(main, "band"), "mixed-buckets")
     if not mixed.isEmpty():
-        more = searched(mixed, own, docs, id_col, text_col, k, threshold)
+        more, held = searched(mixed, own, docs, id_col, text_col, k, threshold)
+        used += [links, roots, *held]
         links = common.staged(links.union(more), "links")
         roots = common.staged(components(links), "roots")
     out = classes.join(roots.withColumnRenamed("id", "c"), "c", "left").select("d0", "d1", "c", "first_doc", F.coalesce("root", "c").alias("root"))
-    return sigs, common.staged(out, "classes-with-roots")
+    out = common.staged(out, "classes-with-roots")
+    common.discard(*used, mixed, classes, links, roots)
+    return sigs, out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
