@@ -248,9 +248,9 @@ def searched(mixed: DataFrame, own: DataFrame, docs: DataFrame, id_col: str, tex
     meets = ((F.col("r0") != F.col("root")) | (F.col("r1") != F.col("root"))) & ((F.coalesce("least", F.col("n") + 1) <= F.col("n")) | (F.col("short") & (F.col("most") >= F.col("n"))))
     asks = common.staged(near.where("root <> main").join(there, "token").where(meets).select("c", "root", "block").distinct(), "asks")
     chunks = asks.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_IDS).cast("int").alias("chunks"))
-    asks = asks.join(chunks, "block").select("c", "root", "block", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("asks"))
+    asking = asks.join(chunks, "block").select("c", "root", "block", F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("asks"))
     held = dealt.join(chunks, "block").select("c", "root", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("asks"))
-    roles = asks.union(held).groupBy("c", "block", "chunk").agg(F.max("asks").alias("asks"), F.min("asks").alias("only"))
+    roles = asking.union(held).groupBy("c", "block", "chunk").agg(F.max("asks").alias("asks"), F.min("asks").alias("only"))
     full = roles.join(found.drop("near"), "c")
     pct, of, low, chance = round(threshold * 10_000), 10_000, least_estimate(threshold), 2.0**-BITS
 
