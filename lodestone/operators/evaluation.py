@@ -5,25 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOP = 5
-
-
-def results(benchmark: DataFrame, artifacts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Stand-in judgements: a query is a benchmark item, its hits are the first TOP documents by id that hold the
-    item's first four words in a row; hits with a good label are right. One row per query and hit, hits null if none.
-
-    Items and documents meet on four words: an equi-join, with the distinct keys of the items on one side."""
-    first = F.array_join(F.slice(F.split("text", "[ \n]+"), 1, 4), " ")
-    q = benchmark.select("item_id", first.alias("key"), F.when(F.length("text") % 2 == 0, "long_form").otherwise("short_form").alias("source_type"))
-    keys = q.select("key").distinct()
-    # the words are exploded with their place and the next three come from the array, which is split once a document
-    words = artifacts.select("artifact_id", F.split("text", "[ \n]+").alias("w"))
-    each = words.select("artifact_id", F.explode(F.arrays_zip("w", F.slice("w", F.lit(2), F.size("w")).alias("x"), F.slice("w", F.lit(3), F.size("w")).alias("y"), F.slice("w", F.lit(4), F.size("w")).alias("z"))).alias("g"))
-    found = each.where("g.z is not null").select("artifact_id", F.concat_ws(" ", "g.w", "g.x", "g.y", "g.z").alias("key")).join(keys, "key").distinct()
-    hits = found.join(labels.select(F.col("doc_id").alias("artifact_id"), "quality"), "artifact_id", "left")
-    w = Window.partitionBy("key").orderBy("artifact_id")
-    hits = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TOP)
-    return q.join(hits, "key", "left").select("item_id", "source_type", "rank", (F.coalesce("quality", F.lit(0)) == 1).alias("right"), F.col("artifact_id"))
+from lodestone.functions import text as T
+from lodestone.operators import lexical
+from lodestone.plans import canonical as C
+from lodestone.plans.storage import written
+
+TOP, RUN = 5, 4
+
+
+def results(benchmark: DataFrame, passages: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every benchmark item is a query of all its words; its hits are the TOP artifacts by BM25 of their best passage,
+    among enabled passages that share RUN tokens in a row with the item. Hits with a good label are right (a stand-in
+    for judgements). One row per query and hit, rank null if there is none; an item of fewer tokens finds nothing.
+
+    Passages are tokenized once and written. Items and passages meet on runs of tokens, by an equi-join; scores need
+    the frequencies of the items' terms only, which are counted with partial sums."""
+    q = benchmark.select("item_id", T.tokenize_fts(F.col("text")).alias("w"), F.when(F.length("text") % 2 == 0, "long_form").otherwise("short_form").alias("source_type"))
+    p = written(passages.select("passage_id", "artifact_id", "enabled", T.tokenize_fts(F.col("passage_text")).alias("w")), "tokens")
+    stats = p.agg(F.count("*").cast("double").alias("n_all"), F.avg(F.size("w")).alias("average"))
+    terms = q.select("item_id", F.explode(F.array_distinct("w")).alias("term"))
+    df = p.select(F.explode(F.array_distinct("w")).alias("term")).join(terms.select("term").distinct(), "term").groupBy("term").agg(F.count("*").cast("double").alias("df"))
+    asked = q.select("item_id", _runs()).distinct()
+    meets = p.where("enabled").select("passage_id", _runs()).join(asked, "run").select("item_id", "passage_id").distinct()
+    found = meets.join(p.select("passage_id", "artifact_id", "w"), "passage_id").join(terms.join(df, "term"), "item_id")
+    count = F.size(F.filter("w", lambda x: x == F.col("term"))).cast("double")
+    found = found.select("item_id", "artifact_id", "passage_id", "df", F.size("w").alias("n"), count.alias("f")).where("f > 0").crossJoin(F.broadcast(stats))  # one row
+    weight = lexical.idf(F.col("n_all"), F.col("df")) * lexical.weight(F.col("f"), F.col("n"), F.col("average"))
+    best = found.groupBy("item_id", "artifact_id", "passage_id").agg(F.sum(weight).alias("bm25")).groupBy("item_id", "artifact_id").agg(F.max("bm25").alias("bm25"))
+    w = Window.partitionBy("item_id").orderBy(F.round("bm25", 9).desc(), "artifact_id")
+    hits = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= TOP).join(labels.select(F.col("doc_id").alias("artifact_id"), "quality"), "artifact_id", "left")
+    return q.drop("w").join(hits, "item_id", "left").select("item_id", "source_type", "rank", (F.coalesce("quality", F.lit(0)) == 1).alias("right"), "artifact_id")
+
+
+def _runs() -> Column:
+    """The runs of RUN tokens of the array w, a row for each."""
+    places = F.when(F.size("w") >= RUN, F.sequence(F.lit(1), F.size("w") - RUN + 1))
+    return F.explode(F.transform(places, lambda i: F.array_join(F.slice("w", i, RUN), " "))).alias("run")
 
 
 def outcomes(rows: DataFrame) -> DataFrame:
@@ -66,13 +83,21 @@ def nearest_rank(rows: DataFrame, by: str, value: str, quantile: float) -> DataF
     return run.groupBy(by).agg(F.max("n").alias("n"), F.round((low + high) / 2, 6).alias("median"), F.round(at(F.ceil(F.lit(quantile) * F.col("n"))), 6).alias("p95"))
 
 
-def sql(artifacts: str) -> dict[str, str]:
-    base = f"""WITH {artifacts},
-q AS (SELECT item_id, array_to_string(string_split_regex(text, '[ \\n]+')[1:4], ' ') AS key, CASE WHEN length(text) % 2 = 0 THEN 'long_form' ELSE 'short_form' END AS source_type FROM benchmark),
-ws AS (SELECT artifact_id, string_split_regex(text, '[ \\n]+') AS w FROM artifacts),
-ln AS (SELECT DISTINCT artifact_id, array_to_string(w[i:i + 3], ' ') AS key FROM ws, unnest(range(1, len(w) - 2)) AS t(i)),
-h AS (SELECT ln.key, ln.artifact_id, coalesce(quality, 0) = 1 AS good, row_number() OVER (PARTITION BY ln.key ORDER BY ln.artifact_id) AS rank FROM ln LEFT JOIN labels ON doc_id = ln.artifact_id WHERE ln.key IN (SELECT key FROM q)),
-o AS (SELECT item_id, source_type, count(rank) AS returned, count(*) FILTER (rank IS NOT NULL AND NOT good) AS fp, min(rank) FILTER (good) AS fr FROM q LEFT JOIN (SELECT * FROM h WHERE rank <= {TOP}) h USING (key) GROUP BY ALL),
+def sql() -> dict[str, str]:
+    idf = "greatest(CASE WHEN ln((n_all - d + 0.5::DOUBLE) / (d + 0.5::DOUBLE)) <= 0 THEN 1e-6 ELSE ln((n_all - d + 0.5::DOUBLE) / (d + 0.5::DOUBLE)) END, 0)"
+    base = f"""WITH RECURSIVE {C.SQL_PASSAGES},
+tk AS (SELECT passage_id, artifact_id, enabled, {C.sql_tokens("passage_text")} AS w FROM passages),
+st AS (SELECT count(*)::DOUBLE AS n_all, avg(len(w))::DOUBLE AS average FROM tk),
+q AS (SELECT item_id, {C.sql_tokens("text")} AS w, CASE WHEN length(text) % 2 = 0 THEN 'long_form' ELSE 'short_form' END AS source_type FROM benchmark),
+qt AS (SELECT item_id, unnest(list_distinct(w)) AS term FROM q),
+fq AS (SELECT term, count(*)::DOUBLE AS d FROM (SELECT unnest(list_distinct(w)) AS term FROM tk) WHERE term IN (SELECT term FROM qt) GROUP BY 1),
+qg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 3], ' ') AS run FROM q, unnest(range(1, len(w) - 2)) AS u(i)),
+ca AS (SELECT DISTINCT item_id, passage_id FROM (SELECT passage_id, array_to_string(w[i:i + 3], ' ') AS run FROM tk, unnest(range(1, len(w) - 2)) AS u(i) WHERE enabled) JOIN qg USING (run)),
+tf AS (SELECT item_id, artifact_id, passage_id, d, len(w) AS n, len(list_filter(w, lambda x: x = term))::DOUBLE AS f FROM ca JOIN tk USING (passage_id) JOIN qt USING (item_id) JOIN fq USING (term)),
+sc AS (SELECT item_id, artifact_id, passage_id, sum({idf} * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / average))) AS s FROM tf, st WHERE f > 0 GROUP BY ALL),
+ba AS (SELECT item_id, artifact_id, max(s) AS s FROM sc GROUP BY ALL),
+h AS (SELECT item_id, artifact_id, coalesce(quality, 0) = 1 AS good, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, artifact_id) AS rank FROM ba) LEFT JOIN labels ON doc_id = artifact_id),
+o AS (SELECT item_id, source_type, count(rank) AS returned, count(*) FILTER (rank IS NOT NULL AND NOT good) AS fp, min(rank) FILTER (good) AS fr FROM q LEFT JOIN (SELECT * FROM h WHERE rank <= {TOP}) h USING (item_id) GROUP BY ALL),
 f AS (SELECT *, CASE WHEN returned = 0 THEN 'no_results' WHEN fr IS NULL THEN 'wrong_source' WHEN fr > 1 THEN 'wrong_source_at_rank_1' END AS failure FROM o)"""
     m = "count(*) AS queries, round(count(*) FILTER (fr = 1) / count(*)::DOUBLE, 6) AS recall_at_1, round(count(fr) / count(*)::DOUBLE, 6) AS recall_at_5, round(sum(coalesce(1.0::DOUBLE / fr, 0)) / count(*), 6) AS mrr, round(sum(fp)::DOUBLE / nullif(sum(returned), 0), 6) AS false_positive_rate"
     gate = " UNION ALL ".join(f"SELECT '{k}' AS metric, {k} AS value, 0.1::DOUBLE AS threshold, coalesce({k} + 1e-12 >= 0.1, false) AS passed FROM m" for k in ("recall_at_1", "recall_at_5", "mrr"))

@@ -60,12 +60,12 @@ def _ranked(scored: DataFrame, limit: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).withColumn("score", 1 / (1 + F.abs("bm25")))
 
 
-def _idf(n: Column, df: Column) -> Column:
-    idf = F.log((n - df + 0.5) / (df + 0.5))
-    return F.when(idf <= 0, 1e-6).otherwise(idf)
+def idf(n: Column, df: Column) -> Column:
+    value = F.log((n - df + 0.5) / (df + 0.5))
+    return F.when(value <= 0, 1e-6).otherwise(value)
 
 
-def _weight(f: Column, length: Column, average: Column) -> Column:
+def weight(f: Column, length: Column, average: Column) -> Column:
     return f * (K1 + 1) / (f + K1 * (1 - B + B * length / average))
 
 
@@ -92,7 +92,7 @@ def search(passages: DataFrame, query: str | ParsedQuery, limit: int = 20) -> Da
     for c in (hit, F.col("enabled"), *filter_conditions(parsed.filters)):
         rows = rows.where(c)
     rows = rows.crossJoin(F.broadcast(stats))  # one row
-    score = reduce(lambda a, b: a + b, [_idf(F.col("n_all"), F.col(f"df_{i}")) * _weight(F.size(f"starts_{i}").cast("double"), F.col("n_tokens"), F.col("average")) for i in range(len(phrases))])
+    score = reduce(lambda a, b: a + b, [idf(F.col("n_all"), F.col(f"df_{i}")) * weight(F.size(f"starts_{i}").cast("double"), F.col("n_tokens"), F.col("average")) for i in range(len(phrases))])
     spans = F.concat(*(_spans(f"starts_{i}", len(t)) for i, t in enumerate(phrases)))
     return _ranked(rows.withColumn("bm25", -score).withColumn("spans", spans), limit)
 
@@ -181,7 +181,7 @@ class PostingsIndex:
             found = found.crossJoin(F.broadcast(n))  # one row
             matched = found if matched is None else matched.join(found.drop("n_tokens"), "rowid")
         matched = matched.crossJoin(F.broadcast(spark.read.parquet(f"{self.path}/stats")))  # one row
-        score = reduce(lambda a, b: a + b, [_idf(F.col("n_all"), F.col(f"df_{i}")) * _weight(F.size(f"starts_{i}").cast("double"), F.col("n_tokens"), F.col("average")) for i in range(len(phrases))])
+        score = reduce(lambda a, b: a + b, [idf(F.col("n_all"), F.col(f"df_{i}")) * weight(F.size(f"starts_{i}").cast("double"), F.col("n_tokens"), F.col("average")) for i in range(len(phrases))])
         rows = matched.withColumn("bm25", -score).join(passages, "rowid").where("enabled")
         if "confidence" not in rows.columns:
             rows = rows.withColumn("confidence", F.lit(1.0))

@@ -11,6 +11,10 @@ from lodestone.functions import text as T
 RANK_CONSTANT, W_LEXICAL, W_SEMANTIC, W_EXACT, W_PATH, W_RECENCY = 60, 0.45, 0.35, 0.10, 0.05, 0.05
 
 
+#: Query vectors that are sent to the tasks at a time.
+QUERY_BLOCK = 4096
+
+
 def features(rows: DataFrame, id_col: str, terms: Column) -> DataFrame:
     """Signed sums by bucket: id, bucket, value. terms: array<struct<term, weight>>.
 
@@ -53,11 +57,52 @@ def semantic_search(passages: DataFrame, text: str, limit: int = 20) -> DataFram
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def vector_topk(vectors: DataFrame, query: DataFrame, limit: int = 20) -> DataFrame:
-    """vectors: vec_id, embedding; query: one row with q. Brute force, bounded top k by a heap in each task."""
-    scored = vectors.crossJoin(F.broadcast(query)).select("vec_id", T.cosine(F.col("embedding"), F.col("q")).alias("similarity"))  # one row
-    order = [F.round("similarity", 9).desc(), F.col("vec_id")]
-    return scored.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+def vector_topk(vectors: DataFrame, queries: DataFrame, limit: int = 20, block: int = QUERY_BLOCK) -> DataFrame:
+    """vectors: vec_id, embedding; queries: query_id, q. For each query the best by exact cosine, then by id.
+
+    Queries are sent in blocks of at most `block` vectors, each against all vectors where these are; a batch of vectors
+    leaves its best `limit` of each query, so what is exchanged is bounded by queries, limit and batches. A vector or
+    query that is null, of another length or of norm 0 has no similarity and comes last."""
+    spark = vectors.sparkSession
+    kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "vec_id": vectors.schema["vec_id"].dataType.simpleString()}
+    n_blocks = -(-queries.count() // block)
+    named = queries.select("query_id", "q", F.pmod(F.xxhash64("query_id", "q"), F.lit(max(n_blocks, 1))).alias("of"))
+    schema = f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, similarity double"
+    found = spark.createDataFrame([], schema)
+    for i in range(n_blocks):
+        rows = named.where(F.col("of") == i).collect() if n_blocks > 1 else named.collect()
+        held = spark.sparkContext.broadcast(([r["query_id"] for r in rows], [r["q"] for r in rows]))
+
+        def best(batches, held=held):
+            import numpy as np
+            import pyarrow as pa
+
+            def matrix(lists, width):
+                fit = np.array([x is not None and len(x) == width and None not in x for x in lists], bool)
+                out = np.full((len(lists), width), np.nan)
+                if fit.any():
+                    out[fit] = np.array([x for x, ok in zip(lists, fit, strict=True) if ok], np.float64)
+                norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+                return out / np.where(norm > 0, norm, np.nan)
+
+            ids, wanted = held.value
+            for batch in batches:
+                vectors, own = batch.column("embedding").to_pylist(), batch.column("vec_id")
+                number = own.to_pylist()
+                order = np.array(sorted(range(len(number)), key=lambda j: (number[j] is None, number[j] or 0)), np.int64)
+                for width in {len(x) for x in wanted if x is not None}:
+                    asked = [j for j, x in enumerate(wanted) if x is not None and len(x) == width]
+                    mine = matrix([vectors[j] for j in order], width)
+                    for lo in range(0, len(asked), 256):
+                        some = asked[lo : lo + 256]
+                        score = np.round(mine @ matrix([wanted[j] for j in some], width).T, 12)
+                        top = np.argsort(-np.nan_to_num(np.round(score, 9), nan=-2.0), axis=0, kind="stable")[:limit]
+                        value = np.take_along_axis(score, top, axis=0).T.ravel()
+                        yield pa.RecordBatch.from_pydict({"query_id": pa.array([ids[j] for j in some for _ in range(len(top))]), "vec_id": own.take(pa.array(order[top.T.ravel()])), "similarity": pa.array(value, mask=np.isnan(value))})
+
+        found = found.union(vectors.select("vec_id", "embedding").mapInArrow(best, schema))
+    w = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc_nulls_last(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= limit)
 
 
 def reciprocal(rank: Column) -> Column:

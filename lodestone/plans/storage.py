@@ -12,12 +12,15 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where the session names none."""
+    """spark.checkpoint.dir; a temporary folder only where the session names none and runs on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = known.get() if known.isDefined() else None
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         where = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")

@@ -40,7 +40,7 @@ def capture_policy(spark, sf_dir):
 
 def ablation_metrics(spark, sf_dir):
     """Three rankings of one candidate list (by id, by quality, by length) compared: anchors count by candidate here."""
-    r = evaluation.results(C.table(spark, sf_dir, "benchmark"), C.artifacts(spark, sf_dir), C.table(spark, sf_dir, "labels")).where("rank is not null")
+    r = evaluation.results(C.table(spark, sf_dir, "benchmark"), C.passages(spark, sf_dir), C.table(spark, sf_dir, "labels")).where("rank is not null")
     a = C.artifacts(spark, sf_dir).select("artifact_id", "byte_size")
     r = r.join(a, "artifact_id")
     modes = {"by_id": [F.col("artifact_id")], "by_quality": [F.col("right").desc(), F.col("artifact_id")], "by_length": [F.col("byte_size").desc(), F.col("artifact_id")]}
@@ -100,8 +100,8 @@ def resume_checkpoint(spark, sf_dir):
 
 
 def anchor_match(spark, sf_dir):
-    """Expected anchors (first passage, as a client kept it; src1's are off by one) against the passages."""
-    p = C.passages(spark, sf_dir).where("ordinal = 0")
+    """Expected anchors (of all passages, as a client kept them; src1's are off by one) against the passages."""
+    p = C.passages(spark, sf_dir)
     off = F.when(F.col("root") == "src1", 1).otherwise(0)
     e = p.select("passage_id", (F.col("char_end") + off).alias("want_end"), F.substring("passage_text", 1, 10).alias("contains"))
     j = p.join(e, "passage_id")
@@ -122,7 +122,7 @@ def extractor_validation(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (evidence_endpoint, revoked_endpoints, capture_policy, ablation_metrics, bookmark_supersede, import_retry, owner_failures, bookmark_owners, ocr_purge, resume_checkpoint, anchor_match, extractor_validation)}
 
 _HOST = "regexp_extract(url, '://([^/?#]*)', 1)"
-_ABLATION = evaluation.sql(C.SQL_ARTIFACTS)["eval_metrics"].rsplit("SELECT", 1)[0]
+_ABLATION = evaluation.sql()["eval_metrics"].rsplit("SELECT", 1)[0]
 
 
 def _mode(name: str, order: str) -> str:
@@ -133,13 +133,13 @@ ORACLES = {
     "evidence_endpoint": "SELECT l_linestatus, count(*) FILTER (l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')) AS belongs, count(*) AS n FROM lineitem GROUP BY 1",
     "revoked_endpoints": f"WITH {_EDGES} SELECT kind, origin, count(*) AS visible FROM e WHERE source_id IN (SELECT 'S' || s_suppkey FROM supplier WHERE s_acctbal > 0) AND target_id IN (SELECT 'P' || p_partkey FROM part WHERE p_size > 10) GROUP BY ALL",
     "capture_policy": f"SELECT user_id, count(*) AS kept FROM events WHERE event_type NOT IN {EXCLUDED} GROUP BY 1",
-    "ablation_metrics": f"{_ABLATION}, c AS (SELECT item_id, h.artifact_id, good, byte_size FROM q JOIN h ON h.key = q.key AND h.rank <= 5 JOIN artifacts a ON a.artifact_id = h.artifact_id) {_mode('by_id', 'artifact_id')} UNION ALL {_mode('by_quality', 'good DESC, artifact_id')} UNION ALL {_mode('by_length', 'byte_size DESC, artifact_id')}",
+    "ablation_metrics": f"{_ABLATION}, c AS (SELECT item_id, h.artifact_id, good, byte_size FROM h JOIN artifacts a ON a.artifact_id = h.artifact_id WHERE h.rank <= 5) {_mode('by_id', 'artifact_id')} UNION ALL {_mode('by_quality', 'good DESC, artifact_id')} UNION ALL {_mode('by_length', 'byte_size DESC, artifact_id')}",
     "bookmark_supersede": "SELECT o_orderkey, CASE WHEN row_number() OVER w = 1 THEN 'ready' WHEN first_value(o_orderstatus) OVER w = o_orderstatus THEN 'reused' ELSE 'superseded' END AS state FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)",
     "import_retry": f"WITH p AS (SELECT page_id, {_HOST} AS host, contains(url, '/de/') AS failed FROM pages), g AS (SELECT host, max(page_id) AS m FROM p WHERE NOT failed GROUP BY 1) SELECT page_id, p.host, CASE WHEN m > page_id THEN 'resolved' ELSE 'pending' END AS state FROM p LEFT JOIN g ON g.host = p.host WHERE failed",
     "owner_failures": f"WITH p AS (SELECT page_id, regexp_replace(url, '^https?://(www[.]|m[.]|blog[.])?', '') AS u, {_HOST} AS owner FROM pages), k AS (SELECT u, arg_min(owner, page_id) AS kept FROM p GROUP BY u) SELECT page_id, owner, kept, 'owned_by_other_export' AS code FROM p JOIN k USING (u) WHERE owner <> kept",
     "bookmark_owners": f"SELECT {_HOST} AS owner FROM pages UNION SELECT source FROM documents",
     "ocr_purge": "SELECT o_orderstatus, count(l_linenumber) AS versions, count(DISTINCT l_orderkey) AS artifacts, count(DISTINCT o_orderkey) AS stay FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'N') ON l_orderkey = o_orderkey GROUP BY 1",
     "resume_checkpoint": f"WITH {C.SQL_ARTIFACTS}, f AS (SELECT root, min(artifact_id) FILTER (title LIKE '%.txt' AND byte_size % 2 = 0) AS fc, count(*) AS total FROM artifacts GROUP BY 1) SELECT root, total, count(*) FILTER (fc IS NULL OR artifact_id < fc) AS completed FROM artifacts JOIN f USING (root) GROUP BY ALL",
-    "anchor_match": f"{_P} SELECT passage_id, root <> 'src1' AS matches FROM passages WHERE ordinal = 0",
+    "anchor_match": f"{_P} SELECT passage_id, root <> 'src1' AS matches FROM passages",
     "extractor_validation": f"WITH {_GEO} SELECT concat_ws(';', CASE WHEN px + pw > ow THEN 'outside' END, CASE WHEN pw < 1 OR ph < 1 THEN 'empty' END, CASE WHEN pw > 0.4::DOUBLE * ow THEN 'too_wide' END) AS problems, count(*) AS n FROM b GROUP BY 1",
 }

@@ -36,9 +36,10 @@ def provider_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 50 against all vectors."""
     v = C.table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return semantic.vector_topk(v, q).select("rank", "vec_id", F.round("similarity", 6).alias("similarity"))
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return semantic.vector_topk(v, q).select("query_id", "rank", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,11 +83,11 @@ def recency_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("artifact_id", "root", F.round(F.when(lo == hi, 1.0).otherwise((F.col("mtime_ns") - lo) / (hi - lo)), 6).alias("recency"))
 
 
-# evaluation: every benchmark item asks for the documents that hold its first words
+# evaluation: every benchmark item is a query of all its words
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.results(C.table(spark, sf_dir, "benchmark"), C.artifacts(spark, sf_dir), C.table(spark, sf_dir, "labels"))
+    return evaluation.results(C.table(spark, sf_dir, "benchmark"), C.passages(spark, sf_dir), C.table(spark, sf_dir, "labels"))
 
 
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,13 +145,13 @@ ORACLES = {
     "token_count_embedding": f"{_P}, t AS (SELECT passage_id, unnest({C.sql_alnum('passage_text')}) AS term FROM passages) SELECT passage_id, {_BUCKET}::INTEGER AS bucket, count(*) AS n FROM t GROUP BY ALL",
     "char_trigrams": f"{_P} SELECT sha256(substr(t, i, 3)) AS gram_hash, count(*) AS n FROM (SELECT translate(passage_text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM passages), unnest(range(1, length(t) - 1)) AS u(i) GROUP BY 1",
     "provider_benchmark": f"{_P} SELECT provider, samples, samples * 512 AS vector_bytes FROM (SELECT count(*) AS samples FROM passages WHERE enabled), (VALUES ('char_trigram'), ('token_bigram'), ('token_count')) v(provider)",
-    "semantic_topk": "WITH s AS (SELECT e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS c FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q), r AS (SELECT *, row_number() OVER (ORDER BY round(c, 9) DESC, vec_id) AS rank FROM s) SELECT rank, vec_id, round(c, 6) AS similarity FROM r WHERE rank <= 20",
+    "semantic_topk": "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS c FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, rank, vec_id, round(c, 6) AS similarity FROM r WHERE rank <= 20",
     "semantic_search": f"{_P}, {_SEMANTIC} SELECT rank, passage_id, round(similarity, 6) AS similarity FROM sr WHERE rank <= {LIMIT}",
     "semantic_status": "SELECT count(*) AS vectors, count(*) FILTER (len(embedding) <> 64) AS bad_size, count(*) FILTER (len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) > 0) AS not_finite, count(*) * 256 AS vector_bytes, concat_ws('; ', CASE WHEN count(*) FILTER (len(embedding) <> 64) > 0 THEN 'vector size differs' END, CASE WHEN count(*) FILTER (len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) > 0) > 0 THEN 'vector is not finite' END, CASE WHEN count(*) <> count(DISTINCT vec_id) THEN 'vector id repeats' END) AS violations, violations = '' AS healthy FROM embeddings",
     "hybrid_search": f"{_HYBRID}, f AS (SELECT passage_id, 0.45::DOUBLE * lexical_rrf + 0.35::DOUBLE * semantic_rrf + 0.1::DOUBLE * exact_match::INTEGER + 0.05::DOUBLE * path_overlap + 0.05::DOUBLE * recency AS score FROM sg), r AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, passage_id) AS rank FROM f) SELECT rank, passage_id, round(score, 6) AS score FROM r WHERE rank <= {LIMIT}",
     "hybrid_signals": f"{_HYBRID} SELECT passage_id, lexical_rank, semantic_rank, round(lexical_rrf, 9) AS lexical_rrf, round(semantic_rrf, 9) AS semantic_rrf, exact_match, round(path_overlap, 6) AS path_overlap, round(recency, 6) AS recency FROM sg",
     "rrf_only": f"{_HYBRID}, f AS (SELECT passage_id, 0.45::DOUBLE * CASE WHEN lexical_rank IS NULL THEN 0 ELSE 1.0::DOUBLE / (60 + lexical_rank) END + 0.35::DOUBLE * CASE WHEN semantic_rank IS NULL THEN 0 ELSE 1.0::DOUBLE / (60 + semantic_rank) END AS s FROM ca) SELECT passage_id, round(s, 9) AS score, row_number() OVER (ORDER BY round(s, 12) DESC, passage_id) AS rank FROM f",
     "recency_minmax": f"WITH {C.SQL_ARTIFACTS} SELECT artifact_id, root, round(CASE WHEN max(mtime_ns) OVER w = min(mtime_ns) OVER w THEN 1 ELSE (mtime_ns - min(mtime_ns) OVER w)::DOUBLE / (max(mtime_ns) OVER w - min(mtime_ns) OVER w)::DOUBLE END, 6) AS recency FROM artifacts WHERE enabled WINDOW w AS (PARTITION BY root)",
-    **evaluation.sql(C.SQL_ARTIFACTS),
+    **evaluation.sql(),
     "latency_percentiles": "SELECT event_type, count(*) AS n, round(median(value), 6) AS median, round(list_sort(list(value))[ceil(0.95 * count(value))::INTEGER], 6) AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type",
 }

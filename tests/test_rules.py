@@ -231,3 +231,26 @@ def test_bookmarks_after_letters_that_grow_in_lower_case():
     rows = "".join(f'<DT><A HREF="http://x/{i}">{"İ" * 40 if i == 0 else "T"}{i}</A>' for i in range(3))
     out = bookmarks.parse(f"<!DOCTYPE NETSCAPE-Bookmark-file-1><DL>{rows}</DL>")
     assert [(r[3], r[4]) for r in out.records] == [("İ" * 40 + "0", "http://x/0"), ("T1", "http://x/1"), ("T2", "http://x/2")]
+
+
+def test_vector_search_against_brute_force(spark):
+    from lodestone.operators import semantic as S
+
+    r = random.Random(12)
+    rows = [(i, [r.choice((-1.0, 0.0, 1.0, 2.0)) for _ in range(4)]) for i in range(120)] + [(200, None), (None, [1.0, 1.0, 0.0, 0.0]), (None, [1.0, 2.0, 0.0, 0.0]), (201, [1.0]), (202, [0.0] * 4), (5, rows5 := [2.0, 2.0, 2.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, v) for i, v in rows if i is not None and i % 10 == 0] + [(5, rows5)], "query_id long, q array<double>")
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b):
+            return None
+        size = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return sum(x * y for x, y in zip(a, b, strict=True)) / size if size else None
+
+    for block in (4096, 5):
+        out = S.vector_topk(vectors, queries, 7, block).collect()
+        for i, q in [(i, v) for i, v in rows if i is not None and i % 10 == 0 and v and any(v)]:
+            scored = sorted(((-round(c, 9), v is not None, v or 0) for v, e in rows if (c := cosine(q, e)) is not None))[:7]
+            got = [(-round(x["similarity"], 9), x["vec_id"] is not None, x["vec_id"] or 0) for x in sorted((x for x in out if x["query_id"] == i), key=lambda x: x["rank"])]
+            assert [g[0] for g in got] == [w[0] for w in scored], i
+    assert S.vector_topk(vectors, queries.where("false")).count() == 0 and S.vector_topk(vectors.where("false"), queries).count() == 0
