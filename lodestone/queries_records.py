@@ -220,7 +220,8 @@ def inspect_source(spark, sf_dir):
 
 
 def html_sanitize(spark, sf_dir):
-    return C.table(spark, sf_dir, "pages").select("page_id", F.sha2(html.sanitize(F.col("html")), 256).alias("digest"), F.length(html.sanitize(F.col("html"))).alias("n"))
+    p = C.spread(C.table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", html.sanitize(F.col("html")).alias("x"))
+    return p.select("page_id", F.sha2("x", 256).alias("digest"), F.length("x").alias("n"))
 
 
 def html_untrusted(spark, sf_dir):

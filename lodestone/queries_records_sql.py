@@ -32,13 +32,28 @@ _TAGS = "|".join(sorted(html.ALLOWED, key=len, reverse=True))
 
 
 def _sanitized() -> str:
-    x = "regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g')"
-    for tag in html.DANGEROUS:
-        x = f"regexp_replace({x}, '(?is)<{tag}(?:\\s[^>]*)?>.*?(?:</{tag}\\s*>|$)', ' ', 'g')"
-    x = f"regexp_replace({x}, '(?i)<(/?)({_TAGS})(?:\\s[^>]*)?/?>', chr(1) || '\\1\\2' || chr(2), 'g')"
-    x = f"regexp_replace({x}, '(?i)</?[a-z][a-z0-9-]*(?:\\s[^>]*)?/?>', '', 'g')"
-    x = f"regexp_replace({x}, '\\x01/(?:br|hr)\\x02', '', 'g')"
-    return f"trim(regexp_replace(replace(replace({x}, chr(1), '<'), chr(2), '>'), '[\\t\\r\\n ]+', ' ', 'g'))"
+    """CTEs up to s(page_id, html, x): the pieces of each page, read one after the other with what is left out."""
+    names = lambda tags: "(" + ", ".join(f"'{t}'" for t in tags) + ")"
+    return f"""WITH RECURSIVE
+pc AS (SELECT page_id, unnest(range(0, len(l))) AS i, unnest(l) AS x FROM (SELECT page_id, string_split(html, '<') AS l FROM pages)),
+pf AS (SELECT *, lower(regexp_extract(x, '^/?([a-zA-Z][a-zA-Z0-9-]*)(\\s[^>]*)?/?>', 1)) AS name, starts_with(x, '/') AS closing, regexp_replace(x, '^[^>]*>', '') AS rest, regexp_extract(x, '^/?[a-zA-Z][a-zA-Z0-9-]*([^>]*)>', 1) AS after FROM pc),
+st AS (
+  SELECT page_id, i, x AS given, '' AS hidden FROM pf WHERE i = 0
+  UNION ALL
+  SELECT p.page_id, p.i,
+    CASE WHEN hidden = '!--' THEN CASE WHEN contains(x, '-->') THEN substr(x, strpos(x, '-->') + 3) ELSE '' END
+      WHEN hidden <> '' THEN CASE WHEN closing AND name = hidden AND trim(after) = '' THEN rest ELSE '' END
+      WHEN starts_with(x, '!--') THEN ' ' || CASE WHEN contains(substr(x, 4), '-->') THEN substr(x, 3 + strpos(substr(x, 4), '-->') + 3) ELSE '' END
+      WHEN name = '' THEN '<' || x
+      WHEN name IN {names(html.DANGEROUS)} AND NOT closing AND after <> '/' THEN ' '
+      WHEN name IN {names(html.ALLOWED)} AND NOT (closing AND name IN ('br', 'hr')) THEN CASE WHEN closing THEN '</' ELSE '<' END || name || '>' || rest
+      ELSE rest END,
+    CASE WHEN hidden = '!--' THEN CASE WHEN contains(x, '-->') THEN '' ELSE hidden END
+      WHEN hidden <> '' THEN CASE WHEN closing AND name = hidden AND trim(after) = '' THEN '' ELSE hidden END
+      WHEN starts_with(x, '!--') THEN CASE WHEN contains(substr(x, 4), '-->') THEN '' ELSE '!--' END
+      WHEN name IN {names(html.DANGEROUS)} AND NOT closing AND after <> '/' THEN name ELSE '' END
+  FROM st JOIN pf p ON p.page_id = st.page_id AND p.i = st.i + 1),
+s AS (SELECT p.page_id, p.html, j.x FROM pages p LEFT JOIN (SELECT page_id, trim(regexp_replace(string_agg(given, '' ORDER BY i), '[\\t\\r\\n ]+', ' ', 'g')) AS x FROM st GROUP BY page_id) j USING (page_id))"""
 
 
 def _untrusted(x: str) -> str:
@@ -85,8 +100,8 @@ SELECT sha256(string_agg(h, '|' ORDER BY i)) AS digest FROM h4""",
     "scope_consistency": " UNION ALL ".join(f"SELECT '{c}' AS relation, count(*) AS orphans, count(*) = 0 AS consistent FROM {c} WHERE {k} NOT IN (SELECT {o} FROM {p})" for c, k, p, o in (("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey"))),
     "source_roots": f"{_A} SELECT root, CASE WHEN bool_and(enabled) THEN 'available' ELSE 'revoked' END AS status, count(*) AS n FROM artifacts GROUP BY root",
     "inspect_source": f"{_P} SELECT artifact_id, count(*) AS passages, sha256(string_agg(sha256(passage_text), ',' ORDER BY ordinal)) AS digest FROM passages WHERE enabled GROUP BY artifact_id",
-    "html_sanitize": f"WITH s AS (SELECT page_id, {_sanitized()} AS x FROM pages) SELECT page_id, sha256(x) AS digest, length(x)::INTEGER AS n FROM s",
-    "html_untrusted": f"WITH s AS (SELECT page_id, html, {_sanitized()} AS x FROM pages) SELECT page_id, {_untrusted('html')} AS raw_untrusted, {_untrusted('x')} AS clean_untrusted FROM s",
+    "html_sanitize": f"{_sanitized()} SELECT page_id, sha256(x) AS digest, length(x)::INTEGER AS n FROM s",
+    "html_untrusted": f"{_sanitized()} SELECT page_id, {_untrusted('html')} AS raw_untrusted, {_untrusted('x')} AS clean_untrusted FROM s",
     "url_validation": "SELECT page_id, CASE WHEN contains(url, '/de/') THEN 'executable' WHEN contains(url, '/fr/') AND contains(replace(url, '://', '//'), ':') THEN 'invalid_scheme' WHEN contains(url, '/fr/') THEN 'no_scheme' WHEN contains(url, '/es/') THEN 'invalid_scheme' ELSE 'ok' END AS verdict FROM pages",
     "media_types": f"SELECT {_MEDIA(chr(117) + 'rl || ' + chr(39) + '.MD' + chr(39))} AS with_md, {_MEDIA('url')} AS plain, count(*) AS n FROM pages GROUP BY ALL",
     "text_checks": "SELECT doc_id, CASE WHEN strlen(text) > 2097152 THEN 'too_large' WHEN regexp_matches(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x9F]') THEN 'control_characters' ELSE 'ok' END AS verdict, CASE WHEN length(p) <= 31 THEN p ELSE left(p, 12) || '…' || right(p, 18) END AS path FROM (SELECT doc_id, text, '/corpus/' || source || '/' || lang || '/document-' || doc_id || '.md' AS p FROM documents)",

@@ -132,9 +132,11 @@ def test_sanitizer_and_checks(spark):
         '<!-- x --><P class="a">One <SCRIPT>bad()</SCRIPT><b>two</b><br/></P><form>no': "<p>One two<br></p>",
         "<div><a href='x'>y</a></hr></div>": "<div><a>y</a></div>",
         "a  \n b": "a b",
+        "x<!-- <p>a</p> --> y<!--z": "x y",
+        "<form><script>a</script>b</form >c<form/>d<style x=1>e</style": "cd",
     }
     rows = spark.createDataFrame([(k,) for k in cases], "h string").select("h", html.sanitize(F.col("h")).alias("s"), html.untrusted(html.sanitize(F.col("h"))).alias("u"), html.untrusted(F.col("h")).alias("raw")).collect()
-    assert {r["h"]: r["s"] for r in rows} == cases and not any(r["u"] for r in rows) and [r["raw"] for r in rows] == [True, True, False]
+    assert {r["h"]: r["s"] for r in rows} == cases and not any(r["u"] for r in rows) and [r["raw"] for r in rows] == [True, True, False, True, True]
     bad = ["<p", "<p onclick=x>", "<video>", "</br>", "x javascript:y", "<>"]
     assert all(r[0] for r in spark.createDataFrame([(b,) for b in bad], "h string").select(html.untrusted(F.col("h"))).collect())
 
