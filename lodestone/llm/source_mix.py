@@ -77,11 +77,11 @@ def thresholds(keys: DataFrame, budgets: DataFrame) -> DataFrame:
     """keys: src, size, h. budgets: src, budget. Per source the threshold t (long) so that the sizes
     of the rows with h < t come nearest to the budget."""
     state = budgets.select("src", F.lit(0).cast("long").alias("prefix"), F.col("budget").cast("double").alias("left"))
-    rows = keys
     for level in range(LEVELS):
+        rows = keys
         if level:  # of the first level all rows count; from then on, those of the boundary buckets
             bound = state.select(F.col("src").alias("src_"), F.col("prefix").alias("prefix_"))
-            rows = rows.join(bound, F.col("src").eqNullSafe(F.col("src_")) & (F.shiftright("h", BITS * (LEVELS - level)) == F.col("prefix_"))).drop("src_", "prefix_")
+            rows = keys.join(bound, F.col("src").eqNullSafe(F.col("src_")) & (F.shiftright("h", BITS * (LEVELS - level)) == F.col("prefix_"))).drop("src_", "prefix_")
         sums = rows.groupBy("src", _digit(level).alias("digit")).agg(F.sum("size").alias("size"))
         run = Window.partitionBy("src").orderBy("digit")
         state_ = state.select(F.col("src").alias("src_"), "prefix", "left")
@@ -97,6 +97,8 @@ def thresholds(keys: DataFrame, budgets: DataFrame) -> DataFrame:
             F.when(F.col("edge").isNull(), F.lit(0.0)).otherwise(F.col("left") - (F.col("edge.upto") - F.col("edge.size"))).alias("left"),
             *([F.col("edge.size").alias("edge_size")] if level == LEVELS - 1 else []),
         )
+        # a row a source; written, so that a level's plan does not hold those before it
+        state = common.staged(state, f"mix-level-{level}")
     # at the last level the bucket is one hash: take it if that comes nearer
     return state.select("src", (F.col("prefix") + F.when(F.col("edge_size") - F.col("left") < F.col("left"), 1).otherwise(0)).alias("threshold"))
 
