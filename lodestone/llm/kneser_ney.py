@@ -11,7 +11,7 @@ the trusted documents of the language that training left out.
 Scoring: while the model has at most `max_entries` entries (16 bytes each, counted before), its shards
 are sent to the tasks as sorted arrays and texts are scored where they are, without a shuffle. Above
 that, documents' distinct n-grams with their counts are joined with the sharded model tables order by order.
-Both give the same perplexities.
+Both use the same logarithms (doubles) and give the same perplexities but for the order of the sum.
 
 All trusted text but the held-out documents' is counted and every document is scored whole.
 
@@ -168,11 +168,11 @@ class Scorer:
 
         rows = None
         for k, (p, g) in enumerate(zip(probabilities, weights, strict=True), 1):
-            part = p.where(F.length("gram") == k).select("lang", F.col("gram").alias("g"), F.lit(k).alias("k"), F.lit(False).alias("ctx"), F.log("p").cast("float").alias("v"))
+            part = p.where(F.length("gram") == k).select("lang", F.col("gram").alias("g"), F.lit(k).alias("k"), F.lit(False).alias("ctx"), F.log("p").alias("v"))
             if k > 1:
-                part = part.union(g.select("lang", F.col("ctx").alias("g"), F.lit(k - 1).alias("k"), F.lit(True).alias("ctx"), F.log("gamma").cast("float").alias("v")))
+                part = part.union(g.select("lang", F.col("ctx").alias("g"), F.lit(k - 1).alias("k"), F.lit(True).alias("ctx"), F.log("gamma").alias("v")))
             rows = part if rows is None else rows.union(part)
-        table = rows.mapInArrow(hashed, "lang string, ctx boolean, h long, v float").toArrow()
+        table = rows.mapInArrow(hashed, "lang string, ctx boolean, h long, v double").toArrow()
         code = table["lang"].combine_chunks().dictionary_encode() if table.num_rows else None
         if code is not None:
             number = code.indices.fill_null(-1).to_numpy(zero_copy_only=False)
