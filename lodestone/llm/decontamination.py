@@ -3,7 +3,8 @@
 Words (lower-cased, ASCII punctuation as space) of test items and of documents are hashed under fixed masks
 that ignore some positions, so a few substituted words do not hide a copied passage. Document hashes are
 joined with the test hashes (a bit table first, then binary search); around every hit the document
-is laid along the item, and the best-scoring overlap (match +1, substitution -2) is verified: at least
+is laid along the item, and the best-scoring overlap (match +1, substitution -2; of equal ones that which ends first
+and is shortest) is verified: at least
 MIN_MATCHED equal words (all words of a shorter item) and MIN_IDENTITY of the overlap. A whole copy is also
 one where the equal words of the untrimmed overlap reach MIN_IDENTITY of the item, and MIN_WORDS.
 
@@ -11,9 +12,11 @@ Spaced seeds may miss a whole copy, so items are also hashed in runs of the leng
 however the allowed substitutions are placed: 3 words, or 2 for items of 5 and 8. These hits are
 counted in arrays and need the whole-copy rule.
 
-Test items are the small side. They are dealt into blocks of at most BLOCK_BYTES, and each block is
-matched in a pass of its own over all documents, so what a task holds is bounded however
-many items there are. Documents are never shuffled and each is judged whole, in one task.
+Test items are the small side: the join is one of hashes in memory. Items are dealt into blocks of at most BLOCK_BYTES of text,
+whose hashes (about 27 times that, in arrays) are sent to all tasks, and each block is matched in a pass of its own over
+all documents: what a task holds is bounded however many items there are, and passes grow with the items. An exchange of
+documents' hashes instead would move 40 bytes a word, over ten times the texts. Documents are never shuffled and each
+is judged whole, in one task; hits are counted in arrays, and only those with enough equal words are looked at one by one.
 
 Defined results: null or empty texts and items match nothing; items with fewer than MIN_WORDS words cannot be
 told from chance and match nothing; items shorter than a mask match where all their words
@@ -116,15 +119,16 @@ class Seeds:
             entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             ok = self.which[entry] == m
             entry, position = entry[ok], np.repeat(at, n)[ok]
-            found.append(np.stack([self.item[entry], position - self.offset[entry]]))
+            found.append((self.item[entry] << 32) + (position - self.offset[entry]))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        both = np.unique(np.concatenate(found, axis=1), axis=1)
-        return both[0], both[1]
+        both = np.unique(np.concatenate(found))
+        item = (both + (1 << 31)) >> 32
+        return item, both - (item << 32)
 
-    def whole(self, words: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
-        """Whether the document's words along each diagonal are a whole copy of the item."""
-        out = np.zeros(len(item), bool)
+    def equal_words(self, words: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        """How many of the item's words the document has along each diagonal."""
+        out = np.zeros(len(item), np.int64)
         for lo, hi in common.blocks(self.sizes[item], common.BLOCK_WORDS):
             n = self.sizes[item[lo:hi]]
             of = np.repeat(np.arange(hi - lo), n)
@@ -132,7 +136,7 @@ class Seeds:
             at = place + diagonal[lo:hi][of]
             inside = (at >= 0) & (at < len(words))
             same = inside & (words[np.where(inside, at, 0)] == self.flat[self.starts[item[lo:hi]][of] + place])
-            out[lo:hi] = np.bincount(of, same, hi - lo) >= self.least[item[lo:hi]]
+            out[lo:hi] = np.bincount(of, same, hi - lo)
         return out
 
     def overlaps(self, words: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
@@ -140,8 +144,11 @@ class Seeds:
         document, first word in the item, item's words."""
         best: dict[int, tuple] = {}
         item, diagonal = self.hits(words, runs=True)
-        copies = self.whole(words, item, diagonal)
-        both = [np.concatenate(x) for x in zip(self.hits(words), (item[copies], diagonal[copies]), strict=True)]
+        copies = self.equal_words(words, item, diagonal) >= self.least[item]
+        seeded = self.hits(words)
+        # only hits with enough equal words along the whole item can pass; items with one opening give many that cannot
+        enough = self.equal_words(words, *seeded) >= np.minimum(np.minimum(MIN_MATCHED, self.sizes), self.least)[seeded[0]]
+        both = [np.concatenate(x) for x in zip((seeded[0][enough], seeded[1][enough]), (item[copies], diagonal[copies]), strict=True)]
         for i, d in sorted(set(zip(*(x.tolist() for x in both), strict=True))):
             own = self.words[i]
             lo, hi = max(0, -d), min(len(own), len(words) - d)

@@ -383,6 +383,55 @@ def test_whole_copies_of_short_items_with_substitutions_at_every_place():
                 assert bool(found) == enough or (found and found[0][1] >= decontamination.MIN_MATCHED), (n, at)
 
 
+def brute_overlaps(items, text):
+    """Items that the rules find, by every diagonal that a seed or an intact run gives."""
+    ws, out = text.split(), set()
+    for i, item in enumerate(items):
+        n = len(item)
+        least = max(decontamination.MIN_WORDS, math.ceil(decontamination.MIN_IDENTITY * n))
+        for d in range(-n + 1, len(ws)):
+            same = [0 <= j + d < len(ws) and ws[j + d] == w for j, w in enumerate(item)]
+            seeded = any(all(j + k < n and same[j + k] for k, x in enumerate(mask) if x == "1") and j + len(mask) <= n and 0 <= j + d and j + d + len(mask) <= len(ws) for mask in decontamination.MASKS for j in range(n))
+            if not seeded and sum(same) < least:
+                continue
+            # the best score; of equal ones the one that ends first and is shortest
+            run = [0, *itertools.accumulate(1 if x else -2 for x in same)]
+            _, end, start = max(((run[b] - run[a], -b, a) for a in range(max(0, -d), n) for b in range(a + 1, min(n, len(ws) - d) + 1)), default=(0, 0, 0))
+            best = (0, -end - start, sum(same[start:-end]))
+            if seeded and best[2] >= min(decontamination.MIN_MATCHED, n) and best[2] >= decontamination.MIN_IDENTITY * best[1]:
+                out.add(i)
+            if n >= decontamination.MIN_WORDS and sum(same) >= least:
+                out.add(i)
+    return out
+
+
+def test_overlaps_against_brute_force():
+    r = random.Random(21)
+    vocab = [f"k{i}" for i in range(30)]
+    items = [["open", "with", "these", "same", "words"] + [r.choice(vocab) for _ in range(r.randint(0, 30))] for _ in range(25)]
+    seeds = decontamination.Seeds([(i, " ".join(x)) for i, x in enumerate(items)])
+    found = 0
+    for _ in range(60):
+        body = [r.choice(vocab) for _ in range(30)]
+        own = list(r.choice(items))
+        for j in r.sample(range(len(own)), min(len(own), r.randint(0, 5))):
+            own[j] = "other"
+        text = " ".join(body[:15] + own[: r.randint(3, len(own))] + body[15:])
+        got = {x[0] for x in seeds.overlaps(decontamination.word_hashes([text])[0])}
+        assert got == brute_overlaps(items, text)
+        found += len(got)
+    assert found > 40
+
+
+def test_items_with_one_opening_do_not_slow_a_text_down():
+    items = [(i, f"read the next passage and answer it then {i} " + " ".join(f"q{i}x{j}" for j in range(20))) for i in range(2000)]
+    text = " ".join(f"read the next passage and answer it then none{i}" for i in range(40))
+    seeds = decontamination.Seeds(items)
+    began = time.monotonic()
+    assert seeds.overlaps(decontamination.word_hashes([text])[0]) == []
+    assert time.monotonic() - began < 2
+
+
 # page extraction
 
 
@@ -727,7 +776,7 @@ def test_kneser_ney_against_brute_force(spark, empty):
             perplexity, kept, n = got[i][0]
             assert n == len(t or "")
             if t and lang in models:
-                assert abs(perplexity / models[lang](t) - 1) < 1e-4
+                assert abs(perplexity / models[lang](t) - 1) < 1e-9
             else:
                 assert perplexity is None and kept == bool(t)
         assert got[200][0][1] is False
