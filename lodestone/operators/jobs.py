@@ -60,3 +60,24 @@ def next_states(jobs: DataFrame) -> DataFrame:
     """jobs: state, attempts, max_attempts, cancel_requested, failed. What a settled job becomes."""
     state = F.when(F.col("cancel_requested"), "cancelled").when(~F.col("failed"), "completed").when(F.col("attempts") < F.col("max_attempts"), "retryable").otherwise("failed")
     return jobs.withColumn("next_state", F.when(F.col("state") == "running", state).otherwise(F.col("state")))
+
+
+def directory_quanta(progress: DataFrame, files: DataFrame) -> DataFrame:
+    """progress: job_id, next_unit, fingerprint; files: job_id, unit, path, fingerprint (of the folder as it is now).
+    job_id, action, unit, path: what the next claim of each job does.
+
+    One file a claim (`process`); after the last one the final `reconcile`; a folder whose names have changed since starts
+    again (`restart`), as does one that is gone or empty while units were done. An empty folder at unit 0 reconciles."""
+    now = files.groupBy("job_id").agg(F.count("*").alias("total"), F.first("fingerprint").alias("scan"))
+    rows = progress.select("job_id", "next_unit", "fingerprint").join(now, "job_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    same = F.coalesce(F.col("scan") == F.col("fingerprint"), F.col("next_unit") == 0)
+    action = F.when(~same, "restart").when(F.col("next_unit") < F.col("total"), "process").otherwise("reconcile")
+    rows = rows.select("job_id", action.alias("action"), F.when(action == "process", F.col("next_unit")).alias("unit"))
+    return rows.join(files.select("job_id", "unit", "path"), ["job_id", "unit"], "left").select("job_id", "action", "unit", "path")
+
+
+def directory_stream(spark, path: str, handle):
+    """A folder as a stream of one file a micro-batch: handle(rows, epoch) gets path, modificationTime, length, content;
+    start it with a checkpoint, from which it goes on after an interruption."""
+    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).load(path)
+    return files.writeStream.foreachBatch(handle)

@@ -1,40 +1,16 @@
-"""Merges of canonical records: index upsert, reconcile, bookmark import, evidence checks, purge, retention, revocation, digests."""
+"""Checks and counts of canonical records: reconcile, evidence checks, purge counts, digests."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Both: artifact_id, content_hash. What an index run does with each artifact."""
-    s, i = stored.select("artifact_id", F.col("content_hash").alias("old")), incoming.select("artifact_id", F.col("content_hash").alias("new"))
-    outcome = F.when(F.col("new").isNull(), "missing").when(F.col("old").isNull(), "inserted").when(F.col("old") == F.col("new"), "unchanged").otherwise("updated")
-    return s.join(i, "artifact_id", "full_outer").withColumn("outcome", outcome)
-
-
 def missing(stored: DataFrame, seen: DataFrame) -> DataFrame:
     """Stored artifacts that a complete scan did not see."""
     return stored.join(seen.select("artifact_id"), "artifact_id", "left_anti").withColumn("state", F.lit("missing"))
 
 
-def merge_bookmarks(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """stored: url, folder, title; incoming: ordinal, url, folder, title. The outcome of each incoming record in order:
-    the same key and title (as stored or as an earlier record left it) is unchanged, another title merged; a new
-    key is a conflict where the url is known in another folder, else imported."""
-    key = Window.partitionBy("url", "folder").orderBy("ordinal")
-    rows = incoming.withColumn("before", F.lag("title").over(key)).withColumn("nth", F.row_number().over(key))
-    url = Window.partitionBy("url").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("others", F.count("*").over(url) - (F.col("nth") - 1))
-    s = stored.select("url", "folder", F.col("title").alias("stored_title"))
-    known = stored.groupBy("url").agg(F.lit(True).alias("url_known"))
-    rows = rows.join(s, ["url", "folder"], "left").join(known, "url", "left")
-    last = F.when(F.col("nth") > 1, F.col("before")).otherwise(F.col("stored_title"))
-    exists = (F.col("nth") > 1) | F.col("stored_title").isNotNull()
-    outcome = F.when(exists & (last == F.col("title")), "unchanged").when(exists, "merged").when((F.col("others") > 0) | F.col("url_known"), "conflict").otherwise("imported")
-    return rows.select("ordinal", "url", "folder", outcome.alias("outcome"))
-
-
 def verified(requests: DataFrame, current: DataFrame) -> DataFrame:
     """Requests (passage_id, content_hash, text_hash) whose whole tuple is current."""
     return requests.join(current, ["passage_id", "content_hash", "text_hash"], "left_semi")

@@ -13,15 +13,6 @@ from lodestone.queries_records_sql import _EDGES, _GEO, _P
 EXCLUDED = ("error", "signup")
 
 
-def evidence_endpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between items of one order: is the order of the line item that an edge names as evidence its customer's?"""
-    o = C.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderstatus")
-    x = C.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus")
-    held = o.where("o_orderstatus = 'O'").select("l_orderkey")
-    good = x.join(held, "l_orderkey", "left_semi").groupBy("l_linestatus").agg(F.count("*").alias("belongs"))
-    return good.join(x.groupBy("l_linestatus").agg(F.count("*").alias("n")), "l_linestatus")
-
-
 def revoked_endpoints(spark, sf_dir):
     """Edges whose two ends are both visible: suppliers with a balance, parts of some size."""
     s = C.table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("S"), "s_suppkey").alias("source_id"))
@@ -52,30 +43,6 @@ def ablation_metrics(spark, sf_dir):
     return out
 
 
-def bookmark_supersede(spark, sf_dir):
-    """Order versions of a customer as a bookmark's versions: the newest is ready, older ones with its status are reused, the rest superseded."""
-    o = C.table(spark, sf_dir, "orders")
-    w = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
-    rows = o.withColumn("rn", F.row_number().over(w)).withColumn("newest", F.first("o_orderstatus").over(w))
-    state = F.when(F.col("rn") == 1, "ready").when(F.col("newest") == F.col("o_orderstatus"), "reused").otherwise("superseded")
-    return rows.select("o_orderkey", state.alias("state"))
-
-
-def import_retry(spark, sf_dir):
-    """Failures of an import that a later import of the same host resolves."""
-    p = C.table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), F.contains("url", F.lit("/de/")).alias("failed"))
-    later = p.where("not failed").groupBy("host").agg(F.max("page_id").alias("last_good"))
-    f = p.where("failed").join(later, "host", "left")
-    return f.select("page_id", "host", F.when(F.col("last_good") > F.col("page_id"), "resolved").otherwise("pending").alias("state"))
-
-
-def owner_failures(spark, sf_dir):
-    """URLs that more than one host's export claims under another scheme: the first owner keeps it."""
-    p = C.table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^https?://(www[.]|m[.]|blog[.])?", "").alias("u"), F.regexp_extract("url", "://([^/?#]*)", 1).alias("owner"))
-    first = p.groupBy("u").agg(F.min(F.struct("page_id", "owner"))["owner"].alias("kept"))
-    return p.join(first, "u").where("owner <> kept").select("page_id", "owner", "kept", F.lit("owned_by_other_export").alias("code"))
-
-
 def bookmark_owners(spark, sf_dir):
     """Hosts that own a page or are linked as a document's source: a distinct union."""
     a = C.table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("owner"))
@@ -83,22 +50,6 @@ def bookmark_owners(spark, sf_dir):
     return a.union(b).distinct()
 
 
-def ocr_purge(spark, sf_dir):
-    """What goes when recognised text is purged: regions and distinct images by order status; the orders stay."""
-    x = C.table(spark, sf_dir, "lineitem").where("l_returnflag = 'N'")
-    o = C.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
-    return o.join(x, "l_orderkey", "left").groupBy("o_orderstatus").agg(F.count("l_linenumber").alias("versions"), F.count_distinct(F.when(F.col("l_linenumber").isNotNull(), F.col("l_orderkey"))).alias("artifacts"), F.count_distinct("l_orderkey").alias("stay"))
-
-
-def resume_checkpoint(spark, sf_dir):
-    """Documents done before an interruption, in order, up to the first whose content changed (French): where each source resumes."""
-    a = C.artifacts(spark, sf_dir)
-    changed = F.endswith("title", F.lit(".txt")) & (F.col("byte_size") % 2 == 0)
-    first = a.groupBy("root").agg(F.min(F.when(changed, F.col("artifact_id"))).alias("first_changed"), F.count("*").alias("total"))
-    j = a.join(first, "root")
-    return j.groupBy("root", "total").agg(F.count_if(F.col("first_changed").isNull() | (F.col("artifact_id") < F.col("first_changed"))).alias("completed"))
-
-
 def anchor_match(spark, sf_dir):
     """Expected anchors (of all passages, as a client kept them; src1's are off by one) against the passages."""
     p = C.passages(spark, sf_dir)
@@ -119,7 +70,7 @@ def extractor_validation(spark, sf_dir):
     return r.groupBy(wrong.alias("problems")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (evidence_endpoint, revoked_endpoints, capture_policy, ablation_metrics, bookmark_supersede, import_retry, owner_failures, bookmark_owners, ocr_purge, resume_checkpoint, anchor_match, extractor_validation)}
+QUERIES = {f.__name__: f for f in (revoked_endpoints, capture_policy, ablation_metrics, bookmark_owners, anchor_match, extractor_validation)}
 
 _HOST = "regexp_extract(url, '://([^/?#]*)', 1)"
 _ABLATION = evaluation.sql()["eval_metrics"].rsplit("SELECT", 1)[0]
@@ -130,16 +81,10 @@ def _mode(name: str, order: str) -> str:
 
 
 ORACLES = {
-    "evidence_endpoint": "SELECT l_linestatus, count(*) FILTER (l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')) AS belongs, count(*) AS n FROM lineitem GROUP BY 1",
     "revoked_endpoints": f"WITH {_EDGES} SELECT kind, origin, count(*) AS visible FROM e WHERE source_id IN (SELECT 'S' || s_suppkey FROM supplier WHERE s_acctbal > 0) AND target_id IN (SELECT 'P' || p_partkey FROM part WHERE p_size > 10) GROUP BY ALL",
     "capture_policy": f"SELECT user_id, count(*) AS kept FROM events WHERE event_type NOT IN {EXCLUDED} GROUP BY 1",
     "ablation_metrics": f"{_ABLATION}, c AS (SELECT item_id, h.artifact_id, good, byte_size FROM h JOIN artifacts a ON a.artifact_id = h.artifact_id WHERE h.rank <= 5) {_mode('by_id', 'artifact_id')} UNION ALL {_mode('by_quality', 'good DESC, artifact_id')} UNION ALL {_mode('by_length', 'byte_size DESC, artifact_id')}",
-    "bookmark_supersede": "SELECT o_orderkey, CASE WHEN row_number() OVER w = 1 THEN 'ready' WHEN first_value(o_orderstatus) OVER w = o_orderstatus THEN 'reused' ELSE 'superseded' END AS state FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)",
-    "import_retry": f"WITH p AS (SELECT page_id, {_HOST} AS host, contains(url, '/de/') AS failed FROM pages), g AS (SELECT host, max(page_id) AS m FROM p WHERE NOT failed GROUP BY 1) SELECT page_id, p.host, CASE WHEN m > page_id THEN 'resolved' ELSE 'pending' END AS state FROM p LEFT JOIN g ON g.host = p.host WHERE failed",
-    "owner_failures": f"WITH p AS (SELECT page_id, regexp_replace(url, '^https?://(www[.]|m[.]|blog[.])?', '') AS u, {_HOST} AS owner FROM pages), k AS (SELECT u, arg_min(owner, page_id) AS kept FROM p GROUP BY u) SELECT page_id, owner, kept, 'owned_by_other_export' AS code FROM p JOIN k USING (u) WHERE owner <> kept",
     "bookmark_owners": f"SELECT {_HOST} AS owner FROM pages UNION SELECT source FROM documents",
-    "ocr_purge": "SELECT o_orderstatus, count(l_linenumber) AS versions, count(DISTINCT l_orderkey) AS artifacts, count(DISTINCT o_orderkey) AS stay FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'N') ON l_orderkey = o_orderkey GROUP BY 1",
-    "resume_checkpoint": f"WITH {C.SQL_ARTIFACTS}, f AS (SELECT root, min(artifact_id) FILTER (title LIKE '%.txt' AND byte_size % 2 = 0) AS fc, count(*) AS total FROM artifacts GROUP BY 1) SELECT root, total, count(*) FILTER (fc IS NULL OR artifact_id < fc) AS completed FROM artifacts JOIN f USING (root) GROUP BY ALL",
     "anchor_match": f"{_P} SELECT passage_id, root <> 'src1' AS matches FROM passages",
     "extractor_validation": f"WITH {_GEO} SELECT concat_ws(';', CASE WHEN px + pw > ow THEN 'outside' END, CASE WHEN pw < 1 OR ph < 1 THEN 'empty' END, CASE WHEN pw > 0.4::DOUBLE * ow THEN 'too_wide' END) AS problems, count(*) AS n FROM b GROUP BY 1",
 }

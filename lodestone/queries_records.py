@@ -50,11 +50,6 @@ def rel_compaction(spark, sf_dir):
     return graph.compaction(edges(spark, sf_dir), REMOVALS)
 
 
-def rel_compaction_report(spark, sf_dir):
-    n = graph.dominated(edges(spark, sf_dir)).agg(F.count("*").alias("candidates"))
-    return n.select("candidates", F.least("candidates", F.lit(REMOVALS)).alias("removed"), F.greatest(F.col("candidates") - REMOVALS, F.lit(0)).alias("remaining"))
-
-
 def rel_validation(spark, sf_dir):
     """Edges by what is wrong with them: a self edge, an inferred edge without confidence, a confidence out of 0 to 1."""
     e = edges(spark, sf_dir)
@@ -82,14 +77,6 @@ def _incoming(spark, sf_dir):
     return a.select("artifact_id", changed.alias("content_hash"))
 
 
-def index_upsert(spark, sf_dir):
-    return records.upsert(_stored(spark, sf_dir), _incoming(spark, sf_dir)).select("artifact_id", "outcome")
-
-
-def index_totals(spark, sf_dir):
-    return records.upsert(_stored(spark, sf_dir), _incoming(spark, sf_dir)).groupBy("outcome").agg(F.count("*").alias("n"))
-
-
 def reconcile_missing(spark, sf_dir):
     return records.missing(_stored(spark, sf_dir), _incoming(spark, sf_dir)).select("artifact_id", "root", "state")
 
@@ -104,15 +91,6 @@ def _bookmarks(spark, sf_dir):
     return stored, incoming
 
 
-def bookmark_merge(spark, sf_dir):
-    return records.merge_bookmarks(*_bookmarks(spark, sf_dir)).select("ordinal", "outcome")
-
-
-def bookmark_conflicts(spark, sf_dir):
-    _, i = _bookmarks(spark, sf_dir)
-    return i.groupBy("url").agg(F.count_distinct("folder").alias("folders"), F.count("*").alias("n")).where("n > 1")
-
-
 def bookmark_listing(spark, sf_dir):
     """Bookmark passages: title, url and folder as lines, and the hash of the entry."""
     _, i = _bookmarks(spark, sf_dir)
@@ -127,12 +105,6 @@ def bookmark_parse(spark, sf_dir):
     return bookmarks.parse_exports(p.select("page_id", body.alias("content")), "page_id", "content").select("source", "ordinal", "folder_path", "title", "url", "failure_code")
 
 
-def import_summaries(spark, sf_dir):
-    """Imports (one a host) with their counts and failures in order."""
-    parsed = records.merge_bookmarks(*_bookmarks(spark, sf_dir))
-    return parsed.groupBy("folder").agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "conflict").alias("conflicts"), F.count_if(F.col("outcome") == "unchanged").alias("unchanged"), F.min("ordinal").alias("first_ordinal"))
-
-
 def evidence_requests(spark, sf_dir):
     """Requests for all passages; those of src2 name an old content."""
     p = C.passages(spark, sf_dir)
@@ -166,13 +138,6 @@ def retention_cutoff(spark, sf_dir):
     return o.crossJoin(F.broadcast(last)).where("o_orderdate < cutoff").groupBy("o_orderstatus").agg(F.count("*").alias("expired"))  # one row
 
 
-def revoke_root(spark, sf_dir):
-    """What revoking src4 does: state of each root's artifacts before and after."""
-    a = C.artifacts(spark, sf_dir)
-    after = F.when(F.col("enabled") & (F.col("root") != "src4"), "active").otherwise("missing")
-    return a.groupBy("root").agg(F.count("*").alias("n"), F.count_if("enabled").alias("active_before"), F.count_if(after == "active").alias("active_after"), F.max(F.when(F.col("root") == "src4", 1).otherwise(0)).cast("long").alias("generation"))
-
-
 def library_stats(spark, sf_dir):
     a, p = C.artifacts(spark, sf_dir), C.passages(spark, sf_dir)
     x = a.agg(F.count("*").alias("artifacts"), F.count_if("enabled").alias("active"), F.coalesce(F.sum("byte_size"), F.lit(0)).alias("bytes"), F.count_distinct("root").alias("roots"))
@@ -197,22 +162,6 @@ def portable_digest(spark, sf_dir):
     return records.digest_tree(a, "artifact_id", "h")
 
 
-def scope_consistency(spark, sf_dir):
-    """Four references that must hold: rows without their parent."""
-    t = lambda n: C.table(spark, sf_dir, n)
-    checks = (("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey"))
-    out = None
-    for child, key, parent, own in checks:
-        n = t(child).join(t(parent).select(F.col(own).alias(key)), key, "left_anti").agg(F.count("*").alias("orphans")).select(F.lit(child).alias("relation"), "orphans")
-        out = n if out is None else out.union(n)
-    return out.withColumn("consistent", F.col("orphans") == 0)
-
-
-def source_roots(spark, sf_dir):
-    a = C.artifacts(spark, sf_dir)
-    return a.groupBy("root").agg(F.bool_and("enabled").alias("enabled"), F.count("*").alias("n")).select("root", F.when(~F.col("enabled"), "revoked").otherwise("available").alias("status"), "n")
-
-
 def inspect_source(spark, sf_dir):
     """Passage hashes in order of each active artifact, as one digest."""
     p = C.active(C.passages(spark, sf_dir)).select("artifact_id", F.struct("ordinal", F.sha2("passage_text", 256).alias("h")).alias("x"))
@@ -276,11 +225,11 @@ def running_offsets(spark, sf_dir):
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as file observations: a batch a day, a path a user."""
+    """Events as file observations: 97 batches a day by user, a path a user."""
     e = C.table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "view", "created").when(F.col("event_type") == "error", "removed").when(F.col("event_type") == "signup", "renamed").otherwise("modified")
     path = F.concat(F.lit("u"), "user_id")
-    return e.select(F.to_date("ts").alias("batch"), F.struct("ts", "event_id").alias("seq"), kind.alias("kind"), F.when(kind == "renamed", F.concat(path, F.lit("-new"))).otherwise(path).alias("path"), F.when(kind == "renamed", path).alias("previous_path"))
+    return e.select(F.concat_ws("/", F.to_date("ts").cast("string"), F.col("user_id") % 97).alias("batch"), F.struct("ts", "event_id").alias("seq"), kind.alias("kind"), F.when(kind == "renamed", F.concat(path, F.lit("-new"))).otherwise(path).alias("path"), F.when(kind == "renamed", path).alias("previous_path"))
 
 
 def event_coalesce(spark, sf_dir):
@@ -346,12 +295,6 @@ def performance_corpus(spark, sf_dir):
     return i.select(F.concat(F.format_string("%06d", "id"), F.when((F.col("id") + 20260824) % 5 == 0, ".txt").otherwise(".md")).alias("path"), F.sha2(body, 256).alias("digest"))
 
 
-def performance_gate(spark, sf_dir):
-    """The worst of each event type's values against a budget."""
-    e = C.table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.max("value").alias("worst")).select("event_type", F.round("worst", 6).alias("worst"), (F.col("worst") <= 500).alias("within"))
-
-
 def manifest_validation(spark, sf_dir):
     """Passage hashes against a manifest that names src2's as they were: rows that differ."""
     p = C.passages(spark, sf_dir).select("passage_id", F.sha2("passage_text", 256).alias("h"), "root")
@@ -370,8 +313,8 @@ def path_order(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        rel_dedupe, rel_degree, rel_listing, rel_compaction, rel_compaction_report, rel_validation, version_history, index_upsert, index_totals, reconcile_missing, bookmark_merge, bookmark_conflicts, bookmark_listing, bookmark_parse, import_summaries,
-        evidence_verify, evidence_stale, purge_before, retention_cutoff, revoke_root, library_stats, storage_by_root, storage_rollup, portable_digest, scope_consistency, source_roots, inspect_source, html_sanitize, html_untrusted, url_validation, media_types, text_checks,
-        ocr_geometry, ocr_counts, image_projection, running_offsets, event_coalesce, event_plans, rate_limit, replay_filter, late_rejection, lifecycle_fold, job_claim_order, job_listing, job_states, capture_fields, performance_corpus, performance_gate, manifest_validation, path_order,
+        rel_dedupe, rel_degree, rel_listing, rel_compaction, rel_validation, version_history, reconcile_missing, bookmark_listing, bookmark_parse, 
+        evidence_verify, evidence_stale, purge_before, retention_cutoff, library_stats, storage_by_root, storage_rollup, portable_digest, inspect_source, html_sanitize, html_untrusted, url_validation, media_types, text_checks,
+        ocr_geometry, ocr_counts, image_projection, running_offsets, event_coalesce, event_plans, rate_limit, replay_filter, late_rejection, lifecycle_fold, job_claim_order, job_listing, job_states, capture_fields, performance_corpus, manifest_validation, path_order,
     )
 }

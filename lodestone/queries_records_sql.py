@@ -14,17 +14,14 @@ _EDGES = """e AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_s
 _DOMINATED = f"""WITH {_EDGES}, k AS (SELECT *, first_value(id) OVER (PARTITION BY source_id, target_id, kind ORDER BY CASE origin WHEN 'user_confirmed' THEN 3 WHEN 'observed' THEN 2 ELSE 1 END DESC, coalesce(confidence, 0) DESC, created_at, id) AS kept_id FROM e),
 d AS (SELECT id, kept_id FROM k WHERE origin = 'inferred' AND id <> kept_id)"""
 _UPSERT = f"""{_A}, s AS (SELECT artifact_id, root, content_hash FROM artifacts WHERE root <> 'src5'),
-i AS (SELECT artifact_id, CASE WHEN title LIKE '%.txt' THEN 'sha256:' || sha256(text || chr(10) || 'more') ELSE content_hash END AS content_hash FROM artifacts WHERE root <> 'src3'),
-u AS (SELECT coalesce(s.artifact_id, i.artifact_id) AS artifact_id, CASE WHEN i.artifact_id IS NULL THEN 'missing' WHEN s.artifact_id IS NULL THEN 'inserted' WHEN s.content_hash = i.content_hash THEN 'unchanged' ELSE 'updated' END AS outcome FROM s FULL JOIN i ON s.artifact_id = i.artifact_id)"""
+i AS (SELECT artifact_id, CASE WHEN title LIKE '%.txt' THEN 'sha256:' || sha256(text || chr(10) || 'more') ELSE content_hash END AS content_hash FROM artifacts WHERE root <> 'src3')"""
 _MARKS = """p AS (SELECT page_id, url, html, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages),
 st AS (SELECT url, host AS folder, min(title) AS title FROM p WHERE url LIKE 'http:%' GROUP BY ALL),
-ic AS (SELECT page_id AS ordinal, regexp_replace(url, '^https:', 'http:') AS url, CASE WHEN contains(url, '/de/') THEN 'other' ELSE host END AS folder, CASE WHEN contains(url, 'utm_') THEN title || '!' ELSE title END AS title FROM p),
-w AS (SELECT *, lag(title) OVER k AS before_, row_number() OVER k AS nth, count(*) OVER (PARTITION BY url ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - (row_number() OVER k - 1) AS others FROM ic WINDOW k AS (PARTITION BY url, folder ORDER BY ordinal)),
-mg AS (SELECT w.ordinal, w.url, w.folder, CASE WHEN (nth > 1 OR st.title IS NOT NULL) AND CASE WHEN nth > 1 THEN before_ ELSE st.title END = w.title THEN 'unchanged' WHEN nth > 1 OR st.title IS NOT NULL THEN 'merged' WHEN others > 0 OR w.url IN (SELECT url FROM st) THEN 'conflict' ELSE 'imported' END AS outcome FROM w LEFT JOIN st ON st.url = w.url AND st.folder = w.folder)"""
+ic AS (SELECT page_id AS ordinal, regexp_replace(url, '^https:', 'http:') AS url, CASE WHEN contains(url, '/de/') THEN 'other' ELSE host END AS folder, CASE WHEN contains(url, 'utm_') THEN title || '!' ELSE title END AS title FROM p)"""
 _REQ = f"""{_P}, rq AS (SELECT passage_id, CASE WHEN root = 'src2' THEN 'sha256:old' ELSE content_hash END AS content_hash, sha256(passage_text) AS text_hash FROM passages),
 cu AS (SELECT passage_id, content_hash, sha256(passage_text) AS text_hash FROM passages WHERE enabled)"""
 _GONE = f"g AS (SELECT o_custkey AS c FROM orders GROUP BY 1 HAVING min(o_orderdate) < TIMESTAMP '{CUTOFF_DAY}')"
-_OBS = """ob AS (SELECT ts::DATE AS batch, ts, event_id, CASE event_type WHEN 'view' THEN 'created' WHEN 'error' THEN 'removed' WHEN 'signup' THEN 'renamed' ELSE 'modified' END AS kind, 'u' || user_id AS u FROM events),
+_OBS = """ob AS (SELECT ts::DATE || '/' || (user_id % 97) AS batch, ts, event_id, CASE event_type WHEN 'view' THEN 'created' WHEN 'error' THEN 'removed' WHEN 'signup' THEN 'renamed' ELSE 'modified' END AS kind, 'u' || user_id AS u FROM events),
 fl AS (SELECT batch, count(*) AS n FROM ob GROUP BY 1),
 mv AS (SELECT batch, ts, event_id, 0 AS sub, u AS path, CASE WHEN kind IN ('removed', 'renamed') THEN 'removed' ELSE 'changed' END AS state FROM ob UNION ALL SELECT batch, ts, event_id, 1, u || '-new', 'changed' FROM ob WHERE kind = 'renamed'),
 la AS (SELECT batch, path, state FROM (SELECT *, row_number() OVER (PARTITION BY batch, path ORDER BY ts DESC, event_id DESC, sub DESC) AS r FROM mv) WHERE r = 1)"""
@@ -72,33 +69,24 @@ ORACLES = {
     "rel_degree": f"WITH {_EDGES} SELECT node, count(*) AS degree, count(*) >= 10000 AS \"full\" FROM (SELECT source_id AS node FROM e UNION ALL SELECT target_id FROM e) GROUP BY node",
     "rel_listing": f"WITH {_EDGES}, l AS (SELECT * FROM e WHERE source_id = '{HUB}' OR target_id = '{HUB}' ORDER BY created_at, id LIMIT 100) SELECT id, source_id, target_id, kind, origin, s_name AS source_name, p_name AS target_name FROM l LEFT JOIN supplier ON 'S' || s_suppkey = source_id LEFT JOIN part ON 'P' || p_partkey = target_id",
     "rel_compaction": f"{_DOMINATED} SELECT * FROM d ORDER BY id LIMIT {REMOVALS}",
-    "rel_compaction_report": f"{_DOMINATED} SELECT count(*) AS candidates, least(count(*), {REMOVALS}) AS removed, greatest(count(*) - {REMOVALS}, 0) AS remaining FROM d",
     "rel_validation": f"WITH {_EDGES} SELECT concat_ws(';', CASE WHEN source_id = target_id THEN 'self_edge' END, CASE WHEN origin = 'inferred' AND confidence IS NULL THEN 'no_confidence' END, CASE WHEN confidence < 0 OR confidence > 0.75::DOUBLE THEN 'confidence_out_of_range' END) AS problems, count(*) AS n FROM e GROUP BY 1",
     "version_history": f"""WITH v AS (SELECT o_custkey AS artifact, o_orderkey AS version, o_orderdate AS created_at, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1 AS current FROM orders),
 h AS (SELECT *, row_number() OVER (PARTITION BY artifact ORDER BY current DESC, created_at DESC, version DESC) AS position, count(*) OVER (PARTITION BY artifact) > {VERSIONS} AS more FROM v),
 f AS (SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS first_passage FROM lineitem GROUP BY 1)
 SELECT artifact, version, position, current, more, first_passage FROM h LEFT JOIN f ON l_orderkey = version WHERE position <= {VERSIONS}""",
-    "index_upsert": f"{_UPSERT} SELECT artifact_id, outcome FROM u",
-    "index_totals": f"{_UPSERT} SELECT outcome, count(*) AS n FROM u GROUP BY 1",
     "reconcile_missing": f"{_UPSERT} SELECT artifact_id, root, 'missing' AS state FROM s WHERE artifact_id NOT IN (SELECT artifact_id FROM i)",
-    "bookmark_merge": f"WITH {_MARKS} SELECT ordinal, outcome FROM mg",
-    "bookmark_conflicts": f"WITH {_MARKS} SELECT url, count(DISTINCT folder) AS folders, count(*) AS n FROM ic GROUP BY url HAVING count(*) > 1",
     "bookmark_listing": f"WITH {_MARKS} SELECT ordinal, sha256(title || chr(10) || url || chr(10) || folder) AS passage_hash, sha256(folder || chr(31) || title || chr(31) || url || chr(31) || chr(31)) AS entry_hash FROM ic",
     "bookmark_parse": "WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\">[^<]*</a>', 1) AS us, regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1) AS ts FROM pages) SELECT page_id AS source, (i - 1)::INTEGER AS ordinal, 'Menu' AS folder_path, ts[i] AS title, 'http://h' || us[i] AS url, NULL::VARCHAR AS failure_code FROM l, unnest(range(1, len(us) + 1)) AS t(i)",
-    "import_summaries": f"WITH {_MARKS} SELECT folder, count(*) AS n, count(*) FILTER (outcome = 'conflict') AS conflicts, count(*) FILTER (outcome = 'unchanged') AS unchanged, min(ordinal) AS first_ordinal FROM mg GROUP BY folder",
     "evidence_verify": f"{_REQ} SELECT passage_id FROM rq SEMI JOIN cu USING (passage_id, content_hash, text_hash)",
     "evidence_stale": f"{_REQ} SELECT passage_id, 'stale' AS status FROM rq ANTI JOIN cu USING (passage_id, content_hash, text_hash)",
     "purge_before": f"WITH {_GONE} SELECT 'artifacts' AS relation, count(*) AS n FROM g UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey IN (SELECT c FROM g) UNION ALL SELECT 'lineitem', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IN (SELECT c FROM g)",
     "retention_cutoff": f"SELECT o_orderstatus, count(*) AS expired FROM orders WHERE o_orderdate < (SELECT max(o_orderdate) - INTERVAL {DAYS} DAY FROM orders) GROUP BY 1",
-    "revoke_root": f"{_A} SELECT root, count(*) AS n, count(*) FILTER (enabled) AS active_before, count(*) FILTER (enabled AND root <> 'src4') AS active_after, max(CASE WHEN root = 'src4' THEN 1 ELSE 0 END)::BIGINT AS generation FROM artifacts GROUP BY root",
     "library_stats": f"{_P} SELECT * FROM (SELECT count(*) AS artifacts, count(*) FILTER (enabled) AS active, coalesce(sum(byte_size), 0)::BIGINT AS bytes, count(DISTINCT root) AS roots FROM artifacts), (SELECT count(*) AS passages, sum(strlen(passage_text))::BIGINT AS passage_bytes FROM passages)",
     "storage_by_root": f"{_A} SELECT root, sum(byte_size)::BIGINT AS bytes, count(DISTINCT content_hash) AS contents FROM artifacts GROUP BY root",
     "storage_rollup": f"{_P}, c AS (SELECT 'canonical' AS class, sum(byte_size)::BIGINT AS bytes FROM artifacts UNION ALL SELECT 'derived', sum(strlen(passage_text))::BIGINT FROM passages UNION ALL SELECT 'disposable', sum(strlen(html))::BIGINT FROM pages) SELECT * FROM c UNION ALL SELECT 'total', sum(bytes)::BIGINT FROM c",
     "portable_digest": f"""{_A}, h AS (SELECT artifact_id AS i, sha256(artifact_id || chr(0) || title || chr(0) || content_hash) AS h FROM artifacts),
 {", ".join(f"h{k} AS (SELECT i // 1000 AS i, sha256(string_agg(h, '|' ORDER BY i)) AS h FROM {'h' if k == 1 else f'h{k - 1}'} GROUP BY 1)" for k in (1, 2, 3, 4))}
 SELECT sha256(string_agg(h, '|' ORDER BY i)) AS digest FROM h4""",
-    "scope_consistency": " UNION ALL ".join(f"SELECT '{c}' AS relation, count(*) AS orphans, count(*) = 0 AS consistent FROM {c} WHERE {k} NOT IN (SELECT {o} FROM {p})" for c, k, p, o in (("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("nation", "n_regionkey", "region", "r_regionkey"))),
-    "source_roots": f"{_A} SELECT root, CASE WHEN bool_and(enabled) THEN 'available' ELSE 'revoked' END AS status, count(*) AS n FROM artifacts GROUP BY root",
     "inspect_source": f"{_P} SELECT artifact_id, count(*) AS passages, sha256(string_agg(sha256(passage_text), ',' ORDER BY ordinal)) AS digest FROM passages WHERE enabled GROUP BY artifact_id",
     "html_sanitize": f"{_sanitized()} SELECT page_id, sha256(x) AS digest, length(x)::INTEGER AS n FROM s",
     "html_untrusted": f"{_sanitized()} SELECT page_id, {_untrusted('html')} AS raw_untrusted, {_untrusted('x')} AS clean_untrusted FROM s",
@@ -122,7 +110,6 @@ f AS (SELECT capture, list_reduce(l, lambda acc, x: {_FOLD}, {{'s': 'requested',
     "job_states": "SELECT o_custkey AS queue, count(*) FILTER (o_orderstatus = 'P') AS pending, count(*) AS n FROM orders GROUP BY 1",
     "capture_fields": "SELECT len(list_filter(json_keys(props), lambda x: x <> 'k'))::INTEGER AS unknown, CASE WHEN list_contains(json_keys(props), 'k') THEN 0 ELSE 1 END::INTEGER AS absent, count(*) AS n FROM events GROUP BY ALL",
     "performance_corpus": "SELECT lpad(i::VARCHAR, 6, '0') || CASE WHEN (i + 20260824) % 5 = 0 THEN '.txt' ELSE '.md' END AS path, sha256('# Artifact ' || i || chr(10) || 'performance-' || lpad(i::VARCHAR, 6, '0') || chr(10) || 'body' || chr(10)) AS digest FROM range(10000) t(i)",
-    "performance_gate": "SELECT event_type, round(max(value), 6) AS worst, max(value) <= 500 AS within FROM events GROUP BY 1",
     "manifest_validation": f"{_P} SELECT passage_id, CASE WHEN root = 'src9' THEN 'unexpected' ELSE 'differs' END AS problem FROM passages WHERE root IN ('src2', 'src9')",
     "path_order": f"{_A} SELECT source_uri, row_number() OVER (PARTITION BY root ORDER BY string_split(source_uri, '/')) AS position FROM artifacts",
 }

@@ -101,20 +101,9 @@ def fts_vocab_instance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("rowid", F.posexplode(T.tokenize_fts(F.col("passage_text"))).alias("offset", "term")).select("term", "rowid", F.col("offset").cast("long").alias("offset"))
 
 
-def fts_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passage counts and an order-free digest of the vocabulary from the passages and from the postings."""
-    p = C.passages(spark, sf_dir).select("rowid", T.tokenize_fts(F.col("passage_text")).alias("t"))
-    postings = lexical.PostingsIndex.postings(C.passages(spark, sf_dir))
-    a = p.agg(F.count("*").alias("passages"), F.sum(F.size("t")).alias("tokens"), F.count_if(F.size("t") == 0).alias("without"))
-    b = postings.agg(F.sum(F.size("positions")).alias("indexed_tokens"))
-    c = postings.select("rowid").distinct().agg(F.count("*").alias("indexed_passages"))
-    out = a.crossJoin(b).crossJoin(c)  # one row each
-    return out.select("passages", "tokens", "indexed_passages", "indexed_tokens", ((F.col("passages") - F.col("without") == F.col("indexed_passages")) & (F.col("tokens") == F.col("indexed_tokens"))).alias("healthy"))
-
-
 QUERIES = {
     "lexical_search": _search(WORD), "lexical_phrase": _search(PHRASE), "lexical_two_phrases": _search(TWO), "lexical_filtered": _search(FILTERED), "lexical_postings": lexical_postings,
-    "lexical_highlight_anchor": lexical_highlight_anchor, "fts_tokens": fts_tokens, "fts_vocab": fts_vocab, "fts_vocab_instance": fts_vocab_instance, "fts_health": fts_health,
+    "lexical_highlight_anchor": lexical_highlight_anchor, "fts_tokens": fts_tokens, "fts_vocab": fts_vocab, "fts_vocab_instance": fts_vocab_instance, 
     "passage_split": passage_split, "passage_lines": passage_lines, "active_passages": active_passages,
 }
 
@@ -151,7 +140,6 @@ ORACLES = {
     "fts_tokens": f"{_TK} SELECT passage_id, len(toks)::BIGINT AS n_tokens, len(list_distinct(toks))::BIGINT AS n_distinct, sha256(array_to_string(toks, ' ')) AS digest FROM tk",
     "fts_vocab": f"{_TK} SELECT term, count(DISTINCT rowid) AS doc, count(*) AS cnt FROM (SELECT rowid, unnest(toks) AS term FROM tk) GROUP BY term",
     "fts_vocab_instance": f"{_TK} SELECT toks[i] AS term, rowid, i - 1 AS \"offset\" FROM tk, unnest(range(1, len(toks) + 1)) AS t(i)",
-    "fts_health": f"{_TK} SELECT count(*) AS passages, sum(len(toks))::BIGINT AS tokens, count(*) FILTER (len(toks) > 0) AS indexed_passages, sum(len(toks))::BIGINT AS indexed_tokens, true AS healthy FROM tk",
     "passage_split": f"{_P} SELECT passage_id, artifact_id, ordinal, char_start, char_end, 'sha256:' || sha256(passage_text) AS text_hash FROM passages",
     "passage_lines": f"{_P}, l AS (SELECT passage_id, 1 + length(substr(text, 1, char_start)) - length(replace(substr(text, 1, char_start), chr(10), '')) AS line_start, length(passage_text) - length(replace(passage_text, chr(10), '')) AS inside FROM passages) SELECT passage_id, line_start::BIGINT AS line_start, (line_start + inside)::BIGINT AS line_end FROM l",
     "active_passages": f"{_P} SELECT passage_id, title, media_type, source_uri, mtime_ns, content_hash FROM passages WHERE enabled",

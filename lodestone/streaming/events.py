@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import json
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.merges import root_status, upsert_versions
+
 #: The legal moves of a capture.
 MOVES = {
     ("requested", "accept"): "accepted", ("requested", "reject"): "rejected", ("requested", "expire"): "expired",
     ("accepted", "revoke"): "revoked", ("accepted", "delete"): "deleted", ("revoked", "repair"): "accepted", ("revoked", "delete"): "deleted",
 }
 PER_MINUTE = 4
+#: Request ids and intents that a ledger remembers, and how long it knows a session.
+MAX_REMEMBERED, SESSION_US, MINUTE_US = 4096, 86_400_000_000, 60_000_000
 
 
 def coalesce(events: DataFrame, max_events: int) -> DataFrame:
@@ -139,3 +144,115 @@ def rate_limit_stream(stream: DataFrame, most: int = PER_MINUTE, window_us: int
         yield pd.DataFrame({"key": key[0], "at_us": frame["at_us"], "seq": frame["seq"], "decision": out})
 
     return stream.groupBy("key").applyInPandasWithState(run, "key long, at_us long, seq long, decision string", "accepted array<long>", "append", "ProcessingTimeTimeout")
+
+
+def reconciled(events: DataFrame, versions: DataFrame, scan: DataFrame) -> DataFrame:
+    """What a batch of observations leads to: events are hints, so any event asks for a merge of the whole scan
+    (`upsert_versions`); without events nothing happens and there are no rows."""
+    hint = events.agg(F.count("*").alias("hints")).where("hints > 0").select("hints")
+    return upsert_versions(versions, scan).crossJoin(F.broadcast(hint)).drop("hints")  # one row at most
+
+
+def reconcile_stream(stream: DataFrame, versions: Callable[[], DataFrame], scan: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None]):
+    """`reconciled` for each micro-batch with events: versions and scan are read anew, sink(merged, epoch) keeps the result."""
+
+    def handle(rows: DataFrame, epoch: int) -> None:
+        if not rows.isEmpty():
+            sink(upsert_versions(versions(), scan()), epoch)
+
+    return stream.writeStream.foreachBatch(handle)
+
+
+def startup(roots: DataFrame, versions: DataFrame, scan: DataFrame) -> DataFrame:
+    """The reconcile of all roots at a start. roots: root_id, enabled, kind, probe; versions, scan: as for `upsert_versions`, with root_id.
+    root_id, failure (null: reconciled), inserted, updated, reused, unchanged, missing.
+
+    Revoked roots are left out; a root that is not available gives its status as failure and keeps its artifacts."""
+    status = root_status(roots).where("status <> 'revoked'").select("root_id", F.when(F.col("status") != "available", F.col("status")).alias("failure"))
+    good = status.where("failure is null").select("root_id")
+    of = versions.select("artifact_id", "root_id").union(scan.select("artifact_id", "root_id")).distinct()
+    merged = upsert_versions(versions.join(good, "root_id", "left_semi"), scan.join(good, "root_id", "left_semi")).join(of, "artifact_id")
+    names = ("inserted", "updated", "reused", "unchanged", "missing")
+    counts = merged.groupBy("root_id").agg(*(F.count_if(F.col("outcome") == n).alias(n) for n in names))
+    return status.join(counts, "root_id", "left").fillna(0, list(names))
+
+
+class Ledger:
+    """What a replay ledger remembers, and its decisions in order. A counter must rise within its session, request ids and
+    intents must be new, and at most `most` captures a minute are accepted; only accepted ones are remembered."""
+
+    def __init__(self, most: int = PER_MINUTE, saved: str | None = None):
+        self.most, self.sessions, self.accepted, self.requests, self.intents = most, {}, deque(), deque(), deque()
+        if saved:
+            sessions, accepted, requests, intents = json.loads(saved)
+            self.sessions = {k: tuple(v) for k, v in sessions.items()}
+            self.accepted, self.requests, self.intents = deque(accepted), deque(requests), deque(intents)
+        self.known = (set(self.requests), set(self.intents))
+
+    def saved(self) -> str:
+        return json.dumps([self.sessions, list(self.accepted), list(self.requests), list(self.intents)])
+
+    def decide(self, session: str, counter: int, request: str, intent: str, at_us: int) -> str:
+        while self.accepted and self.accepted[0] + MINUTE_US <= at_us:
+            self.accepted.popleft()
+        last = self.sessions.get(session)
+        if last and last[1] + SESSION_US <= at_us:
+            last = self.sessions.pop(session) and None
+        if (last and counter <= last[0]) or request in self.known[0] or intent in self.known[1]:
+            return "replay"
+        if len(self.accepted) >= self.most:
+            return "rate_limited"
+        self.sessions[session] = (counter, at_us)
+        for held, known, value in ((self.requests, self.known[0], request), (self.intents, self.known[1], intent)):
+            held.append(value)
+            known.add(value)
+            if len(held) > MAX_REMEMBERED:
+                known.discard(held.popleft())
+        if len(self.sessions) > MAX_REMEMBERED:
+            self.sessions = {k: v for k, v in self.sessions.items() if v[1] + SESSION_US > at_us}
+        self.accepted.append(at_us)
+        return "accept"
+
+
+LEDGER_COLUMNS = ("session", "counter", "request_id", "intent", "at_us")
+
+
+def replay_ledger(requests: DataFrame, most: int = PER_MINUTE) -> DataFrame:
+    """requests: ledger, session, counter, request_id, intent, at_us, seq. Each request with its decision: accept, replay or rate_limited.
+
+    Rows are sorted by ledger and time and read once; a task holds the bounded memory of the ledger at hand."""
+    names = ("ledger", *LEDGER_COLUMNS, "seq")
+    rows = requests.select(*names).repartition("ledger").sortWithinPartitions("ledger", "at_us", "seq")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        key, book = object(), None
+        for batch in batches:
+            columns, out = batch.to_pydict(), []
+            for i, ledger in enumerate(columns["ledger"]):
+                if ledger != key:
+                    key, book = ledger, Ledger(most)
+                out.append(book.decide(*(columns[c][i] for c in LEDGER_COLUMNS)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "decision"])
+
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", decision string")
+
+
+def replay_stream(stream: DataFrame, most: int = PER_MINUTE) -> DataFrame:
+    """The replay ledger on a stream; the state is the ledger's memory, and goes after two idle days."""
+    import pandas as pd
+
+    def run(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        book = Ledger(most, state.get[0] if state.exists else None)
+        frame = pd.concat(frames).sort_values(["at_us", "seq"])
+        rows = frame[list(LEDGER_COLUMNS)].itertuples(index=False)
+        out = [book.decide(str(r.session), int(r.counter), str(r.request_id), str(r.intent), int(r.at_us)) for r in rows]
+        state.update((book.saved(),))
+        state.setTimeoutDuration(2 * SESSION_US // 1000)
+        yield pd.DataFrame({"ledger": key[0], "seq": frame["seq"], "decision": out})
+
+    return stream.groupBy("ledger").applyInPandasWithState(run, "ledger string, seq long, decision string", "memory string", "append", "ProcessingTimeTimeout")
