@@ -79,5 +79,6 @@ def directory_quanta(progress: DataFrame, files: DataFrame) -> DataFrame:
 def directory_stream(spark, path: str, handle):
     """A folder as a stream of one file a micro-batch: handle(rows, epoch) gets path, modificationTime, length, content;
     start it with a checkpoint, from which it goes on after an interruption."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).load(path)
+    columns = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.schema(columns).format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).load(path)
     return files.writeStream.foreachBatch(handle)

@@ -122,8 +122,18 @@ def coalesced_stream(stream: DataFrame, max_events: int, sink):
     return stream.writeStream.foreachBatch(handle)
 
 
+def _timed(stream: DataFrame, delay_us: int) -> DataFrame:
+    """The stream with event time from at_us; rows later than the delay, or not after 1970, are dropped without a decision."""
+    return stream.withColumn("event_time", F.timestamp_micros("at_us")).withWatermark("event_time", f"{-(-delay_us // 1000)} milliseconds")
+
+
+def _expire(state, at_us: int) -> None:
+    state.setTimeoutTimestamp(max(at_us // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+
+
 def rate_limit_stream(stream: DataFrame, most: int = PER_MINUTE, window_us: int = 60_000_000) -> DataFrame:
-    """The rate limit on a stream; the state of a key is its accepted times in the window, and goes after an idle window."""
+    """The rate limit on a stream; the state of a key is its accepted times in the window, and goes when the watermark (a window
+    behind the latest row) has left the window."""
     import pandas as pd
 
     def run(key, frames, state):
@@ -140,10 +150,10 @@ def rate_limit_stream(stream: DataFrame, most: int = PER_MINUTE, window_us: int
             if out[-1] == "accept":
                 accepted.append(t)
         state.update((list(accepted),))
-        state.setTimeoutDuration(max(1, 2 * window_us // 1000))
+        _expire(state, int(frame["at_us"].max()) + window_us)
         yield pd.DataFrame({"key": key[0], "at_us": frame["at_us"], "seq": frame["seq"], "decision": out})
 
-    return stream.groupBy("key").applyInPandasWithState(run, "key long, at_us long, seq long, decision string", "accepted array<long>", "append", "ProcessingTimeTimeout")
+    return _timed(stream, window_us).groupBy("key").applyInPandasWithState(run, "key long, at_us long, seq long, decision string", "accepted array<long>", "append", "EventTimeTimeout")
 
 
 def reconciled(events: DataFrame, versions: DataFrame, scan: DataFrame) -> DataFrame:
@@ -240,7 +250,8 @@ def replay_ledger(requests: DataFrame, most: int = PER_MINUTE) -> DataFrame:
 
 
 def replay_stream(stream: DataFrame, most: int = PER_MINUTE) -> DataFrame:
-    """The replay ledger on a stream; the state is the ledger's memory, and goes after two idle days."""
+    """The replay ledger on a stream; the state is the ledger's memory, and goes a day after its last request by the watermark,
+    which is two minutes behind the latest row."""
     import pandas as pd
 
     def run(key, frames, state):
@@ -252,7 +263,7 @@ def replay_stream(stream: DataFrame, most: int = PER_MINUTE) -> DataFrame:
         rows = frame[list(LEDGER_COLUMNS)].itertuples(index=False)
         out = [book.decide(str(r.session), int(r.counter), str(r.request_id), str(r.intent), int(r.at_us)) for r in rows]
         state.update((book.saved(),))
-        state.setTimeoutDuration(2 * SESSION_US // 1000)
+        _expire(state, int(frame["at_us"].max()) + SESSION_US)
         yield pd.DataFrame({"ledger": key[0], "seq": frame["seq"], "decision": out})
 
-    return stream.groupBy("ledger").applyInPandasWithState(run, "ledger string, seq long, decision string", "memory string", "append", "ProcessingTimeTimeout")
+    return _timed(stream, 2 * MINUTE_US).groupBy("ledger").applyInPandasWithState(run, "ledger string, seq long, decision string", "memory string", "append", "EventTimeTimeout")

@@ -201,7 +201,8 @@ def test_coalescing(spark):
 
 
 def test_streams(spark, tmp_path):
-    rows = [(1, t, t) for t in range(6)] + [(2, 0, 9)]
+    day = 86_400_000_000  # a stream's event times start after 1970
+    rows = [(1, day + t, t) for t in range(6)] + [(2, day, 9)]
     spark.createDataFrame(rows, "key long, at_us long, seq long").coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("key long, at_us long, seq long").parquet(f"{tmp_path}/in")
     q = E.rate_limit_stream(stream, 4, 1000).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()

@@ -149,7 +149,7 @@ LEDGER = "ledger string, session string, counter long, request_id string, intent
 
 def requests(n, seed=1):
     r = random.Random(seed)
-    return [(f"l{r.randrange(2)}", f"s{r.randrange(3)}", r.randrange(60), f"r{r.randrange(80)}", f"i{r.randrange(90)}", 10_000_000 * i, i) for i in range(n)]
+    return [(f"l{r.randrange(2)}", f"s{r.randrange(3)}", r.randrange(60), f"r{r.randrange(80)}", f"i{r.randrange(90)}", 10_000_000 * (i + 1), i) for i in range(n)]
 
 
 def test_replay_ledger(spark, tmp_path):
