@@ -1,8 +1,8 @@
-"""Further registered queries: evidence and scope checks, policies, ablation, supersede, retry, resume, anchors; with their SQL."""
+"""Further registered queries: visible edges, policies, ablation, owners, anchors, extractor output; with their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import evaluation

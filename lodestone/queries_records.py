@@ -15,7 +15,7 @@ from lodestone.sources import bookmarks
 from lodestone.streaming import events as E
 
 HUB, REMOVALS, VERSIONS, MAX_EVENTS = "S3", 200, 5, 40
-CUTOFF_NS, CUTOFF_DAY, DAYS = C.EPOCH_NS + 300 * C.HOUR_NS, "1999-06-01", 400
+CUTOFF_DAY, DAYS = "1999-06-01", 400
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

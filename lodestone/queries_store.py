@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import graph, jobs, lexical, merges
+from lodestone.operators import jobs, lexical, merges
 from lodestone.plans import canonical as C
 from lodestone.queries_records import REMOVALS, edges, observations
 from lodestone.queries_records_sql import _A, _DOMINATED, _EDGES, _P
