@@ -78,6 +78,25 @@ def test_shards_are_even_gapless_and_keep_groups(docs):
     assert all(sum(r["__ls_size"] for r in held) <= total / 4 + most for held in by.values())
 
 
+def test_shards_against_a_sort_of_the_whole_table(spark, docs):
+    """Sorted by text hash and id, the rows must run through the shards and slots without a step back, and each
+    boundary must lie within a row or the tolerance of its goal."""
+    numbered = docs.withColumns({"h": F.xxhash64("text"), "clash": F.lit(1)})
+    for n_shards, tolerance in ((3, 0.0), (8, 0.01)):
+        out = sharding.shard_rows(numbered, n_shards, tolerance=tolerance, piece_rows=10).collect()
+        ordered = sorted(out, key=lambda r: (r["h"], r["doc_id"], r["__ls_shard"], r["__ls_slot"]))
+        places = [(r["__ls_shard"], r["__ls_slot"]) for r in ordered]
+        assert places == sorted(set(places))
+        total, below, ends = sum(r["__ls_size"] for r in out), 0, {}
+        for r in ordered:
+            below += r["__ls_size"]
+            ends[r["__ls_shard"]] = below
+        sums = [0, *itertools.accumulate(r["__ls_size"] for r in ordered)]
+        for i in range(1, n_shards):
+            cut, goal = max((e for s, e in ends.items() if s < i), default=0), total * i / n_shards
+            assert abs(cut - goal) <= min(abs(x - goal) for x in sums) + tolerance * total / n_shards
+
+
 def test_shards_cut_a_hot_group(spark):
     rows = spark.createDataFrame([(i % 50, "same text") for i in range(4000)] + [(i, f"text {i}") for i in range(2000)], "doc_id long, text string")
     out = sharding.shard_rows(rows, 8).groupBy("__ls_shard").agg(F.sum("__ls_size").alias("s"), F.count("*").alias("n"), F.max("__ls_slot").alias("m")).collect()

@@ -45,6 +45,17 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert all(sorted(v) == list(range(len(v))) for v in by.values()) and set(by) <= set(range(8))
 
 
+def test_stages_on_empty_tables_and_null_rows(spark, tmp_path):
+    """No documents give no rows; documents without text or words are refused by the rules; an empty benchmark removes nothing."""
+    good = " ".join(f"w{i}" for i in range(40))
+    for name, rows, want in (("none", [], []), ("odd", [(None, None, None, None, None), (1, "", "en", None, 0), (2, good, None, None, None), (None, good + " x y z v u " * 3, None, "s", 1)], [2])):
+        where = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, DOCS).write.parquet(f"{where}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, where).collect()
+        assert sorted({r["doc_id"] for r in out if r["doc_id"] is not None}) == want
+
+
 def test_every_operator_is_registered():
     names = {int(k[2:].split("_")[0]) for k in registry.queries()}
     assert names == set(range(1, 11))
