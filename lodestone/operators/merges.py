@@ -221,9 +221,9 @@ def set_digest(row_hash: Column) -> Column:
     return F.concat(*(F.coalesce(lane(i), F.lit("0" * 15)) for i in range(4)))
 
 
-def passage_digest(passages: DataFrame) -> DataFrame:
-    """passages: rowid, text_hash. One digest of the passages that are indexed."""
-    return passages.agg(set_digest(F.sha2(F.concat_ws("\x00", F.col("rowid").cast("string"), "text_hash"), 256)).alias("digest"))
+def passage_row() -> Column:
+    """The digest of one indexed passage (rowid, text_hash), for `set_digest`."""
+    return F.sha2(F.concat_ws("\x00", F.col("rowid").cast("string"), "text_hash"), 256)
 
 
 def vocabulary_digest(vocabulary: DataFrame) -> DataFrame:
