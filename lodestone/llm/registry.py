@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.llm import ball_kmeans, decontamination, html_extract, kneser_ney, license_scan, near_dedup, quality_rules, sharding, source_mix, substring_dedup, token_alignment, url_rules
+from lodestone.llm import ball_kmeans, chat_format, decontamination, html_extract, kneser_ney, license_scan, near_dedup, quality_rules, sharding, source_mix, substring_dedup, token_alignment, url_rules
 
-MODULES = (sharding, kneser_ney, quality_rules, decontamination, html_extract, near_dedup, url_rules, substring_dedup, license_scan, source_mix, token_alignment, ball_kmeans)
+MODULES = (sharding, kneser_ney, quality_rules, decontamination, html_extract, near_dedup, url_rules, substring_dedup, license_scan, source_mix, chat_format, token_alignment, ball_kmeans)
 
 
 def queries() -> dict:
