@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import splitting
 from lodestone.functions import text as T
 
 REVOKED = "src7"
@@ -40,12 +41,12 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every passage with its artifact: passage_id, rowid, ordinal, char_start, char_end, passage_text and artifact columns."""
+    """Every passage with its artifact: passage_id, rowid, ordinal, char_start, char_end, lines, passage_text and artifact columns."""
     a = artifacts(spark, sf_dir)
-    p = a.withColumn("p", F.explode(T.split_passages(F.col("text"))))
+    p = a.withColumn("p", F.explode(splitting.split_passages(F.col("text"))))
     return p.select(
         F.concat_ws(":", "artifact_id", "p.ordinal").alias("passage_id"), (F.col("artifact_id") * 1_000_000 + F.col("p.ordinal")).alias("rowid"),
-        "artifact_id", F.col("p.ordinal").cast("long").alias("ordinal"), F.col("p.char_start").cast("long").alias("char_start"), F.col("p.char_end").cast("long").alias("char_end"), F.col("p.text").alias("passage_text"),
+        "artifact_id", F.col("p.ordinal").cast("long").alias("ordinal"), F.col("p.char_start").cast("long").alias("char_start"), F.col("p.char_end").cast("long").alias("char_end"), F.col("p.line_start").cast("long").alias("passage_line"), F.col("p.line_end").cast("long").alias("passage_last_line"), F.col("p.text").alias("passage_text"),
         "title", "media_type", "source_uri", "root", "enabled", "mtime_ns", "content_hash", "text",
     )
 

@@ -60,10 +60,7 @@ def passage_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = C.passages(spark, sf_dir)
-    first = T.line_of(F.col("text"), F.col("char_start").cast("int"))
-    inside = F.length("passage_text") - F.length(F.replace("passage_text", F.lit("\n"), F.lit("")))
-    return p.select("passage_id", first.cast("long").alias("line_start"), (first + inside).cast("long").alias("line_end"))
+    return C.passages(spark, sf_dir).select("passage_id", F.col("passage_line").alias("line_start"), F.col("passage_last_line").alias("line_end"))
 
 
 def active_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
