@@ -1,15 +1,14 @@
 """Full-text search: phrases that must all occur, BM25 over all passages, filters before ranking, evidence segments.
 
-Two access paths give the same hits. `search` scans passages: token arrays are built, tested and
-counted inside one stage, and only a row of statistics is exchanged. `PostingsIndex` writes postings partitioned
-by a hash of the term; a query reads the partitions of its terms only.
+`search` scans passages: token arrays are built, tested and counted inside one stage, and only a row of statistics is exchanged. It
+needs no index and gives the same hits as `segments.TextIndex`, which the registered queries read.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -69,10 +68,6 @@ def weight(f: Column, length: Column, average: Column) -> Column:
     return f * (K1 + 1) / (f + K1 * (1 - B + B * length / average))
 
 
-def _shifted(positions: str, k: int) -> Column:
-    return F.transform(positions, lambda x: x - k)
-
-
 def _spans(starts: str, n: int) -> Column:
     return F.transform(starts, lambda s: F.struct(s.alias("first"), (s + n).alias("last")))
 
@@ -138,53 +133,9 @@ def evidence(hits: DataFrame) -> DataFrame:
     done = lambda s: F.when(s["at"] < n, F.concat(s["found"], F.array(part(s["at"], n, False)))).otherwise(s["found"])
     rows = rows.withColumn("segments", F.aggregate("ranges", zero, step, done))
     first, last = F.col("char_start") + F.get("ranges", F.lit(0))["at"], F.col("char_start") + F.element_at("ranges", -1)["upto"]
-    return rows.withColumns({"match_start": first, "match_end": last, "line_start": T.line_of(F.col("text"), first.cast("int")), "line_end": T.line_of(F.col("text"), (last - 1).cast("int"))}).drop("offsets", "ranges")
-
-
-class PostingsIndex:
-    """Postings (bucket, term, rowid, positions, n_tokens) in Parquet, partitioned by a hash of the term, with one row of statistics."""
-
-    BUCKETS = 64
-
-    def __init__(self, path: str):
-        self.path = path
-
-    @staticmethod
-    def postings(passages: DataFrame) -> DataFrame:
-        """One row for each term of each passage; made inside a passage, so without a shuffle."""
-        rows = passages.select("rowid", T.tokenize_fts(F.col("passage_text")).alias("tokens"))
-        rows = rows.withColumn("term", F.explode(F.array_distinct("tokens")))
-        at = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.get("tokens", i) == F.col("term"))
-        return rows.select("term", "rowid", at.alias("positions"), F.size("tokens").alias("n_tokens"))
-
-    def build(self, passages: DataFrame) -> PostingsIndex:
-        rows = self.postings(passages).withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.BUCKETS)).cast("int"))
-        rows.repartition("bucket").sortWithinPartitions("bucket", "term", "rowid").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
-        passages.select(F.size(T.tokenize_fts(F.col("passage_text"))).alias("n")).agg(F.count("*").cast("double").alias("n_all"), F.avg("n").alias("average")).write.mode("overwrite").parquet(f"{self.path}/stats")
-        return self
-
-    def search(self, spark: SparkSession, passages: DataFrame, query: str | ParsedQuery, limit: int = 20) -> DataFrame:
-        """The same hits from the index; passages are read for the columns of the matching rows only."""
-        import zlib
-
-        parsed = parse_query(query) if isinstance(query, str) else query
-        phrases = [t for t in map(phrase_terms, parsed.phrases) if t]
-        index, matched = spark.read.parquet(f"{self.path}/postings"), None
-        for i, terms in enumerate(phrases):
-            found = None
-            for k, term in enumerate(terms):
-                p = index.where((F.col("bucket") == zlib.crc32(term.encode()) % self.BUCKETS) & (F.col("term") == term))
-                p = p.select("rowid", "n_tokens", _shifted("positions", k).alias("at"))
-                found = p if found is None else found.join(p.select("rowid", F.col("at").alias("also")), "rowid").select("rowid", "n_tokens", F.array_intersect("at", "also").alias("at"))
-            found = found.where(F.size("at") > 0).select("rowid", "n_tokens", F.col("at").alias(f"starts_{i}"))
-            n = found.agg(F.count("*").cast("double").alias(f"df_{i}"))
-            found = found.crossJoin(F.broadcast(n))  # one row
-            matched = found if matched is None else matched.join(found.drop("n_tokens"), "rowid")
-        matched = matched.crossJoin(F.broadcast(spark.read.parquet(f"{self.path}/stats")))  # one row
-        score = reduce(lambda a, b: a + b, [idf(F.col("n_all"), F.col(f"df_{i}")) * weight(F.size(f"starts_{i}").cast("double"), F.col("n_tokens"), F.col("average")) for i in range(len(phrases))])
-        rows = matched.withColumn("bm25", -score).join(passages, "rowid").where("enabled")
-        if "confidence" not in rows.columns:
-            rows = rows.withColumn("confidence", F.lit(1.0))
-        for c in filter_conditions(parsed.filters):
-            rows = rows.where(c)
-        return _ranked(rows, limit)
+    at, upto = first.cast("int"), (last - 1).cast("int")
+    if "passage_line" in hits.columns:  # the passage's first line is known: the artifact's text is not read
+        line = lambda place: T.line_of(F.col("passage_text"), place - F.col("char_start").cast("int")) + F.col("passage_line").cast("int") - 1
+    else:
+        line = lambda place: T.line_of(F.col("text"), place)
+    return rows.withColumns({"match_start": first, "match_end": last, "line_start": line(at), "line_end": line(upto)}).drop("offsets", "ranges")

@@ -28,16 +28,15 @@ def pointer(spark: SparkSession, path: str) -> dict | None:
     return json.loads("".join(r["value"] for r in spark.read.text(str(at)).collect()))  # one line
 
 
-def publish(df: DataFrame, path: str, source: str) -> dict:
-    """Write `df` as a new generation and make it current. source: digest of what it was made from.
+def manifest(spark: SparkSession, path: str) -> dict | None:
+    """What `replace_manifest` has last put under a path."""
+    return pointer(spark, path)
 
-    Readers see the old generation or the new one; a write that fails leaves the old one current."""
-    spark = df.sparkSession
-    name = f"generation-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{name}")
-    manifest = {"name": name, "rows": spark.read.parquet(f"{path}/{name}").count(), "source": source}
-    aside = f"{path}/.{name}.pointer"
-    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(aside)
+
+def replace_manifest(spark: SparkSession, path: str, state: dict) -> None:
+    """Write `state` aside and make it current by one rename."""
+    aside = f"{path}/.{uuid.uuid4().hex}.pointer"
+    spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(aside)
     context, fs = _files(spark, path)
     listed = context.util().listStatus(fs.Path(aside))
     part = next(s.getPath() for s in listed if s.getPath().getName().startswith("part-"))
@@ -45,13 +44,24 @@ def publish(df: DataFrame, path: str, source: str) -> dict:
     overwrite[0] = fs.Options.Rename.OVERWRITE
     context.rename(part, fs.Path(f"{path}/{POINTER}"), overwrite)
     context.delete(fs.Path(aside), True)
-    return manifest
+
+
+def publish(df: DataFrame, path: str, source: str) -> dict:
+    """Write `df` as a new generation and make it current. source: digest of what it was made from.
+
+    Readers see the old generation or the new one; a write that fails leaves the old one current."""
+    spark = df.sparkSession
+    name = f"generation-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    state = {"name": name, "rows": spark.read.parquet(f"{path}/{name}").count(), "source": source}
+    replace_manifest(spark, path, state)
+    return state
 
 
 def current(spark: SparkSession, path: str, source: str) -> DataFrame | None:
     """The current generation, or None if there is none or its source has changed since: the derived table is then invalid."""
-    manifest = pointer(spark, path)
-    return spark.read.parquet(f"{path}/{manifest['name']}") if manifest and manifest["source"] == source else None
+    state = pointer(spark, path)
+    return spark.read.parquet(f"{path}/{state['name']}") if state and state["source"] == source else None
 
 
 def drop(spark: SparkSession, path: str) -> None:

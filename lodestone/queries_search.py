@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import lexical
+from lodestone.operators.segments import BLOCK, TextIndex
 from lodestone.plans import canonical as C
+from lodestone.plans import stored
 from lodestone.plans.query import parse_query, phrase_terms
+from lodestone.plans.storage import shared_dir
 
 #: A word, a phrase, two phrases, and a filtered query over the words of the driver's invented English.
 WORD, PHRASE, TWO, FILTERED = "the", '"of the"', 'the "and the" of', 'the type:markdown path:src1 after:2024-01-10 before:2025-06-01 confidence:>=0.9'
@@ -19,7 +22,7 @@ HIT_COLUMNS = ("rank", "passage_id", "artifact_id", "title", "source_uri")
 
 def _search(query: str, limit: int = 20):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        hits = lexical.search(C.passages(spark, sf_dir), query, limit)
+        hits = stored.text_index(spark, sf_dir).search(query, limit)
         return hits.select(*HIT_COLUMNS, F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
 
     return run
@@ -68,38 +71,45 @@ def active_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The phrase query through a written index."""
-    from lodestone.plans.storage import shared_dir
-
+    """The phrase query after changes: an index of all passages but those of src1's artifacts and with src2's in an older form, to which
+    src1's are added, src2's are put right, and whose segments are merged."""
     path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    p = C.passages(spark, sf_dir)
-    hits = lexical.PostingsIndex(path).build(p).search(spark, p, PHRASE)
+    p = C.passages(spark, sf_dir).drop("text")
+    old = F.when(F.col("root") == "src2", F.concat(F.lit("of the old form of the "), "passage_text")).otherwise(F.col("passage_text"))
+    index = TextIndex(spark, path).upsert(p.where("root <> 'src1'").withColumn("passage_text", old))
+    hits = index.upsert(p.where("root = 'src1'")).upsert(p.where("root = 'src2'")).merge(keep=1).search(PHRASE)
     return hits.select(*HIT_COLUMNS, F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
 
 
+def index_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stored index holds, counted from its blocks: passages with tokens, postings, occurrences, the largest block's passages."""
+    blocks = stored.text_index(spark, sf_dir).blocks()
+    per = blocks.select(F.size("slots").alias("n"), "most", F.array_max("counts").alias("top"), F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("cnt"))
+    return per.agg(F.sum("n").alias("postings"), F.sum("cnt").alias("occurrences"), F.count_if(F.col("most") != F.col("top")).alias("wrong_bounds"), (F.max("n") <= BLOCK).alias("bounded"))
+
+
 def lexical_highlight_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = lexical.evidence(lexical.search(C.passages(spark, sf_dir), TWO, 10))
+    hits = lexical.evidence(stored.text_index(spark, sf_dir).search(TWO, 10))
     marked = F.array_join(F.transform("segments", lambda s: F.when(s["highlighted"], F.concat(F.lit("["), s["text"], F.lit("]"))).otherwise(s["text"])), "")
     return hits.select("rank", "passage_id", "match_start", "match_end", "line_start", "line_end", marked.alias("marked"))
 
 
 def fts_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = C.passages(spark, sf_dir).select("passage_id", T.tokenize_fts(F.col("passage_text")).alias("t"))
+    p = stored.text_index(spark, sf_dir).passages().select("passage_id", F.col("tokens").alias("t"))
     return p.select("passage_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.sha2(F.array_join("t", " "), 256).alias("digest"))
 
 
 def fts_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    postings = lexical.PostingsIndex.postings(C.passages(spark, sf_dir))
-    return postings.groupBy("term").agg(F.count("*").alias("doc"), F.sum(F.size("positions")).alias("cnt"))
+    return stored.text_index(spark, sf_dir).vocabulary()
 
 
 def fts_vocab_instance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = C.passages(spark, sf_dir)
-    return p.select("rowid", F.posexplode(T.tokenize_fts(F.col("passage_text"))).alias("offset", "term")).select("term", "rowid", F.col("offset").cast("long").alias("offset"))
+    p = stored.text_index(spark, sf_dir).passages()
+    return p.select("rowid", F.posexplode("tokens").alias("offset", "term")).select("term", "rowid", F.col("offset").cast("long").alias("offset"))
 
 
 QUERIES = {
-    "lexical_search": _search(WORD), "lexical_phrase": _search(PHRASE), "lexical_two_phrases": _search(TWO), "lexical_filtered": _search(FILTERED), "lexical_postings": lexical_postings,
+    "lexical_search": _search(WORD), "lexical_phrase": _search(PHRASE), "lexical_two_phrases": _search(TWO), "lexical_filtered": _search(FILTERED), "lexical_postings": lexical_postings, "index_segments": index_segments,
     "lexical_highlight_anchor": lexical_highlight_anchor, "fts_tokens": fts_tokens, "fts_vocab": fts_vocab, "fts_vocab_instance": fts_vocab_instance, 
     "passage_split": passage_split, "passage_lines": passage_lines, "active_passages": active_passages,
 }
@@ -137,6 +147,7 @@ ORACLES = {
     "fts_tokens": f"{_TK} SELECT passage_id, len(toks)::BIGINT AS n_tokens, len(list_distinct(toks))::BIGINT AS n_distinct, sha256(array_to_string(toks, ' ')) AS digest FROM tk",
     "fts_vocab": f"{_TK} SELECT term, count(DISTINCT rowid) AS doc, count(*) AS cnt FROM (SELECT rowid, unnest(toks) AS term FROM tk) GROUP BY term",
     "fts_vocab_instance": f"{_TK} SELECT toks[i] AS term, rowid, i - 1 AS \"offset\" FROM tk, unnest(range(1, len(toks) + 1)) AS t(i)",
+    "index_segments": f"{_TK}, po AS (SELECT rowid, term, count(*) AS n FROM (SELECT rowid, unnest(toks) AS term FROM tk) GROUP BY ALL) SELECT count(*) AS postings, sum(n)::BIGINT AS occurrences, 0::BIGINT AS wrong_bounds, true AS bounded FROM po",
     "passage_split": f"{_P} SELECT passage_id, artifact_id, ordinal, char_start, char_end, 'sha256:' || sha256(passage_text) AS text_hash FROM passages",
     "passage_lines": f"{_P}, l AS (SELECT passage_id, 1 + length(substr(text, 1, char_start)) - length(replace(substr(text, 1, char_start), chr(10), '')) AS line_start, length(passage_text) - length(replace(passage_text, chr(10), '')) AS inside FROM passages) SELECT passage_id, line_start::BIGINT AS line_start, (line_start + inside)::BIGINT AS line_end FROM l",
     "active_passages": f"{_P} SELECT passage_id, title, media_type, source_uri, mtime_ns, content_hash FROM passages WHERE enabled",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import jobs, lexical, merges
 from lodestone.plans import canonical as C
+from lodestone.plans import stored
 from lodestone.plans.storage import written
 from lodestone.queries_records import REMOVALS, edges, observations
 from lodestone.queries_records_sql import _A, _DOMINATED, _EDGES, _P
@@ -235,14 +236,15 @@ def captured_images(spark, sf_dir):
 
 def fts_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages and vocabulary as the texts give them and as the index holds them: counts and digests."""
-    p = C.passages(spark, sf_dir).select("rowid", F.sha2("passage_text", 256).alias("text_hash"), T.tokenize_fts(F.col("passage_text")).alias("t"))
-    index = written(lexical.PostingsIndex.postings(C.passages(spark, sf_dir)).select("term", "rowid", F.size("positions").alias("n")), "postings")
+    index = stored.text_index(spark, sf_dir)
+    p = written(C.passages(spark, sf_dir).select("rowid", F.sha2("passage_text", 256).alias("text_hash"), T.tokenize_fts(F.col("passage_text")).alias("t")), "tokens")
     a = p.agg(F.count("*").alias("passages"), F.sum(F.size("t")).alias("tokens"), F.count_if(F.size("t") == 0).alias("without"), merges.set_digest(merges.passage_row()).alias("passage_digest"))
-    c = index.groupBy("rowid").agg(F.sum("n").alias("n")).agg(F.count("*").alias("indexed_passages"), F.sum("n").alias("indexed_tokens"))
-    # a term's passages in the text: one row a passage and distinct term, so hot terms are counted before the exchange
-    each = p.select(F.explode(F.array_distinct("t")).alias("term"), F.lit(1).alias("doc"), F.lit(0).alias("cnt")).union(p.select(F.explode("t"), F.lit(0), F.lit(1)))
-    want = merges.vocabulary_digest(each.groupBy("term").agg(F.sum("doc").alias("doc"), F.sum("cnt").alias("cnt")))
-    have = merges.vocabulary_digest(index.groupBy("term").agg(F.count("*").alias("doc"), F.sum("n").alias("cnt")))
+    each = index.blocks().select(F.inline(F.arrays_zip("slots", "counts"))).groupBy("slots").agg(F.sum("counts").alias("n"))
+    c = each.agg(F.count("*").alias("indexed_passages"), F.sum("n").alias("indexed_tokens"))
+    # a term's passages in the text: counts by passage are partial sums, so hot terms are counted before the exchange
+    once = p.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("doc"))
+    times = p.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("cnt"))
+    want, have = merges.vocabulary_digest(once.join(times, "term")), merges.vocabulary_digest(index.vocabulary())
     out = a.crossJoin(c).crossJoin(want.toDF("vocabulary_digest")).crossJoin(have.toDF("indexed_digest"))  # one row each
     healthy = (F.col("passages") - F.col("without") == F.col("indexed_passages")) & (F.col("vocabulary_digest") == F.col("indexed_digest"))
     return out.select("passages", "tokens", "indexed_passages", "indexed_tokens", "passage_digest", "vocabulary_digest", healthy.alias("healthy"))
