@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lodestone.functions import text as T
 
@@ -44,14 +46,13 @@ def query_features(text: str) -> list[tuple[int, float]]:
     return [(b, v / norm if norm > 2.220446049250313e-16 else v) for b, v in sorted(sums.items())]
 
 
-def semantic_search(passages: DataFrame, text: str, limit: int = 20) -> DataFrame:
-    """Best cosine first, then passage id; ranks from 1. Vectors are summed against the query's buckets only."""
-    query = query_features(text)
-    weight = F.element_at(F.create_map(*(F.lit(x) for pair in query for x in pair)), F.col("bucket"))
-    own = features(passages.where("enabled"), "passage_id", T.hash_features(F.col("passage_text")))
-    dot = F.sum(F.when(F.col("bucket").isin([b for b, _ in query]), F.col("value") * weight).otherwise(0.0))
-    sums = own.groupBy("passage_id").agg(dot.alias("dot"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    scored = sums.select("passage_id", F.when(F.col("norm") > 2.220446049250313e-16, F.col("dot") / F.col("norm")).otherwise(0.0).alias("similarity"))
+def semantic_search(vectors: DataFrame, text: str, limit: int = 20) -> DataFrame:
+    """vectors: passage_id, embedding (stored, of norm 1 or 0). Best cosine first, then passage id; ranks from 1. One pass, without
+    an exchange but for the best `limit` of each task."""
+    query = [0.0] * T.DIMENSION
+    for bucket, value in query_features(text):
+        query[bucket] = value
+    scored = vectors.select("passage_id", T.cosine(F.col("embedding"), F.array(*map(F.lit, query))).alias("similarity"))
     order = [F.round("similarity", 9).desc(), F.col("passage_id")]
     top = scored.orderBy(*order).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
@@ -60,15 +61,15 @@ def semantic_search(passages: DataFrame, text: str, limit: int = 20) -> DataFram
 def vector_topk(vectors: DataFrame, queries: DataFrame, limit: int = 20, block: int = QUERY_BLOCK) -> DataFrame:
     """vectors: vec_id, embedding; queries: query_id, q. For each query the best by exact cosine, then by id.
 
-    Queries are sent in blocks of at most `block` vectors, each against all vectors where these are; a batch of vectors
-    leaves its best `limit` of each query, so what is exchanged is bounded by queries, limit and batches. A vector or
+    Queries are sent in blocks of at most `block` vectors, each against all vectors where these are; a task
+    leaves its best `limit` of each query, so what is exchanged is bounded by queries, limit and tasks. A vector or
     query that is null, of another length or of norm 0 has no similarity and comes last."""
     spark = vectors.sparkSession
     kinds = {"query_id": queries.schema["query_id"].dataType.simpleString(), "vec_id": vectors.schema["vec_id"].dataType.simpleString()}
     n_blocks = -(-queries.count() // block)
     named = queries.select("query_id", "q", F.pmod(F.xxhash64("query_id", "q"), F.lit(max(n_blocks, 1))).alias("of"))
     schema = f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, similarity double"
-    found = spark.createDataFrame([], schema)
+    found, wire = spark.createDataFrame([], schema), to_arrow_schema(StructType.fromDDL(schema))
     for i in range(n_blocks):
         rows = named.where(F.col("of") == i).collect() if n_blocks > 1 else named.collect()
         held = spark.sparkContext.broadcast(([r["query_id"] for r in rows], [r["q"] for r in rows]))
@@ -86,19 +87,29 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, limit: int = 20, block:
                 return out / np.where(norm > 0, norm, np.nan)
 
             ids, wanted = held.value
+            widths = {len(x) for x in wanted if x is not None}
+            best_of = {j: ([], np.zeros(0)) for j, x in enumerate(wanted) if x is not None}  # ids and similarities, best first
             for batch in batches:
-                vectors, own = batch.column("embedding").to_pylist(), batch.column("vec_id")
-                number = own.to_pylist()
-                order = np.array(sorted(range(len(number)), key=lambda j: (number[j] is None, number[j] or 0)), np.int64)
-                for width in {len(x) for x in wanted if x is not None}:
-                    asked = [j for j, x in enumerate(wanted) if x is not None and len(x) == width]
-                    mine = matrix([vectors[j] for j in order], width)
+                vectors, number = batch.column("embedding").to_pylist(), batch.column("vec_id").to_pylist()
+                for width in widths:
+                    asked = [j for j in best_of if len(wanted[j]) == width]
+                    mine = matrix(vectors, width)
                     for lo in range(0, len(asked), 256):
                         some = asked[lo : lo + 256]
                         score = np.round(mine @ matrix([wanted[j] for j in some], width).T, 12)
-                        top = np.argsort(-np.nan_to_num(np.round(score, 9), nan=-2.0), axis=0, kind="stable")[:limit]
-                        value = np.take_along_axis(score, top, axis=0).T.ravel()
-                        yield pa.RecordBatch.from_pydict({"query_id": pa.array([ids[j] for j in some for _ in range(len(top))]), "vec_id": own.take(pa.array(order[top.T.ravel()])), "similarity": pa.array(value, mask=np.isnan(value))})
+                        for j, column in zip(some, score.T, strict=True):
+                            was, value = best_of[j]
+                            rank = -np.nan_to_num(np.round(np.r_[value, column], 9), nan=-2.0)
+                            if len(rank) > limit:
+                                cut = np.flatnonzero(rank <= np.partition(rank, limit - 1)[limit - 1])
+                            else:
+                                cut = np.arange(len(rank))
+                            name = lambda i, was=was: was[i] if i < len(was) else number[i - len(was)]
+                            cut = sorted(cut.tolist(), key=lambda i: (rank[i], (n := name(i)) is None, n or 0))[:limit]
+                            best_of[j] = ([name(i) for i in cut], np.r_[value, column][cut])
+            for j, (own, value) in best_of.items():
+                if own:
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[j]] * len(own), wire.field(0).type), pa.array(own, wire.field(1).type), pa.array(value, mask=np.isnan(value))], schema=wire)
 
         found = found.union(vectors.select("vec_id", "embedding").mapInArrow(best, schema))
     w = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc_nulls_last(), "vec_id")

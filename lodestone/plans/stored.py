@@ -1,4 +1,4 @@
-"""Tables that are derived from a folder of input tables once and then read by all queries: the full-text index.
+"""Tables that are derived from a folder of input tables once and then read by all queries: the full-text index and the vectors of active passages.
 
 They stand in the shared folder under a name made of the input's path, and carry a digest of the input files (path, size, time of change); where
 that differs from the files as they are now, they are made again.
@@ -11,6 +11,7 @@ import hashlib
 from pyspark.sql import SparkSession
 
 from lodestone.operators.segments import TextIndex
+from lodestone.operators.vectors import VectorStore
 from lodestone.plans import canonical as C
 from lodestone.plans import generations
 from lodestone.plans.storage import shared_dir
@@ -41,3 +42,10 @@ def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
         generations.drop(spark, path)
         index = TextIndex(spark, path).upsert(C.passages(spark, sf_dir).drop("text"), now)
     return index
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> VectorStore:
+    """The vectors of all passages of the index; refreshed where documents have changed."""
+    index = text_index(spark, sf_dir)
+    store = VectorStore(spark, place(spark, sf_dir, "vectors"))
+    return store if store.state["source"] == index.state["source"] else store.refresh(index.passages(), index.state["source"])

@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import evaluation, lexical, semantic
+from lodestone.operators.vectors import VectorStore
 from lodestone.plans import canonical as C
+from lodestone.plans import stored
+from lodestone.plans.storage import shared_dir
 from lodestone.queries_search import _sql_hits
 
 QUERY, LIMIT = "of the", 10
 
 
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = semantic.unit(semantic.features(C.passages(spark, sf_dir), "passage_id", T.hash_features(F.col("passage_text"))), "passage_id")
-    return f.select("passage_id", "bucket", F.round("value", 6).alias("value"))
+    v = stored.vectors(spark, sf_dir).stored().select("passage_id", F.posexplode("embedding").alias("bucket", "value")).where("value <> 0")
+    return v.select("passage_id", "bucket", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active passages with the vectors of their texts."""
+    p = stored.text_index(spark, sf_dir).passages().where("enabled").select("passage_id", "passage_text")
+    return stored.vectors(spark, sf_dir).current(p)
 
 
 def token_count_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +54,7 @@ def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return semantic.semantic_search(C.passages(spark, sf_dir), QUERY, LIMIT).select("rank", "passage_id", F.round("similarity", 6).alias("similarity"))
+    return semantic.semantic_search(_active(spark, sf_dir), QUERY, LIMIT).select("rank", "passage_id", F.round("similarity", 6).alias("similarity"))
 
 
 def semantic_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,10 +65,28 @@ def semantic_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("vectors", "bad_size", "not_finite", (F.col("vectors") * 64 * 4).alias("vector_bytes"), wrong.alias("violations"), (wrong == "").alias("healthy"))
 
 
+def vector_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all but src1's passages, src2's of an older text, brought in line with the passages as they are: what the change
+    set was, by its kind, and what is left of it afterwards."""
+    store = VectorStore(spark, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}", 16)
+    p = stored.text_index(spark, sf_dir).passages().select("passage_id", "artifact_id", "root", "passage_text")
+    old = p.where("root <> 'src1'").withColumn("passage_text", F.when(F.col("root") == "src2", F.concat("passage_text", F.lit(" old"))).otherwise(F.col("passage_text")))
+    now = p.where("root <> 'src3'")
+    before = store.refresh(old).changes(now).groupBy("why").agg(F.count("*").alias("n"))
+    before = before.withColumn("at", F.lit("before"))
+    after = VectorStore(spark, store.path).refresh(now).status(now).select(F.when(F.col("healthy"), "healthy").otherwise(F.col("violations")).alias("why"), F.col("vectors").alias("n"), F.lit("after").alias("at"))
+    return before.union(after)
+
+
+def semantic_index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored vectors against the passages: counts and violated invariants."""
+    return stored.vectors(spark, sf_dir).status(stored.text_index(spark, sf_dir).passages()).drop("not_unit")
+
+
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = C.passages(spark, sf_dir)
     k = semantic.candidate_limit(LIMIT)
-    return semantic.hybrid_candidates(lexical.search(p, f'"{QUERY}"', k), semantic.semantic_search(p, QUERY, k), p)
+    index = stored.text_index(spark, sf_dir)
+    return semantic.hybrid_candidates(index.search(f'"{QUERY}"', k), semantic.semantic_search(_active(spark, sf_dir), QUERY, k), index.passages())
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +140,7 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.nearest_rank(C.table(spark, sf_dir, "events"), "event_type", "value", 0.95)
 
 
-QUERIES = {f.__name__: f for f in (hash_embedding, token_count_embedding, char_trigrams, provider_benchmark, semantic_topk, semantic_search, semantic_status, hybrid_search, hybrid_signals, rrf_only, recency_minmax, eval_metrics, eval_by_class, failure_taxonomy, threshold_gate, latency_percentiles)}
+QUERIES = {f.__name__: f for f in (hash_embedding, token_count_embedding, char_trigrams, provider_benchmark, semantic_topk, semantic_search, semantic_status, semantic_index_status, vector_refresh, hybrid_search, hybrid_signals, rrf_only, recency_minmax, eval_metrics, eval_by_class, failure_taxonomy, threshold_gate, latency_percentiles)}
 
 _P = f"WITH RECURSIVE {C.SQL_PASSAGES}"
 _BUCKET = "(('0x' || substr(sha256(term), 1, 2))::INTEGER % 128)"
@@ -141,13 +170,15 @@ sg AS (SELECT *, CASE WHEN lexical_rank IS NULL THEN 0 ELSE 1.0::DOUBLE / (60 +
   CASE WHEN mtime_ns IS NULL THEN 0 WHEN max(mtime_ns) OVER () = min(mtime_ns) OVER () THEN 1 ELSE (mtime_ns - min(mtime_ns) OVER ())::DOUBLE / (max(mtime_ns) OVER () - min(mtime_ns) OVER ())::DOUBLE END AS recency FROM ad)"""
 
 ORACLES = {
-    "hash_embedding": f"{_P}, {_features_sql('passages', 'passage_id', 'passage_text')} SELECT passage_id, bucket::INTEGER AS bucket, round(CASE WHEN sqrt(sum(value * value) OVER (PARTITION BY passage_id)) > 2.220446049250313e-16 THEN value / sqrt(sum(value * value) OVER (PARTITION BY passage_id)) ELSE value END, 6) AS value FROM fb",
+    "hash_embedding": f"{_P}, {_features_sql('passages', 'passage_id', 'passage_text')} SELECT passage_id, bucket::INTEGER AS bucket, round(CASE WHEN sqrt(sum(value * value) OVER (PARTITION BY passage_id)) > 2.220446049250313e-16 THEN (value / sqrt(sum(value * value) OVER (PARTITION BY passage_id)))::FLOAT::DOUBLE ELSE value END, 6) AS value FROM fb WHERE value <> 0",
     "token_count_embedding": f"{_P}, t AS (SELECT passage_id, unnest({C.sql_alnum('passage_text')}) AS term FROM passages) SELECT passage_id, {_BUCKET}::INTEGER AS bucket, count(*) AS n FROM t GROUP BY ALL",
     "char_trigrams": f"{_P} SELECT sha256(substr(t, i, 3)) AS gram_hash, count(*) AS n FROM (SELECT translate(passage_text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM passages), unnest(range(1, length(t) - 1)) AS u(i) GROUP BY 1",
     "provider_benchmark": f"{_P} SELECT provider, samples, samples * 512 AS vector_bytes FROM (SELECT count(*) AS samples FROM passages WHERE enabled), (VALUES ('char_trigram'), ('token_bigram'), ('token_count')) v(provider)",
     "semantic_topk": "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS c FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, rank, vec_id, round(c, 6) AS similarity FROM r WHERE rank <= 20",
     "semantic_search": f"{_P}, {_SEMANTIC} SELECT rank, passage_id, round(similarity, 6) AS similarity FROM sr WHERE rank <= {LIMIT}",
     "semantic_status": "SELECT count(*) AS vectors, count(*) FILTER (len(embedding) <> 64) AS bad_size, count(*) FILTER (len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) > 0) AS not_finite, count(*) * 256 AS vector_bytes, concat_ws('; ', CASE WHEN count(*) FILTER (len(embedding) <> 64) > 0 THEN 'vector size differs' END, CASE WHEN count(*) FILTER (len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) > 0) > 0 THEN 'vector is not finite' END, CASE WHEN count(*) <> count(DISTINCT vec_id) THEN 'vector id repeats' END) AS violations, violations = '' AS healthy FROM embeddings",
+    "semantic_index_status": f"{_P} SELECT count(*) AS vectors, count(*) AS passages, count(*) * 512 AS vector_bytes, '' AS violations, true AS healthy FROM passages",
+    "vector_refresh": f"{_P} SELECT why, count(*) AS n, 'before' AS at FROM (SELECT CASE root WHEN 'src1' THEN 'absent' WHEN 'src2' THEN 'changed' WHEN 'src3' THEN 'gone' END AS why FROM passages) WHERE why IS NOT NULL GROUP BY why UNION ALL SELECT 'healthy', count(*), 'after' FROM passages WHERE root <> 'src3'",
     "hybrid_search": f"{_HYBRID}, f AS (SELECT passage_id, 0.45::DOUBLE * lexical_rrf + 0.35::DOUBLE * semantic_rrf + 0.1::DOUBLE * exact_match::INTEGER + 0.05::DOUBLE * path_overlap + 0.05::DOUBLE * recency AS score FROM sg), r AS (SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, passage_id) AS rank FROM f) SELECT rank, passage_id, round(score, 6) AS score FROM r WHERE rank <= {LIMIT}",
     "hybrid_signals": f"{_HYBRID} SELECT passage_id, lexical_rank, semantic_rank, round(lexical_rrf, 9) AS lexical_rrf, round(semantic_rrf, 9) AS semantic_rrf, exact_match, round(path_overlap, 6) AS path_overlap, round(recency, 6) AS recency FROM sg",
     "rrf_only": f"{_HYBRID}, f AS (SELECT passage_id, 0.45::DOUBLE * CASE WHEN lexical_rank IS NULL THEN 0 ELSE 1.0::DOUBLE / (60 + lexical_rank) END + 0.35::DOUBLE * CASE WHEN semantic_rank IS NULL THEN 0 ELSE 1.0::DOUBLE / (60 + semantic_rank) END AS s FROM ca) SELECT passage_id, round(s, 9) AS score, row_number() OVER (ORDER BY round(s, 12) DESC, passage_id) AS rank FROM f",
