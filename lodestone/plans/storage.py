@@ -36,4 +36,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, kept)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    _files(spark, path)[0].deleteOnExit(_files(spark, path)[1])  # what is still there when the session ends
+    return out
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `written` has made, once nothing reads them any more."""
+    for df in tables:
+        fs, at = _files(df.sparkSession, df.written_at)
+        fs.delete(at, True)

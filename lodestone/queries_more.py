@@ -1,14 +1,12 @@
-"""Further registered queries: visible edges, policies, ablation, owners, anchors, extractor output; with their SQL."""
+"""Further registered queries: visible edges, policies, owners, extractor output; with their SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import evaluation
 from lodestone.plans import canonical as C
 from lodestone.queries_records import edges
-from lodestone.queries_records_sql import _EDGES, _GEO, _P
+from lodestone.queries_records_sql import _EDGES, _GEO
 
 EXCLUDED = ("error", "signup")
 
@@ -29,20 +27,6 @@ def capture_policy(spark, sf_dir):
     return e.join(F.broadcast(excluded), "event_type", "left_anti").groupBy("user_id").agg(F.count("*").alias("kept"))  # the policy's list
 
 
-def ablation_metrics(spark, sf_dir):
-    """Three rankings of one candidate list (by id, by quality, by length) compared: anchors count by candidate here."""
-    r = evaluation.results(C.table(spark, sf_dir, "benchmark"), C.passages(spark, sf_dir), C.table(spark, sf_dir, "labels")).where("rank is not null")
-    a = C.artifacts(spark, sf_dir).select("artifact_id", "byte_size")
-    r = r.join(a, "artifact_id")
-    modes = {"by_id": [F.col("artifact_id")], "by_quality": [F.col("right").desc(), F.col("artifact_id")], "by_length": [F.col("byte_size").desc(), F.col("artifact_id")]}
-    out = None
-    for mode, order in modes.items():
-        x = r.withColumn("position", F.row_number().over(Window.partitionBy("item_id").orderBy(*order)))
-        m = x.agg(F.lit(mode).alias("mode"), F.count_distinct("item_id").alias("queries"), evaluation.ratio(F.count_if((F.col("position") == 1) & F.col("right")), F.count_distinct("item_id")).alias("recall_at_1"), evaluation.ratio(F.count_if("right"), F.count("*")).alias("anchor_precision"))
-        out = m if out is None else out.union(m)
-    return out
-
-
 def bookmark_owners(spark, sf_dir):
     """Hosts that own a page or are linked as a document's source: a distinct union."""
     a = C.table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("owner"))
@@ -50,15 +34,6 @@ def bookmark_owners(spark, sf_dir):
     return a.union(b).distinct()
 
 
-def anchor_match(spark, sf_dir):
-    """Expected anchors (of all passages, as a client kept them; src1's are off by one) against the passages."""
-    p = C.passages(spark, sf_dir)
-    off = F.when(F.col("root") == "src1", 1).otherwise(0)
-    e = p.select("passage_id", (F.col("char_end") + off).alias("want_end"), F.substring("passage_text", 1, 10).alias("contains"))
-    j = p.join(e, "passage_id")
-    return j.select("passage_id", ((F.col("char_end") == F.col("want_end")) & F.contains("passage_text", F.col("contains"))).alias("matches"))
-
-
 def extractor_validation(spark, sf_dir):
     """Invariants of extractor output: regions inside their image, not empty, confidence in range; counts by what is wrong."""
     from lodestone.queries_records import ocr_geometry
@@ -70,21 +45,14 @@ def extractor_validation(spark, sf_dir):
     return r.groupBy(wrong.alias("problems")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (revoked_endpoints, capture_policy, ablation_metrics, bookmark_owners, anchor_match, extractor_validation)}
+QUERIES = {f.__name__: f for f in (revoked_endpoints, capture_policy, bookmark_owners, extractor_validation)}
 
 _HOST = "regexp_extract(url, '://([^/?#]*)', 1)"
-_ABLATION = evaluation.sql()["eval_metrics"].rsplit("SELECT", 1)[0]
-
-
-def _mode(name: str, order: str) -> str:
-    return f"SELECT '{name}' AS mode, count(DISTINCT item_id) AS queries, round(count(*) FILTER (pos = 1 AND good) / nullif(count(DISTINCT item_id)::DOUBLE, 0), 6) AS recall_at_1, round(count(*) FILTER (good) / nullif(count(*)::DOUBLE, 0), 6) AS anchor_precision FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY {order}) AS pos FROM c)"
 
 
 ORACLES = {
     "revoked_endpoints": f"WITH {_EDGES} SELECT kind, origin, count(*) AS visible FROM e WHERE source_id IN (SELECT 'S' || s_suppkey FROM supplier WHERE s_acctbal > 0) AND target_id IN (SELECT 'P' || p_partkey FROM part WHERE p_size > 10) GROUP BY ALL",
     "capture_policy": f"SELECT user_id, count(*) AS kept FROM events WHERE event_type NOT IN {EXCLUDED} GROUP BY 1",
-    "ablation_metrics": f"{_ABLATION}, c AS (SELECT item_id, h.artifact_id, good, byte_size FROM h JOIN artifacts a ON a.artifact_id = h.artifact_id WHERE h.rank <= 5) {_mode('by_id', 'artifact_id')} UNION ALL {_mode('by_quality', 'good DESC, artifact_id')} UNION ALL {_mode('by_length', 'byte_size DESC, artifact_id')}",
     "bookmark_owners": f"SELECT {_HOST} AS owner FROM pages UNION SELECT source FROM documents",
-    "anchor_match": f"{_P} SELECT passage_id, root <> 'src1' AS matches FROM passages",
     "extractor_validation": f"WITH {_GEO} SELECT concat_ws(';', CASE WHEN px + pw > ow THEN 'outside' END, CASE WHEN pw < 1 OR ph < 1 THEN 'empty' END, CASE WHEN pw > 0.4::DOUBLE * ow THEN 'too_wide' END) AS problems, count(*) AS n FROM b GROUP BY 1",
 }

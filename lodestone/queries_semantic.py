@@ -112,11 +112,33 @@ def recency_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("artifact_id", "root", F.round(F.when(lo == hi, 1.0).otherwise((F.col("mtime_ns") - lo) / (hi - lo)), 6).alias("recency"))
 
 
-# evaluation: every benchmark item is a query of all its words
+# evaluation: every benchmark item is a query; what is right is where the documents hold it
+
+
+def _judging(spark: SparkSession, sf_dir: str) -> tuple:
+    return stored.text_index(spark, sf_dir), C.artifacts(spark, sf_dir), evaluation.benchmark_items(C.table(spark, sf_dir, "benchmark"))
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.results(C.table(spark, sf_dir, "benchmark"), C.passages(spark, sf_dir), C.table(spark, sf_dir, "labels"))
+    return evaluation.results(*_judging(spark, sf_dir))
+
+
+def ablation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, artifacts, items = _judging(spark, sf_dir)
+    return evaluation.ablation(index, stored.vectors(spark, sf_dir), artifacts, items)
+
+
+def anchor_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places where documents hold a benchmark item, and the passages there: which of them cover the place."""
+    index, artifacts, items = _judging(spark, sf_dir)
+    expected = evaluation.expected_anchors(index, artifacts, items)
+    have = index.passages().where("enabled").select("artifact_id", *evaluation.text_anchor(F.col("char_start"), F.col("char_end")))
+    met = evaluation.anchors_met(expected, have, ["artifact_id"])
+    return met.select("artifact_id", F.col("want.first").alias("first"), F.col("want.last").alias("last"), F.col("have.first").alias("passage_start"), F.col("have.last").alias("passage_end"))
+
+
+def expected_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.expected_anchors(*_judging(spark, sf_dir)).select("item_id", "artifact_id", "first", "last", "main")
 
 
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +162,7 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.nearest_rank(C.table(spark, sf_dir, "events"), "event_type", "value", 0.95)
 
 
-QUERIES = {f.__name__: f for f in (hash_embedding, token_count_embedding, char_trigrams, provider_benchmark, semantic_topk, semantic_search, semantic_status, semantic_index_status, vector_refresh, hybrid_search, hybrid_signals, rrf_only, recency_minmax, eval_metrics, eval_by_class, failure_taxonomy, threshold_gate, latency_percentiles)}
+QUERIES = {f.__name__: f for f in (hash_embedding, token_count_embedding, char_trigrams, provider_benchmark, semantic_topk, semantic_search, semantic_status, semantic_index_status, vector_refresh, hybrid_search, hybrid_signals, rrf_only, recency_minmax, eval_metrics, eval_by_class, failure_taxonomy, threshold_gate, ablation_metrics, anchor_match, expected_anchors, latency_percentiles)}
 
 _P = f"WITH RECURSIVE {C.SQL_PASSAGES}"
 _BUCKET = "(('0x' || substr(sha256(term), 1, 2))::INTEGER % 128)"
@@ -157,7 +179,8 @@ _QV = semantic.query_features(QUERY)
 _K = semantic.candidate_limit(LIMIT)
 _SEMANTIC = f"""{_features_sql("(SELECT * FROM passages WHERE enabled)", "passage_id", "passage_text")},
 qv(bucket, q) AS (VALUES {", ".join(f"({b}, {v!r}::DOUBLE)" for b, v in _QV)}),
-se AS (SELECT passage_id, CASE WHEN sqrt(sum(value * value)) > 2.220446049250313e-16 THEN coalesce(sum(value * q), 0) / sqrt(sum(value * value)) ELSE 0 END AS similarity FROM fb LEFT JOIN qv USING (bucket) GROUP BY passage_id),
+fu AS (SELECT passage_id, bucket, CASE WHEN n > 2.220446049250313e-16 THEN (value / n)::FLOAT::DOUBLE ELSE value END AS value FROM (SELECT *, sqrt(sum(value * value) OVER (PARTITION BY passage_id)) AS n FROM fb)),
+se AS (SELECT passage_id, CASE WHEN sqrt(sum(value * value)) > 2.220446049250313e-16 THEN coalesce(sum(value * q), 0) / sqrt(sum(value * value)) ELSE 0 END AS similarity FROM fu LEFT JOIN qv USING (bucket) GROUP BY passage_id),
 sr AS (SELECT *, row_number() OVER (ORDER BY round(similarity, 9) DESC, passage_id) AS rank FROM se)"""
 _WORDS = "['" + "', '".join(dict.fromkeys(QUERY.split())) + "']"
 _HYBRID = f"""{_sql_hits(f'"{QUERY}"', _K)}, {_SEMANTIC},
@@ -183,6 +206,8 @@ ORACLES = {
     "hybrid_signals": f"{_HYBRID} SELECT passage_id, lexical_rank, semantic_rank, round(lexical_rrf, 9) AS lexical_rrf, round(semantic_rrf, 9) AS semantic_rrf, exact_match, round(path_overlap, 6) AS path_overlap, round(recency, 6) AS recency FROM sg",
     "rrf_only": f"{_HYBRID}, f AS (SELECT passage_id, 0.45::DOUBLE * CASE WHEN lexical_rank IS NULL THEN 0 ELSE 1.0::DOUBLE / (60 + lexical_rank) END + 0.35::DOUBLE * CASE WHEN semantic_rank IS NULL THEN 0 ELSE 1.0::DOUBLE / (60 + semantic_rank) END AS s FROM ca) SELECT passage_id, round(s, 9) AS score, row_number() OVER (ORDER BY round(s, 12) DESC, passage_id) AS rank FROM f",
     "recency_minmax": f"WITH {C.SQL_ARTIFACTS} SELECT artifact_id, root, round(CASE WHEN max(mtime_ns) OVER w = min(mtime_ns) OVER w THEN 1 ELSE (mtime_ns - min(mtime_ns) OVER w)::DOUBLE / (max(mtime_ns) OVER w - min(mtime_ns) OVER w)::DOUBLE END, 6) AS recency FROM artifacts WHERE enabled WINDOW w AS (PARTITION BY root)",
-    **evaluation.sql(),
+    **evaluation.sql(), "ablation_metrics": evaluation.ablation_sql(_features_sql),
+    "expected_anchors": f"{evaluation._sql_base()} SELECT item_id, artifact_id, first, last, artifact_id = min(artifact_id) OVER (PARTITION BY item_id) AS main FROM ex",
+    "anchor_match": f"{evaluation._sql_base()} SELECT artifact_id, first, last, char_start AS passage_start, char_end AS passage_end FROM ex JOIN tk USING (artifact_id) WHERE enabled AND char_start <= first AND char_end >= last",
     "latency_percentiles": "SELECT event_type, count(*) AS n, round(median(value), 6) AS median, round(list_sort(list(value))[ceil(0.95 * count(value))::INTEGER], 6) AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type",
 }
