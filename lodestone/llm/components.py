@@ -39,4 +39,6 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if now == mark or not now[0]:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components are unfinished after {most} rounds")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
