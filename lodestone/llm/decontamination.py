@@ -3,9 +3,8 @@
 Words (lower-cased, ASCII punctuation as space) of test items and of documents are hashed under fixed masks
 that ignore some positions, so a few substituted words do not hide a copied passage. Document hashes are
 joined with the test hashes (a bit table first, then binary search); around every hit the document
-is laid along the item, and the best-scoring overlap (match +1, substitution -2; of equal ones that which ends first
-and is shortest) is verified: at least
-MIN_MATCHED equal words (all words of a shorter item) and MIN_IDENTITY of the overlap. A whole copy is also
+is laid along the item, and of all its stretches in which at least MIN_IDENTITY of the words are equal that with the most equal
+words is verified: MIN_MATCHED of them are needed (all words of a shorter item). A whole copy is also
 one where the equal words of the untrimmed overlap reach MIN_IDENTITY of the item, and MIN_WORDS.
 
 Spaced seeds may miss a whole copy, so items are also hashed in runs of the length that stays intact
@@ -66,6 +65,22 @@ def masked(hashes: np.ndarray, mask: str) -> np.ndarray:
     return common.mix64(out)
 
 
+def longest_stretch(same: np.ndarray) -> tuple[int, int]:
+    """The stretch with the most equal words of all in which at least MIN_IDENTITY of the words are equal (of equal ones that which
+    ends first), cut to begin and end with an equal word.
+
+    For each end, the first start whose prefix sum of (1 - MIN_IDENTITY for an equal word, -MIN_IDENTITY for another) is not above the
+    end's; running minima of the sums fall, so it is found by binary search."""
+    cost = np.r_[0, np.cumsum(np.where(same, 100 - int(100 * MIN_IDENTITY), -int(100 * MIN_IDENTITY)))]
+    start = np.searchsorted(-np.minimum.accumulate(cost), -cost, side="left")
+    equal = np.r_[0, np.cumsum(same)]
+    end = int(np.argmax(equal - equal[start]))
+    if not end:
+        return 0, 0
+    inside = np.flatnonzero(same[start[end] : end])
+    return int(start[end] + inside[0]), int(start[end] + inside[-1] + 1)
+
+
 class Seeds:
     """The masked hashes of a block of test items."""
 
@@ -153,12 +168,9 @@ class Seeds:
             own = self.words[i]
             lo, hi = max(0, -d), min(len(own), len(words) - d)
             same = own[lo:hi] == words[lo + d : hi + d]
-            run = np.r_[0, np.cumsum(np.where(same, 1, -2))]
-            gain = run - np.minimum.accumulate(run)
-            end = int(np.argmax(gain))
-            start = int(np.flatnonzero(run[: end + 1] == run[: end + 1].min())[-1])
+            start, end = longest_stretch(same)
             matched = int(same[start:end].sum())
-            if matched >= min(MIN_MATCHED, len(own)) and matched >= MIN_IDENTITY * (end - start):
+            if matched >= min(MIN_MATCHED, len(own)):
                 if i not in best or matched > best[i][1]:
                     best[i] = (self.ids[i], matched, end - start, start + lo + d, start + lo, len(own))
             elif int(same.sum()) >= self.least[i] and (i not in best or int(same.sum()) > best[i][1]):

@@ -2,9 +2,11 @@
 
 A URL becomes a set of tokens: top-level domain, registered domain, full host, every label of the host, every path
 segment with its place, the extension and every query key, with digits as #. FP-growth mines combinations of
-tokens with each label, and with `clean` for URLs without one; rules `tokens -> label` stay if their support is enough, if their confidence is above the label's base
-rate by MIN_GAIN of what the base rate leaves, and if chance at the base rate would give that many rows only with
-a normal score of MIN_SCORE or more. Rules are matched by an inverted index: each rule is filed under its
+tokens with each label, and with `clean` for URLs without one; rules `tokens -> label` stay if their support is enough and their confidence
+is above the label's base rate by MIN_GAIN of what the base rate leaves. As thousands of combinations are looked at, some of them
+pass by chance; the share of such false rules is held to MAX_FALSE (Benjamini and Hochberg): a rule's chance is bounded by Chernoff's
+bound of its count at the base rate, and the limit on it is set by how many rules pass it, out of all frequent combinations. No rule at all is a
+right result where labels do not depend on URLs. Rules are matched by an inverted index: each rule is filed under its
 rarest token, a URL's tokens look rules up there, and the rest of the rule is verified on the set.
 
 The hand-written rules (host and path) come first: the longest that fits decides; of the mined rules the one with the
@@ -24,6 +26,8 @@ extra columns stay out; empty tables give empty tables.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +39,11 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LABEL, CLEAN = "label=", "clean"
 #: Mined rules need this share of labelled URLs and this many of them (rows with the label), this part of the way from the
-#: label's base rate to 1 as confidence, and this normal score of their count against the base rate (1.64: 5 % by chance).
-MIN_SUPPORT, MIN_ROWS, MIN_GAIN, MIN_SCORE = 0.001, 5, 0.15, 1.64
+#: label's base rate to 1 as confidence, and at most this share of them may be expected to be chance findings.
+MIN_SUPPORT, MIN_ROWS, MIN_GAIN, MAX_FALSE = 0.001, 5, 0.15, 0.05
+#: Chances of rules are counted in steps of this many natural logarithms, the last step open.
+STEP, STEPS = 0.25, 400
+
 
 def _rest(url: Column) -> Column:
     at = F.instr(url, "://")
@@ -76,7 +83,7 @@ def tokens(url: Column) -> Column:
     return F.when(F.size(labels) == 0, _none()).otherwise(F.array_sort(F.array_distinct(found)))
 
 
-def mine(labelled: DataFrame, url_col: str = "url", label_cols: tuple[str, ...] = ("block",), min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_gain: float = MIN_GAIN, min_score: float = MIN_SCORE) -> DataFrame:
+def mine(labelled: DataFrame, url_col: str = "url", label_cols: tuple[str, ...] = ("block",), min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_gain: float = MIN_GAIN, max_false: float = MAX_FALSE) -> DataFrame:
     """labelled: a URL and a boolean for each label. Rules as rule_tokens (array), label, confidence, support (rows with
     the label) and key, the rarest token. A URL has the labels of all its rows."""
     spark = labelled.sparkSession
@@ -100,7 +107,9 @@ def mine(labelled: DataFrame, url_col: str = "url", label_cols: tuple[str, ...]
     sets = common.staged(sets.where(F.size("items") > 0), "url-items-of-sets")
     labels = sets.select(F.explode("items").alias("label")).where(F.startswith("label", F.lit(LABEL))).groupBy("label").count()
     base = {r["label"]: r["count"] / n for r in labels.collect()}  # one row for each label column
-    rules = FPGrowth(itemsCol="items", minSupport=min(1.0, least * n / max(sets.count(), 1)), minConfidence=0.0).fit(sets).associationRules
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least * n / max(sets.count(), 1)), minConfidence=0.0).fit(sets)
+    tried = model.freqItemsets.where(~F.exists("items", lambda x: F.startswith(x, F.lit(LABEL)))).count() * len(base)
+    rules = model.associationRules
     rules = rules.where((F.size("consequent") == 1) & F.startswith(F.col("consequent")[0], F.lit(LABEL)) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit(LABEL))))
     rate = F.lit(None).cast("double")
     for label, share in base.items():
@@ -108,12 +117,31 @@ def mine(labelled: DataFrame, url_col: str = "url", label_cols: tuple[str, ...]
     rules = rules.select("antecedent", F.col("consequent")[0].alias("label"), "confidence", F.round(F.col("support") * sets.count()).cast("long").alias("support"), rate.alias("rate"))
     of = F.col("support") / F.col("confidence")
     enough = (F.col("support") >= F.greatest(F.lit(min_rows), F.lit(min_support * n))) & (F.col("confidence") >= F.col("rate") + min_gain * (1 - F.col("rate")))
-    rules = rules.where(enough & (F.col("support") - of * F.col("rate") >= min_score * F.sqrt(of * F.col("rate") * (1 - F.col("rate")))))
+    rules = common.staged(rules.withColumn("step", chance_steps(F.col("confidence"), F.col("rate"), of)), "url-candidates")
+    rules = rules.where(enough & (F.col("step") >= least_step(rules, tried, max_false)))
     each = rules.select("*", F.explode("antecedent").alias("item")).join(items, "item")
     rules = each.groupBy("antecedent", "label", "confidence", "support").agg(F.sort_array(F.flatten(F.collect_list("members"))).alias("rule_tokens"), F.min(F.struct("freq", "item"))["item"].alias("key"))
     return common.staged(rules.select("rule_tokens", F.expr(f"substring(label, {len(LABEL) + 1})").alias("label"), "confidence", "support", "key"), "url-rules")
 
 
+def chance_steps(share: Column, rate: Column, n: Column) -> Column:
+    """Steps of -ln of Chernoff's bound on the chance that n rows at `rate` have `share` of the label, rounded down, STEPS at most."""
+    part = lambda p, q: F.when(p > 0, p * F.log(p / q)).otherwise(0.0)
+    far = n * (part(share, rate) + part(1 - share, 1 - rate))
+    return F.when((share > rate) & (rate < 1), F.least(F.floor(far / STEP), F.lit(STEPS))).otherwise(0).cast("int")
+
+
+def least_step(rules: DataFrame, tried: int, max_false: float) -> int:
+    """The lowest step at which chance would bring at most max_false of the rules that reach it. At most STEPS + 1 counts reach the driver."""
+    counts = {r["step"]: r["count"] for r in rules.groupBy("step").count().collect()}
+    passing, out = 0, STEPS + 1
+    for step in sorted(counts, reverse=True):
+        passing += counts[step]
+        if tried * math.exp(-STEP * step) <= max_false * passing:
+            out = step
+    return out
+
+
 def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
     """sets: distinct arrays `tokens`. Those that hold all tokens of a rule, with the best rule's label and confidence and the number of rules."""
     hits = sets.select("tokens", F.explode("tokens").alias("key")).join(rules, "key")

@@ -413,11 +413,8 @@ def brute_overlaps(items, text):
             seeded = any(all(j + k < n and same[j + k] for k, x in enumerate(mask) if x == "1") and j + len(mask) <= n and 0 <= j + d and j + d + len(mask) <= len(ws) for mask in decontamination.MASKS for j in range(n))
             if not seeded and sum(same) < least:
                 continue
-            # the best score; of equal ones the one that ends first and is shortest
-            run = [0, *itertools.accumulate(1 if x else -2 for x in same)]
-            _, end, start = max(((run[b] - run[a], -b, a) for a in range(max(0, -d), n) for b in range(a + 1, min(n, len(ws) - d) + 1)), default=(0, 0, 0))
-            best = (0, -end - start, sum(same[start:-end]))
-            if seeded and best[2] >= min(decontamination.MIN_MATCHED, n) and best[2] >= decontamination.MIN_IDENTITY * best[1]:
+            most = max((sum(same[a:b]) for a in range(max(0, -d), n) for b in range(a + 1, min(n, len(ws) - d) + 1) if sum(same[a:b]) >= decontamination.MIN_IDENTITY * (b - a)), default=0)
+            if seeded and most >= min(decontamination.MIN_MATCHED, n):
                 out.add(i)
             if n >= decontamination.MIN_WORDS and sum(same) >= least:
                 out.add(i)
@@ -442,6 +439,23 @@ def test_overlaps_against_brute_force():
     assert found > 40
 
 
+def test_parts_of_items_with_substitutions_are_found():
+    """Parts of 60-word items that meet the rule: the masks may miss some, the recall is at least 0.9 everywhere."""
+    r = random.Random(4)
+    item = [f"i{j}" for j in range(60)]
+    seeds = decontamination.Seeds([(7, " ".join(item))])
+    for n, changed in ((14, 1), (14, 2), (16, 3), (18, 3), (20, 4), (24, 6), (30, 7)):
+        found = 0
+        for _ in range(200):
+            first = r.randint(0, 60 - n)
+            part = item[first : first + n]
+            for at in r.sample(range(n), changed):
+                part[at] = "other"
+            text = " ".join([*(f"b{j}" for j in range(20)), *part, *(f"c{j}" for j in range(20))])
+            found += bool(seeds.overlaps(decontamination.word_hashes([text])[0]))
+        assert found >= 180, (n, changed, found)
+
+
 def test_items_with_one_opening_do_not_slow_a_text_down():
     items = [(i, f"read the next passage and answer it then {i} " + " ".join(f"q{i}x{j}" for j in range(20))) for i in range(2000)]
     text = " ".join(f"read the next passage and answer it then none{i}" for i in range(40))
@@ -570,7 +584,7 @@ def test_url_parts_and_hand_rules(spark):
 
 
 def brute_rules(sets, label, n):
-    """All closed combinations of frequent tokens that pass the limits: tokens, confidence, support."""
+    """All combinations of frequent tokens: tokens -> confidence, support, step of its chance (None under the support limit) and whether it passes the other limits."""
     base = sum(label in held for _, held in sets) / n
     where = {t: frozenset(i for i, (own, _) in enumerate(sets) if t in own) for own, _ in sets for t in own}
     where = {t: w for t, w in where.items() if len(w) >= url_rules.MIN_ROWS}
@@ -586,8 +600,9 @@ def brute_rules(sets, label, n):
                 hits = sum(label in sets[i][1] for i in at)
                 share = hits / len(at)
                 enough = hits >= max(url_rules.MIN_ROWS, url_rules.MIN_SUPPORT * n) and share >= base + url_rules.MIN_GAIN * (1 - base)
-                if enough and hits - len(at) * base >= url_rules.MIN_SCORE * (len(at) * base * (1 - base)) ** 0.5:
-                    out[tuple(sorted(x for t in combo for x in same[where[t]]))] = (share, hits)
+                far = sum(len(at) * p * math.log(p / q) for p, q in ((share, base), (1 - share, 1 - base)) if p > 0) if share > base else 0
+                key = tuple(sorted(x for t in combo for x in same[where[t]]))
+                out[key] = (share, hits, min(int(far / url_rules.STEP), url_rules.STEPS) if hits >= url_rules.MIN_ROWS else None, enough)
     return out
 
 
@@ -601,8 +616,12 @@ def test_mined_rules_against_brute_force(spark):
     labelled = spark.createDataFrame([*rows, *rows[:50], ("http://x.net/" + "s/" * 3000, False, None, "x"), (None, True, True, "x"), ("no url", True, None, "x")], "url string, block boolean, odd boolean, token string")
     rules = url_rules.mine(labelled, label_cols=("block", "odd"))
     sets = [(set(t), {k for k, v in (("block", b), ("odd", o)) if v} or {"clean"}) for t, b, o in labelled.where("url like '%://%'").dropDuplicates(["url"]).select(url_rules.tokens(F.col("url")), "block", "odd").collect()]
+    tried = {label: brute_rules(sets, label, len(sets)) for label in ("block", "odd", "clean")}
+    steps = sorted((x[2] for rules_of in tried.values() for x in rules_of.values() if x[2] is not None), reverse=True)
+    n_tried = sum(map(len, tried.values()))
+    limit = min((s for s in steps if n_tried * math.exp(-url_rules.STEP * s) <= url_rules.MAX_FALSE * sum(x >= s for x in steps)), default=10**9)
     for label in ("block", "odd", "clean"):
-        want = brute_rules(sets, label, len(sets))
+        want = {k: x for k, x in tried[label].items() if x[2] is not None and x[2] >= limit and x[3]}
         got = {tuple(x["rule_tokens"]): (x["confidence"], x["support"]) for x in rules.where(F.col("label") == label).collect()}
         assert got.keys() == want.keys() and (want or label == "odd")
         assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
@@ -616,8 +635,21 @@ def test_mined_rules_against_brute_force(spark):
 def test_rules_are_mined_from_the_given_tables(spark):
     at = "/root/testdata/sf0.01"
     read = lambda t: spark.read.parquet(f"{at}/{t}.parquet")
-    rules = url_rules.mine(url_rules.labelled_pages(read("pages"), read("labels")), label_cols=("low", "toxic"))
-    assert rules.count() > 0
+    labelled = url_rules.labelled_pages(read("pages"), read("labels"))
+    rules = url_rules.mine(labelled, label_cols=("low", "toxic")).collect()
+    assert labelled.count() > 50 and all(r["label"] in ("low", "toxic", "clean") for r in rules)
+
+
+def test_labels_that_do_not_depend_on_urls_give_no_rules(spark):
+    """Chance findings are held down whatever the number of combinations: ten tables of noise; a planted rule among noise is found."""
+    found = 0
+    for seed in range(10):
+        r = random.Random(seed)
+        rows = [(f"http://h{r.randint(0, 9)}.s{r.randint(0, 9)}.net/p{r.choice('abcdef')}/q{r.choice('uvwxyz')}/{i}", r.random() < 0.25) for i in range(400)]
+        found += url_rules.mine(spark.createDataFrame(rows, "url string, block boolean")).count() > 0
+    assert found <= 2
+    rows += [(f"http://planted.net/pa/{i}", i % 10 > 0) for i in range(40)]
+    assert any("host=planted.net" in x["rule_tokens"] for x in url_rules.mine(spark.createDataFrame(rows, "url string, block boolean")).collect())
 
 
 # licenses
