@@ -19,8 +19,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8)."""
-    return near_dedup.keep_one(docs)
+    """One document of each group of near copies: two-word shingles and similarity 0.8, as `op6` has it."""
+    return near_dedup.keep_one(docs, shingle=2)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
