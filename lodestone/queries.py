@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone import queries_more, queries_records, queries_records_sql, queries_search, queries_semantic, queries_store
+from lodestone import queries_changes, queries_more, queries_records, queries_records_sql, queries_search, queries_semantic, queries_store
 
-MODULES = (queries_search, queries_semantic, queries_records, queries_more, queries_store)
+MODULES = (queries_search, queries_semantic, queries_records, queries_more, queries_store, queries_changes)
 
 
 def queries() -> dict:
@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in (queries_search, queries_semantic, queries_records_sql, queries_more, queries_store) for k, v in m.ORACLES.items()}
+    return {k: v for m in (queries_search, queries_semantic, queries_records_sql, queries_more, queries_store, queries_changes) for k, v in m.ORACLES.items()}

@@ -295,14 +295,6 @@ def performance_corpus(spark, sf_dir):
     return i.select(F.concat(F.format_string("%06d", "id"), F.when((F.col("id") + 20260824) % 5 == 0, ".txt").otherwise(".md")).alias("path"), F.sha2(body, 256).alias("digest"))
 
 
-def manifest_validation(spark, sf_dir):
-    """Passage hashes against a manifest that names src2's as they were: rows that differ."""
-    p = C.passages(spark, sf_dir).select("passage_id", F.sha2("passage_text", 256).alias("h"), "root")
-    m = p.where("root <> 'src9'").select("passage_id", F.when(F.col("root") == "src2", "old").otherwise(F.col("h")).alias("want"))
-    j = p.select("passage_id", "h").join(m, "passage_id", "full_outer")
-    return j.where(~F.col("h").eqNullSafe(F.col("want"))).select("passage_id", F.when(F.col("want").isNull(), "unexpected").when(F.col("h").isNull(), "absent").otherwise("differs").alias("problem"))
-
-
 def path_order(spark, sf_dir):
     """Component-wise order of the artifacts' addresses within their root."""
     a = C.artifacts(spark, sf_dir)
@@ -315,6 +307,6 @@ QUERIES = {
     for f in (
         rel_dedupe, rel_degree, rel_listing, rel_compaction, rel_validation, version_history, reconcile_missing, bookmark_listing, bookmark_parse, 
         evidence_verify, evidence_stale, purge_before, retention_cutoff, library_stats, storage_by_root, storage_rollup, portable_digest, inspect_source, html_sanitize, html_untrusted, url_validation, media_types, text_checks,
-        ocr_geometry, ocr_counts, image_projection, running_offsets, event_coalesce, event_plans, rate_limit, replay_filter, late_rejection, lifecycle_fold, job_claim_order, job_listing, job_states, capture_fields, performance_corpus, manifest_validation, path_order,
+        ocr_geometry, ocr_counts, image_projection, running_offsets, event_coalesce, event_plans, rate_limit, replay_filter, late_rejection, lifecycle_fold, job_claim_order, job_listing, job_states, capture_fields, performance_corpus, path_order,
     )
 }

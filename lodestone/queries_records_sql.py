@@ -110,6 +110,5 @@ f AS (SELECT capture, list_reduce(l, lambda acc, x: {_FOLD}, {{'s': 'requested',
     "job_states": "SELECT o_custkey AS queue, count(*) FILTER (o_orderstatus = 'P') AS pending, count(*) AS n FROM orders GROUP BY 1",
     "capture_fields": "SELECT len(list_filter(json_keys(props), lambda x: x <> 'k'))::INTEGER AS unknown, CASE WHEN list_contains(json_keys(props), 'k') THEN 0 ELSE 1 END::INTEGER AS absent, count(*) AS n FROM events GROUP BY ALL",
     "performance_corpus": "SELECT lpad(i::VARCHAR, 6, '0') || CASE WHEN (i + 20260824) % 5 = 0 THEN '.txt' ELSE '.md' END AS path, sha256('# Artifact ' || i || chr(10) || 'performance-' || lpad(i::VARCHAR, 6, '0') || chr(10) || 'body' || chr(10)) AS digest FROM range(10000) t(i)",
-    "manifest_validation": f"{_P} SELECT passage_id, CASE WHEN root = 'src9' THEN 'unexpected' ELSE 'differs' END AS problem FROM passages WHERE root IN ('src2', 'src9')",
     "path_order": f"{_A} SELECT source_uri, row_number() OVER (PARTITION BY root ORDER BY string_split(source_uri, '/')) AS position FROM artifacts",
 }

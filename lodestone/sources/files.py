@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -12,6 +14,7 @@ from lodestone.operators.records import digest_tree
 
 #: Bounds of one discovery.
 MAX_ENTRIES, MAX_DEPTH, MAX_PATH_BYTES, MAX_FILE_BYTES = 65_536, 32, 4_096, 8 * 1024 * 1024
+MAX_DIRECTORIES, MAX_RETAINED_BYTES, MAX_SECONDS = 4_096, 8 * 1024 * 1024, 5.0
 ANCHOR = S.StructType([
     *(S.StructField(n, S.StringType()) for n in ("kind", "contains")),
     *(S.StructField(n, S.LongType()) for n in ("page", "char_start", "char_end", "line_start", "line_end", "x", "y", "width", "height", "image_width", "image_height", "orientation", "scale_milli", "confidence_milli")),
@@ -27,20 +30,57 @@ class DiscoveryRefused(ValueError):
     """A folder beyond a bound: nothing of it is taken."""
 
 
-def discover(spark: SparkSession, path: str, max_files: int = MAX_ENTRIES) -> DataFrame:
-    """Supported files below a folder: path, media_type, modified_ns, bytes, position (component-wise order).
-
-    Contents are not read (the column is pruned). Beyond a bound the whole discovery is refused."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
-    base = len(path.rstrip("/").split("/"))
-    depth = F.size(F.split(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), "/")) - base
-    found = f.withColumn("media_type", html.media_type(F.col("path")))
-    bounds = found.agg(F.count("*").alias("n"), F.count("media_type").alias("files"), F.max(depth).alias("depth"), F.max(F.octet_length("path")).alias("bytes")).first()
-    if bounds["n"] > MAX_ENTRIES or bounds["files"] > max_files or (bounds["depth"] or 0) > MAX_DEPTH or (bounds["bytes"] or 0) > MAX_PATH_BYTES:
-        raise DiscoveryRefused(f"{path}: {bounds.asDict()}")
+ENTRY = "path string, kind string, bytes long, modified_ns long, depth int"
+
+
+def walk(spark: SparkSession, path: str, max_entries: int = MAX_ENTRIES, max_directories: int = MAX_DIRECTORIES, max_depth: int = MAX_DEPTH, max_path_bytes: int = MAX_PATH_BYTES, max_retained: int = MAX_RETAINED_BYTES, max_seconds: float = MAX_SECONDS) -> DataFrame:
+    """Every entry below a folder, level by level: ENTRY; the folder itself has depth 0. Symbolic links are listed, not followed.
+
+    A listing is an iterator that is left at the first bound that is passed (entries, directories, depth, bytes of a path, bytes of all paths
+    that are kept, seconds), so a tree beyond one is refused before it is listed whole, and what the driver holds is bounded."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    began, retained, directories = time.monotonic(), 0, 1
+    root = fs.getFileStatus(top)
+    rows, level, depth = [(root.getPath().toString(), "directory", 0, root.getModificationTime() * 1_000_000, 0)], [root.getPath()], 0
+    refuse = lambda what: DiscoveryRefused(f"{path}: {what} after {len(rows) - 1} entries")
+    while level:
+        depth, below = depth + 1, []
+        for folder in level:
+            listing = fs.listStatusIterator(folder)
+            while listing.hasNext():
+                s = listing.next()
+                name, folder_kind = s.getPath().toString(), s.isDirectory()
+                size = len(name.encode())
+                retained, directories = retained + size, directories + folder_kind
+                bounds = (("depth", depth, max_depth), ("entries", len(rows), max_entries), ("directories", directories, max_directories), ("path bytes", size, max_path_bytes), ("retained bytes", retained, max_retained), ("seconds", time.monotonic() - began, max_seconds))
+                if passed := [f"more than {most} {what}" for what, now, most in bounds if now > most]:
+                    raise refuse(passed[0])
+                rows.append((name, "directory" if folder_kind else "link" if s.isSymlink() else "file", 0 if folder_kind else s.getLen(), s.getModificationTime() * 1_000_000, depth))
+                if folder_kind:
+                    below.append(s.getPath())
+        level = below
+    return spark.createDataFrame(rows, ENTRY)
+
+
+def discover(spark: SparkSession, path: str, max_files: int = MAX_ENTRIES, **bounds) -> DataFrame:
+    """Supported files below a folder: path, media_type, modified_ns, bytes, position (component-wise order). Beyond a bound of `walk`, or with
+    more than max_files supported files, the whole discovery is refused."""
+    found = walk(spark, path, **bounds).where("kind = 'file'").withColumn("media_type", html.media_type(F.col("path")))
     kept = found.where("media_type is not null")
+    if (n := kept.count()) > max_files:
+        raise DiscoveryRefused(f"{path}: {n} files")
     order = Window.orderBy(F.split("path", "/"))  # at most max_files rows
-    return kept.select("path", "media_type", (F.unix_micros("modificationTime") * 1000).alias("modified_ns"), F.col("length").alias("bytes"), (F.row_number().over(order) - 1).cast("long").alias("position"))
+    return kept.select("path", "media_type", "modified_ns", "bytes", (F.row_number().over(order) - 1).cast("long").alias("position"))
+
+
+def namespace_fingerprint(entries: DataFrame) -> DataFrame:
+    """entries: of `walk`. One digest of the whole tree with its directories (path, kind, time) and files (also sizes), in component-wise
+    order: a file that comes, goes or changes, and a directory that is replaced, give another one."""
+    order = Window.orderBy(F.split("path", "/"))  # at most MAX_ENTRIES rows
+    named = entries.select((F.row_number().over(order) - 1).cast("long").alias("position"), F.sha2(F.concat_ws("\x00", "path", "kind", F.col("bytes").cast("string"), F.col("modified_ns").cast("string")), 256).alias("h"))
+    return digest_tree(named, "position", "h", levels=2)
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
