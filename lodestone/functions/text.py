@@ -90,7 +90,9 @@ def bigrams(tokens: Column) -> Column:
 def char_trigrams(text: Column) -> Column:
     """Every three characters, A-Z lower-cased."""
     low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(low, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    # bound once: in the inner function the expression would be made again for each place
+    of = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))
+    return F.when(F.length(text) >= 3, F.element_at(F.transform(F.array(low), of), 1)).otherwise(F.array().cast("array<string>"))
 
 
 def hash_bucket(term: Column, dimension: int = DIMENSION) -> Column:

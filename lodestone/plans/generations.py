@@ -25,7 +25,11 @@ def pointer(spark: SparkSession, path: str) -> dict | None:
     at = fs.Path(f"{path}/{POINTER}")
     if not context.util().exists(at):
         return None
-    return json.loads("".join(r["value"] for r in spark.read.text(str(at)).collect()))  # one line
+    held = context.open(at)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(held, "UTF-8"))
+    finally:
+        held.close()
 
 
 def manifest(spark: SparkSession, path: str) -> dict | None:
@@ -35,15 +39,14 @@ def manifest(spark: SparkSession, path: str) -> dict | None:
 
 def replace_manifest(spark: SparkSession, path: str, state: dict) -> None:
     """Write `state` aside and make it current by one rename."""
-    aside = f"{path}/.{uuid.uuid4().hex}.pointer"
-    spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(aside)
     context, fs = _files(spark, path)
-    listed = context.util().listStatus(fs.Path(aside))
-    part = next(s.getPath() for s in listed if s.getPath().getName().startswith("part-"))
+    aside = fs.Path(f"{path}/.{uuid.uuid4().hex}.pointer")
+    out = aside.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(aside, True)
+    out.write(json.dumps(state).encode())
+    out.close()
     overwrite = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
     overwrite[0] = fs.Options.Rename.OVERWRITE
-    context.rename(part, fs.Path(f"{path}/{POINTER}"), overwrite)
-    context.delete(fs.Path(aside), True)
+    context.rename(aside, fs.Path(f"{path}/{POINTER}"), overwrite)
 
 
 def publish(df: DataFrame, path: str, source: str) -> dict:
