@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import geometry, html
 from lodestone.operators import graph, records
 from lodestone.plans import canonical as C
+from lodestone.sources import capture
 from lodestone.sources import bookmarks
 from lodestone.streaming import events as E
 
@@ -281,11 +282,20 @@ def job_states(spark, sf_dir):
     return C.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("queue")).agg(F.count_if(F.col("o_orderstatus") == "P").alias("pending"), F.count("*").alias("n"))
 
 
+#: Fields of a capture's envelope.
+ENVELOPE = ("protocol", "type", "request_id", "source")
+
+
 def capture_fields(spark, sf_dir):
-    """Keys of the event properties against the allowed one."""
+    """Envelopes of events against the fields that one must have and may have: errors lack their source, sign-ups carry cookies, and of views every
+    tenth is no object."""
     e = C.table(spark, sf_dir, "events")
-    keys = F.json_object_keys("props")
-    return e.select(F.size(F.array_except(keys, F.array(F.lit("k")))).alias("unknown"), F.size(F.array_except(F.array(F.lit("k")), keys)).alias("absent")).groupBy("unknown", "absent").agg(F.count("*").alias("n"))
+    kind, source = F.col("event_type"), F.when(F.col("event_type") != "error", F.col("props"))
+    cookies = F.when(kind == "signup", F.lit("c"))
+    body = F.to_json(F.struct(F.lit("1.0").alias("protocol"), kind.alias("type"), F.col("event_id").cast("string").alias("request_id"), source.alias("source"), cookies.alias("cookies")))
+    body = F.when((kind == "view") & (F.col("event_id") % 10 == 0), F.lit("[1]")).otherwise(body)
+    problem = capture.field_problem(body, list(ENVELOPE), list(ENVELOPE))
+    return e.select("event_type", F.coalesce(problem, F.lit("ok")).alias("verdict")).groupBy("event_type", "verdict").agg(F.count("*").alias("n"))
 
 
 def performance_corpus(spark, sf_dir):

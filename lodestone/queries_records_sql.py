@@ -108,7 +108,12 @@ f AS (SELECT capture, list_reduce(l, lambda acc, x: {_FOLD}, {{'s': 'requested',
     "job_claim_order": "SELECT o_custkey AS queue, 5 - left(o_orderpriority, 1)::INTEGER AS priority, o_orderkey AS sequence, row_number() OVER (PARTITION BY o_custkey ORDER BY 5 - left(o_orderpriority, 1)::INTEGER DESC, o_orderkey) AS claim FROM orders",
     "job_listing": "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey DESC LIMIT 100",
     "job_states": "SELECT o_custkey AS queue, count(*) FILTER (o_orderstatus = 'P') AS pending, count(*) AS n FROM orders GROUP BY 1",
-    "capture_fields": "SELECT len(list_filter(json_keys(props), lambda x: x <> 'k'))::INTEGER AS unknown, CASE WHEN list_contains(json_keys(props), 'k') THEN 0 ELSE 1 END::INTEGER AS absent, count(*) AS n FROM events GROUP BY ALL",
+    "capture_fields": "SELECT event_type, CASE WHEN event_type = 'view' AND event_id % 10 = 0 THEN 'not_an_object' WHEN event_type = 'signup' THEN 'unknown_field' WHEN event_type = 'error' OR props IS NULL THEN 'missing_field' ELSE 'ok' END AS verdict, count(*) AS n FROM events GROUP BY ALL",
+    "rate_limit": """WITH RECURSIVE o AS (SELECT user_id AS key, epoch_us(ts) AS at_us, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+w AS (SELECT key, at_us, seq, r, [at_us] AS held, 'accept' AS decision FROM o WHERE r = 1 UNION ALL
+  SELECT key, at_us, seq, r, CASE WHEN len(live) < 4 THEN list_append(live, at_us) ELSE live END, CASE WHEN len(live) < 4 THEN 'accept' ELSE 'rate_limited' END
+  FROM (SELECT o.key, o.at_us, o.seq, o.r, list_filter(w.held, lambda x: x + 86400000000 > o.at_us) AS live FROM w JOIN o ON o.key = w.key AND o.r = w.r + 1))
+SELECT key, at_us, seq, decision FROM w""",
     "performance_corpus": "SELECT lpad(i::VARCHAR, 6, '0') || CASE WHEN (i + 20260824) % 5 = 0 THEN '.txt' ELSE '.md' END AS path, sha256('# Artifact ' || i || chr(10) || 'performance-' || lpad(i::VARCHAR, 6, '0') || chr(10) || 'body' || chr(10)) AS digest FROM range(10000) t(i)",
     "path_order": f"{_A} SELECT source_uri, row_number() OVER (PARTITION BY root ORDER BY string_split(source_uri, '/')) AS position FROM artifacts",
 }
