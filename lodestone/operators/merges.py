@@ -87,6 +87,18 @@ def failure_states(imports: DataFrame, failures: DataFrame, roots: DataFrame) ->
     return failures.join(i, "import_id").select("import_id", "ordinal", "code", state.alias("state"), again.alias("retryable"))
 
 
+def import_requests(requests: DataFrame, imports: DataFrame, failures: DataFrame, roots: DataFrame) -> DataFrame:
+    """requests: request_id, root_id, locator, content_hash; imports also have content_hash. request_id, outcome (reused or new), import_id of the
+    one that is used again (the newest with the same root, locator and bytes that is not revoked; null for new ones) and retried, how many of
+    its failures are tried again: only pending ones that another owner held, as in `failure_states`. Repeated requests are answered one by one."""
+    keys = ["root_id", "locator", "content_hash"]
+    same = imports.where("status <> 'revoked'").groupBy(*keys).agg(F.max(F.struct("imported_at", "import_id"))["import_id"].alias("import_id"))
+    found = requests.join(same, keys, "left")
+    again = failure_states(imports, failures, roots).where("retryable").groupBy("import_id").agg(F.count("*").alias("retried"))
+    out = found.join(again, "import_id", "left")
+    return out.select("request_id", F.when(F.col("import_id").isNull(), "new").otherwise("reused").alias("outcome"), "import_id", F.coalesce("retried", F.lit(0)).alias("retried"))
+
+
 def import_summaries(imports: DataFrame, failures: DataFrame, limit: int = 100) -> DataFrame:
     """The newest imports with their failures in order. The page is cut before failures are gathered."""
     page = imports.orderBy(F.col("imported_at").desc(), "import_id").limit(limit)

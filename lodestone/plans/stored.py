@@ -17,12 +17,16 @@ from lodestone.plans import generations
 from lodestone.plans.storage import shared_dir
 
 
+#: Part of the digest, so that tables of another form are made again.
+FORMAT = "segments 1, vectors 1"
+
+
 def source_digest(spark: SparkSession, path: str) -> str:
     """Digest of a table's files: one line for each file reaches the driver, as in any listing of a scan."""
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    found, files = [], fs.listFiles(at, True)
+    found, files = [FORMAT], fs.listFiles(at, True)
     while files.hasNext():
         f = files.next()
         found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")

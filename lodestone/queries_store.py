@@ -147,6 +147,14 @@ def import_retry(spark, sf_dir):
     return merges.failure_states(i, _failed(spark, sf_dir), _file_roots(spark))
 
 
+def import_requests(spark, sf_dir):
+    """Every third import asks again; its bytes are those of its customer's orders of one priority, and the others are what has been imported."""
+    i = _imports(spark, sf_dir).join(C.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("import_id"), F.col("o_orderpriority").alias("content_hash")), "import_id")
+    i = i.withColumn("locator", F.col("customer").cast("string"))
+    requests = i.where(F.col("import_id") % 3 == 0).select(F.col("import_id").alias("request_id"), "root_id", "locator", "content_hash")
+    return merges.import_requests(requests, i.where(F.col("import_id") % 3 > 0), _failed(spark, sf_dir), _file_roots(spark))
+
+
 def import_summaries(spark, sf_dir):
     s = merges.import_summaries(_imports(spark, sf_dir), _failed(spark, sf_dir))
     shown = F.array_join(F.transform("failures", lambda f: F.concat_ws(":", f["ordinal"], f["code"])), ",")
@@ -253,7 +261,7 @@ def fts_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        index_upsert, index_totals, bookmark_supersede, event_reconcile, source_roots, startup_reconcile, ocr_purge, active_evidence, evidence_endpoint, bookmark_merge, owner_failures, bookmark_conflicts, import_retry, import_summaries,
+        index_upsert, index_totals, bookmark_supersede, event_reconcile, source_roots, startup_reconcile, ocr_purge, active_evidence, evidence_endpoint, bookmark_merge, owner_failures, bookmark_conflicts, import_retry, import_requests, import_summaries,
         scope_consistency, rel_add, rel_compaction_report, revoke_root, resume_checkpoint, directory_quanta, index_batches, performance_gate, captured_images, fts_health,
     )
 }
@@ -308,6 +316,10 @@ ORACLES = {
     "bookmark_merge": f"WITH {_BOOKMARKS} SELECT ordinal, outcome FROM mb",
     "owner_failures": f"WITH {_BOOKMARKS} SELECT ordinal, url, outcome AS code FROM mb WHERE outcome = '{merges.OTHER_OWNER}'",
     "bookmark_conflicts": f"WITH {_BOOKMARKS} SELECT url, count(DISTINCT folder) AS folders, count(*) AS n FROM ic GROUP BY url HAVING count(DISTINCT folder) > 1",
+    "import_requests": f"""WITH {_IMPORTS}, ia AS (SELECT im.*, o_orderpriority AS hash FROM im JOIN orders ON o_orderkey = import_id), ol AS (SELECT * FROM ia WHERE import_id % 3 > 0),
+sm AS (SELECT customer, hash, arg_max(import_id, (imported_at, import_id)) AS import_id FROM ol WHERE status <> 'revoked' GROUP BY ALL), nw AS (SELECT customer, arg_max(import_id, (imported_at, import_id)) AS newest FROM ol GROUP BY 1),
+ag AS (SELECT import_id, count(*) AS retried FROM fa JOIN ol USING (import_id) JOIN nw USING (customer) WHERE newest = import_id AND status <> 'revoked' AND root_id <> 3 AND code = '{merges.OTHER_OWNER}' GROUP BY 1)
+SELECT r.import_id AS request_id, CASE WHEN sm.import_id IS NULL THEN 'new' ELSE 'reused' END AS outcome, sm.import_id, coalesce(retried, 0) AS retried FROM (SELECT * FROM ia WHERE import_id % 3 = 0) r LEFT JOIN sm ON sm.customer = r.customer AND sm.hash = r.hash LEFT JOIN ag ON ag.import_id = sm.import_id""",
     "import_retry": f"WITH {_IMPORTS}, nw AS (SELECT customer, arg_max(import_id, (imported_at, import_id)) AS newest FROM im GROUP BY 1) SELECT import_id, ordinal, code, CASE WHEN newest = import_id THEN 'pending' ELSE 'resolved' END AS state, newest = import_id AND status <> 'revoked' AND root_id <> 3 AND code = '{merges.OTHER_OWNER}' AS retryable FROM fa JOIN im USING (import_id) JOIN nw USING (customer)",
     "import_summaries": f"WITH {_IMPORTS}, pg AS (SELECT * FROM im ORDER BY imported_at DESC, import_id LIMIT 100) SELECT pg.import_id, status, count(code) AS n_failures, coalesce(string_agg(ordinal || ':' || code, ',' ORDER BY ordinal, code), '') AS failures FROM pg LEFT JOIN fa ON fa.import_id = pg.import_id GROUP BY pg.import_id, status",
     "scope_consistency": f"""WITH {_IMPORTS} SELECT 'imports' AS relation, count(*) AS broken FROM im WHERE locator = 'moved' OR root_id = 7 UNION ALL SELECT 'records', count(*) FROM part JOIN im ON import_id = p_partkey WHERE p_partkey % {N_ROOTS} <> root_id

@@ -208,3 +208,14 @@ def test_reconciles(spark, tmp_path):
     units = []
     jobs.directory_stream(spark, f"{tmp_path}/files", lambda rows, epoch: units.append([bytes(r["content"]) for r in rows.select("content").collect()])).option("checkpointLocation", f"{tmp_path}/d").trigger(availableNow=True).start().awaitTermination(60)
     assert sorted(units) == [[b"a"], [b"b"]]
+
+
+def test_identical_bytes_reuse_an_import(spark):
+    i = "import_id long, root_id int, locator string, content_hash string, imported_at long, status string"
+    imports = spark.createDataFrame([(1, 0, "a", "h", 1, "complete"), (2, 0, "a", "h", 2, "complete"), (3, 0, "a", "g", 3, "revoked"), (4, 1, "b", "h", 1, "complete"), (5, 2, "c", "h", 9, "complete")], i)
+    failures = spark.createDataFrame([(2, 0, merges.OTHER_OWNER), (4, 0, merges.OTHER_OWNER), (4, 1, "invalid_url"), (5, 0, merges.OTHER_OWNER)], "import_id long, ordinal long, code string")
+    roots = spark.createDataFrame([(0, True), (1, True), (2, False)], "root_id int, enabled boolean")
+    requests = spark.createDataFrame([(10, 0, "a", "h"), (11, 0, "a", "g"), (12, 1, "b", "h"), (13, 1, "a", "h"), (14, 2, "c", "h"), (12, 1, "b", "h")], "request_id long, root_id int, locator string, content_hash string")
+    found = sorted(map(tuple, merges.import_requests(requests, imports, failures, roots).collect()))
+    # a newer import of "a" has resolved the failure of import 2; a disabled root is not granted again
+    assert found == [(10, "reused", 2, 0), (11, "new", None, 0), (12, "reused", 4, 1), (12, "reused", 4, 1), (13, "new", None, 0), (14, "reused", 5, 0)]
