@@ -227,10 +227,15 @@ def resume(jobs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def set_digest(row_hash: Column) -> Column:
-    """An aggregate: a digest of a set of SHA-256 hex digests that does not depend on their order, four lanes of 60 bits, so that
-    partial digests are merged before the exchange. Rows must be distinct: equal ones cancel."""
-    lane = lambda i: F.lpad(F.lower(F.hex(F.bit_xor(F.conv(F.substring(row_hash, 1 + 15 * i, 15), 16, 10).cast("long")))), 15, "0")
-    return F.concat(*(F.coalesce(lane(i), F.lit("0" * 15)) for i in range(4)))
+    """An aggregate: a digest of rows' SHA-256 hex digests that does not depend on their order: for each of four lanes of 60 bits the
+    exclusive or and the exact sum, so that partial digests are merged before the exchange and equal rows do not cancel."""
+
+    def lane(i: int) -> Column:
+        value = F.conv(F.substring(row_hash, 1 + 15 * i, 15), 16, 10).cast("long")
+        total = F.coalesce(F.sum(value.cast("decimal(20,0)")), F.lit(0).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")
+        return F.concat(F.coalesce(F.lpad(F.lower(F.hex(F.bit_xor(value))), 15, "0"), F.lit("0" * 15)), F.lit("+"), total)
+
+    return F.concat_ws(" ", *map(lane, range(4)))
 
 
 def passage_row() -> Column:

@@ -296,7 +296,8 @@ _TERMS = f"{_P}, tk AS (SELECT rowid, passage_text, {C.sql_tokens('passage_text'
 
 
 def _digest_sql(row: str) -> str:
-    return " || ".join(f"lpad(lower(to_hex(bit_xor(('0x' || substr(sha256({row}), {1 + 15 * i}, 15))::BIGINT))), 15, '0')" for i in range(4))
+    value = lambda i: f"('0x' || substr(sha256({row}), {1 + 15 * i}, 15))::BIGINT"
+    return " || ' ' || ".join(f"lpad(lower(to_hex(bit_xor({value(i)}))), 15, '0') || '+' || sum({value(i)})::VARCHAR" for i in range(4))
 
 
 def _relation(name: str, rows: str, state: str) -> str:
