@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import lexical
-from lodestone.operators.segments import TextIndex
+from lodestone.operators.segments import PIECE_BITS, TextIndex, blocks, postings
 
 SCHEMA = "passage_id string, rowid long, artifact_id long, title string, media_type string, source_uri string, enabled boolean, mtime_ns long, passage_text string"
 QUERIES = ("a", "b", '"a b"', '"a b" "c d" e', '"a a"', "a c", "zz", "a path:/c/1", '"b c" before:1970-01-01T00:00:00.000000040Z', "q", "q path:/c/3")
@@ -123,3 +123,17 @@ def test_unindexed_columns_stay_with_the_hits(spark, tmp_path):
     rows = spark.createDataFrame(passages(), SCHEMA).withColumns({"passage_line": F.lit(4), "char_start": F.lit(0)})
     hit = lexical.evidence(TextIndex(spark, str(tmp_path / "i")).upsert(rows).search('"a b"', 1)).first()
     assert hit["line_start"] == 4 and hit["segments"]
+
+
+def test_frequent_terms_are_exchanged_as_few_rows(spark):
+    """A term's passages of a batch and chunk go as one row, and come back as they were."""
+    r = random.Random(4)
+    slots = sorted(r.sample(range((1 << 48) + (1 << PIECE_BITS) - 400, (1 << 48) + (1 << PIECE_BITS) + 400), 300))
+    rows = [(s, [r.choice("aaaab") for _ in range(r.randint(0, 300))]) for s in slots]
+    df = spark.createDataFrame(rows, "slot long, tokens array<string>").coalesce(1)
+    sent = postings(df, [("a", slots[100])]).cache()
+    assert sent.count() == 5  # a: 2 chunks, one of them cut by the range's end; b: 2 chunks
+    back = blocks(sent.coalesce(1).sortWithinPartitions("range", "term", "slot"), 7).collect()
+    found = {(b["term"], s): (length, at) for b in back for s, length, at in zip(b["slots"], b["lengths"], b["positions"], strict=True)}
+    assert found == {(t, s): (len(w), [i for i, x in enumerate(w) if x == t]) for s, w in rows for t in set(w)}
+    assert all(b["size"] <= 7 and {s >> PIECE_BITS for s in b["slots"]} == {b["chunk"]} and b["range"] == (b["term"] == "b" or b["slots"][0] >= slots[100]) for b in back)
