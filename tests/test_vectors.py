@@ -1,8 +1,10 @@
 """Stored vectors: refresh by change sets, hash residual, status; and the batched search with its best of each task."""
 
+import collections
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -75,3 +77,15 @@ def test_topk_over_several_batches_of_a_task(spark):
         some = [(-round(c, 9), i is not None, i or 0, i) for i, x in vectors if x and len(x) == len(v) and (c := cosine(x, v)) is not None]
         want += [(q, k, i) for k, (_, _, _, i) in enumerate(sorted(some)[:9], 1)]
     assert [x for x in found if x[2] is not None] == [x for x in sorted(want, key=lambda x: (x[0], x[1])) if x[2] is not None]
+
+
+@pytest.mark.parametrize("most", [2_000_000, 30])
+def test_trigrams_are_counted_before_they_are_exchanged(spark, monkeypatch, most):
+    """Against a count in Python: short, empty and null texts, characters outside the base plane; no trigram goes over a text's end."""
+    monkeypatch.setattr(semantic, "TRIGRAM_CHARS", most)
+    texts = [None, "", "a", "aB", "ABC", "abcabc", "\U0001f600é\0x\U0001f600é\0", "aaaa" * 50, "İSTANBUL ÀÉ", "z\u0000y"]
+    want = collections.Counter(low[i : i + 3] for t in texts if t for low in [t.translate({c: c + 32 for c in range(65, 91)})] for i in range(len(low) - 2))
+    counted = semantic.trigram_counts(spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1), "t")
+    assert {r["gram"]: r["n"] for r in counted.collect()} == want
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
