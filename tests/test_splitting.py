@@ -33,3 +33,21 @@ def test_a_huge_text_takes_seconds(spark):
     n = spark.createDataFrame([(text,)], "t string").select(F.explode(splitting.split_passages(F.col("t"))).alias("p")).agg(F.count("*").alias("n"), F.max("p.char_end").alias("end"), F.max("p.line_end").alias("line")).first()
     assert n["end"] == len(text) and n["line"] == 1_500_001 and n["n"] > len(text) / 1000
     assert time.time() - began < 60
+
+
+def test_counts_without_texts_and_pieces_of_a_batch(spark, monkeypatch):
+    texts = [None, "", " \n", "a", "a b " * 300, "x" * 5000, "\U0001f600 é\n" * 900]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    rows = lambda: {r["i"]: r["p"] for r in df.select("i", splitting.split_passages(F.col("t")).alias("p")).collect()}
+    whole = rows()
+    monkeypatch.setattr(splitting, "PIECE", 100)
+    monkeypatch.setattr(splitting, "_split", _small)
+    assert rows() == whole
+    found = {r["i"]: r["n"] for r in df.select("i", splitting.passage_count(F.col("t")).alias("n")).collect()}
+    assert found == {i: len(p or []) for i, p in whole.items()}
+
+
+def _small(texts, *sizes, split=splitting._split):
+    """A batch is not made Python strings at once."""
+    assert len(texts) < 7
+    return split(texts, *sizes)
