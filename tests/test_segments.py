@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import lexical
+from lodestone.operators import lexical, segments
 from lodestone.operators.segments import PIECE_BITS, TextIndex, blocks, postings
 
 SCHEMA = "passage_id string, rowid long, artifact_id long, title string, media_type string, source_uri string, enabled boolean, mtime_ns long, passage_text string"
@@ -137,3 +137,15 @@ def test_frequent_terms_are_exchanged_as_few_rows(spark):
     found = {(b["term"], s): (length, at) for b in back for s, length, at in zip(b["slots"], b["lengths"], b["positions"], strict=True)}
     assert found == {(t, s): (len(w), [i for i, x in enumerate(w) if x == t]) for s, w in rows for t in set(w)}
     assert all(b["size"] <= 7 and {s >> PIECE_BITS for s in b["slots"]} == {b["chunk"]} and b["range"] == (b["term"] == "b" or b["slots"][0] >= slots[100]) for b in back)
+
+
+def test_a_chunk_is_bounded_whatever_a_task_has_written(spark, tmp_path, monkeypatch):
+    """What a task of `ranked` holds is a chunk of 2^PIECE_BITS passages, not all that one task wrote; the best are the same."""
+    rows = spark.createDataFrame(passages(), SCHEMA).coalesce(1)
+    queries = spark.createDataFrame([(1, ["a", "b"], 1), (2, ["q", "e"], 2)], "query_id long, tokens array<string>, need int")
+    whole = TextIndex(spark, str(tmp_path / "whole")).upsert(rows)
+    want = sorted(map(tuple, whole.ranked(queries, 6).collect()))
+    monkeypatch.setattr(segments, "PIECE_BITS", 4)
+    index = TextIndex(spark, str(tmp_path / "cut")).upsert(rows)
+    assert len(whole.state["segments"][0]["chunks"]) == 1 and len(index.state["segments"][0]["chunks"]) == 10
+    assert sorted(map(tuple, index.ranked(queries, 6).collect())) == want
