@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import splitting
 from lodestone.functions import text as T
+from lodestone.plans import canonical
 
 
 def texts():
@@ -47,6 +48,13 @@ def test_counts_without_texts_and_pieces_of_a_batch(spark, monkeypatch):
     assert found == {i: len(p or []) for i, p in whole.items()}
 
 
+def test_small_tables_are_dealt_without_a_sort(spark):
+    df = canonical.spread(spark.range(100).coalesce(1).selectExpr("id", "id % 3 as x"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and df.count() == 100
+    assert "hashpartitioning(id" in plan and "RoundRobin" not in plan
+
+
 def _small(texts, *sizes, split=splitting._split):
     """A batch is not made Python strings at once."""
     assert len(texts) < 7
