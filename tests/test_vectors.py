@@ -89,3 +89,11 @@ def test_trigrams_are_counted_before_they_are_exchanged(spark, monkeypatch, most
     assert {r["gram"]: r["n"] for r in counted.collect()} == want
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Generate" not in plan
+
+
+def test_pairs_are_made_beside_their_hashes(spark):
+    """Only tokens go to Python, and only the kept columns come back, with the same vectors."""
+    df = spark.createDataFrame([("1:0", 1, "a b a b c"), ("2:0", 2, ""), ("3:0", 3, "a"), ("4:0", 4, "c c c a")], SCHEMA).coalesce(1)
+    some = embedded(df, keep=["passage_id"])
+    assert some.columns == ["passage_id", "embedding"] and "__pairs" not in some._jdf.queryExecution().toString()
+    assert {r["passage_id"]: r["embedding"] for r in some.collect()} == {r["passage_id"]: r["embedding"] for r in embedded(df).collect()}
