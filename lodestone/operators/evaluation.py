@@ -13,6 +13,8 @@ from lodestone.plans import canonical as C
 from lodestone.plans.storage import discard, written
 
 TOP, KEYWORDS, CANDIDATES = 5, 6, 20
+#: Pairs of an item and an artifact up to which the artifacts' ids are broadcast (8 bytes each).
+FEW = 1_000_000
 #: Characters, or pixels of height, of a bin in which expected and found anchors meet.
 BIN = 2048
 ANCHOR = ("kind", "page", "first", "last", "x", "y", "width", "height")
@@ -45,21 +47,29 @@ def anchors_met(expected: DataFrame, found: DataFrame, keys: list[str], bins: in
     return want.join(have, same).where(covers).select(*(want[k] for k in keys), "want", "have")
 
 
+def texts_of(artifacts: DataFrame, near: DataFrame) -> DataFrame:
+    """artifact_id and text of enabled artifacts, of those alone that near (a written table) names while it has at most FEW rows: their ids are
+    broadcast, so that other texts stay where they are. With more rows all texts are left for the join."""
+    texts = artifacts.where("enabled").select("artifact_id", "text")
+    return texts.join(F.broadcast(near.select("artifact_id").distinct()), "artifact_id", "left_semi") if near.count() <= FEW else texts
+
+
 def expected_anchors(index: TextIndex, artifacts: DataFrame, items: DataFrame) -> DataFrame:
     """items: item_id, text. Where the enabled artifacts (artifact_id, enabled, text) hold an item word for word: item_id, artifact_id, ANCHOR of
     its first place there, and main, true for the smallest artifact; the others are acceptable alternatives.
 
     An artifact that holds an item holds its rarest word, so candidates come from that word's postings (first and last words may be
-    part of longer ones and are used only where an item has no others)."""
+    part of longer ones and are used only where an item has no others). The rarest words are written first and then choose the
+    postings, and the candidates the texts, so that neither other words' slots nor other texts are exchanged."""
     w = items.select("item_id", "text", T.tokenize_fts(F.col("text")).alias("w"))
     inner = F.when(F.size("w") > 2, F.slice("w", F.lit(2), F.size("w") - 2)).otherwise(F.col("w"))
     each = w.select("item_id", F.explode(F.array_distinct(inner)).alias("term"))
-    held = index.blocks().join(each.select("term").distinct(), "term", "left_semi")
-    df = held.groupBy("term").agg(F.sum("size").alias("df"))
-    rarest = each.join(df, "term", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))["term"].alias("term"))
-    at = held.select("term", F.explode("slots").alias("slot")).join(rarest, "term")
-    near = at.join(index.passages().where("enabled").select("slot", "artifact_id"), "slot").select("item_id", "artifact_id").distinct()
-    both = near.join(items.select("item_id", F.col("text").alias("contains")), "item_id").join(artifacts.where("enabled").select("artifact_id", "text"), "artifact_id")
+    df = index.blocks().select("term", "size").join(each.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("size").alias("df"))
+    rarest = written(each.join(df, "term", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))["term"].alias("term")), "rarest")
+    at = index.blocks().select("term", "slots").join(rarest, "term").select("item_id", F.explode("slots").alias("slot"))
+    near = written(at.join(index.passages().where("enabled").select("slot", "artifact_id"), "slot").select("item_id", "artifact_id").distinct(), "near")
+    discard(rarest)
+    both = near.join(items.select("item_id", F.col("text").alias("contains")), "item_id").join(texts_of(artifacts, near), "artifact_id")
     place = F.instr("text", F.col("contains"))
     both = both.select("item_id", "artifact_id", place.alias("at"), F.length("contains").alias("n")).where("at > 0")
     main = F.col("artifact_id") == F.min("artifact_id").over(Window.partitionBy("item_id"))
