@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import lexical, segments
 from lodestone.operators.segments import PIECE_BITS, TextIndex, blocks, postings
+from lodestone.plans.query import parse_query
 
 SCHEMA = "passage_id string, rowid long, artifact_id long, title string, media_type string, source_uri string, enabled boolean, mtime_ns long, passage_text string"
 QUERIES = ("a", "b", '"a b"', '"a b" "c d" e', '"a a"', "a c", "zz", "a path:/c/1", '"b c" before:1970-01-01T00:00:00.000000040Z', "q", "q path:/c/3")
@@ -77,6 +78,16 @@ def test_changes_write_one_segment_and_marks(spark, tmp_path):
     same(spark, merged, now, ("a", "q", '"a b"'))
 
 
+@pytest.mark.parametrize("few", [10, 100_000])
+def test_hits_are_broadcast_by_their_number(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(segments, "FEW", few, raising=False)
+    rows = passages()
+    index = TextIndex(spark, str(tmp_path / "i")).upsert(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    plan = index._single("q", parse_query("q"), 7)._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == (few > len(rows))  # not by the compressed size of the blocks, which is small
+    same(spark, index, rows, ("q", '"a b"', "a c"))
+
+
 def test_empty_index(spark, tmp_path):
     index = TextIndex(spark, str(tmp_path / "i")).upsert(spark.createDataFrame([], SCHEMA))
     assert index.search('"a b"').count() == 0 and index.search("a").count() == 0 and index.vocabulary().count() == 0
