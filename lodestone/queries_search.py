@@ -67,7 +67,8 @@ def passage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def active_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.active(C.passages(spark, sf_dir)).select("passage_id", "title", "media_type", "source_uri", "mtime_ns", "content_hash")
+    """Times that 64 bits cannot hold are null; they are whole where they are compared."""
+    return C.active(C.passages(spark, sf_dir)).select("passage_id", "title", "media_type", "source_uri", F.col("mtime_ns").try_cast("long").alias("mtime_ns"), "content_hash")
 
 
 def lexical_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
