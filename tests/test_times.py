@@ -23,7 +23,7 @@ def far_dir(sf_dir, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["fts_vocab_instance", "eval_by_class", "lexical_search"])
+@pytest.mark.parametrize("name", ["fts_vocab_instance", "eval_by_class", "ablation_metrics", "lexical_search"])
 def test_query_with_late_artifacts(spark, far_dir, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
